@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, secrets
 
 QUERIES = {
+    "op3_secrets": secrets.query,
     "op5_decontamination": decontamination.query,
 }
 ORACLES: dict[str, str] = {}
