@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, secrets
+from . import bpe, decontamination, licenses, secrets
 
 QUERIES = {
+    "op1_licenses": licenses.query,
     "op3_secrets": secrets.query,
     "op5_decontamination": decontamination.query,
+    "op6_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {}
