@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, licenses, secrets
+from . import bpe, chat, decontamination, licenses, secrets
 
 QUERIES = {
     "op1_licenses": licenses.query,
     "op3_secrets": secrets.query,
     "op5_decontamination": decontamination.query,
     "op6_bpe": bpe.query,
+    "op10_chat": chat.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}
