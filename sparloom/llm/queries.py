@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, licenses, secrets
+from . import bpe, chat, decontamination, html, licenses, quality, secrets
 
 QUERIES = {
     "op1_licenses": licenses.query,
     "op3_secrets": secrets.query,
     "op5_decontamination": decontamination.query,
     "op6_bpe": bpe.query,
+    "op7_quality": quality.query,
+    "op8_html": html.query,
     "op10_chat": chat.query,
 }
 ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}

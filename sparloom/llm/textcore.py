@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,19 @@ GRAM_KEYS = _rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uin
 _powers: list[np.ndarray] = []
 
 
+def shared_dir(spark) -> str:
+    """The folder that the driver and all executors share."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return spark.conf.get("spark.checkpoint.dir", own) or "/tmp/checkpoints"
+
+
+def stored(df, name: str):
+    """The table, written once to the shared folder and read from there."""
+    place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 _shipped: set[str] = set()
 
 
