@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, html, licenses, quality, secrets
+from . import bpe, chat, decontamination, fingerprints, html, licenses, quality, secrets
 
 QUERIES = {
     "op1_licenses": licenses.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_bpe": bpe.query,
     "op7_quality": quality.query,
     "op8_html": html.query,
+    "op9_fingerprints": fingerprints.query,
     "op10_chat": chat.query,
 }
 ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}
