@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, fingerprints, html, licenses, quality, secrets
+from . import bpe, chat, decontamination, fingerprints, html, jaccard, licenses, quality, secrets
 
 QUERIES = {
     "op1_licenses": licenses.query,
     "op3_secrets": secrets.query,
+    "op4_jaccard": jaccard.query,
     "op5_decontamination": decontamination.query,
     "op6_bpe": bpe.query,
     "op7_quality": quality.query,
