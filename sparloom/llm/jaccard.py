@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import NOT_SPACE, column_bytes, mix, row_chunks, segment, stored, tuned
+from .textcore import NOT_SPACE, batch_numbers, column_bytes, mix, row_chunks, segment, stored, tuned
 
 #: Words of a shingle, and the similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -94,10 +95,9 @@ def _sender(bits: int):
     """Texts to packed sets: (bucket, batch, ids, blob, sizes, units)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for batch, b in zip(batch_numbers(), batches):
             tokens, sizes = shingle_sets(b.column(1))
             units = unit_ids(tokens, sizes)
-            batch = int(np.bitwise_xor.reduce(mix(units.view(np.uint64) + np.arange(len(units), dtype=np.uint64)))) >> 1 if len(units) else 0
             # each set once in the batch
             _, first = np.unique(units, return_index=True)
             use = np.zeros(len(units), bool)
@@ -130,8 +130,8 @@ def _counter(bits: int):
     """One bucket: counts documents by shingle; sends each batch its shared shingles back."""
 
     def count(table: pa.Table) -> pa.Table:
-        told = table.filter(pa.compute.is_valid(table["ids"]))
-        sent = table.filter(pa.compute.is_null(table["ids"]))
+        told = table.filter(pc.is_valid(table["ids"]))
+        sent = table.filter(pc.is_null(table["ids"]))
         batches = sent["batch"].to_pylist()
         tokens, owners, cuts = [], [], [0]
         for blob in sent["blob"].to_pylist():
@@ -189,7 +189,7 @@ def _receiver(percent: int):
     """One batch: its members, and its sets that may have partners with their shared tokens."""
 
     def receive(table: pa.Table) -> pa.Table:
-        told = table.filter(pa.compute.is_valid(table["ids"])).slice(0, 1)
+        told = table.filter(pc.is_valid(table["ids"])).slice(0, 1)
         out: dict[str, list] = {k: [] for k in ("id", "n", "unit", "size", "m", "prefix", "alone", "tokens")}
         kinds = [table.schema.field("ids").type.value_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
         if told.num_rows:
@@ -199,7 +199,7 @@ def _receiver(percent: int):
             out["id"], out["n"], out["unit"] = list(ids), sizes.tolist(), units.tolist()
             for k in ("size", "m", "prefix", "alone", "tokens"):
                 out[k] = [None] * len(ids)
-            back = [x for x in table.filter(pa.compute.is_null(table["ids"]))["blob"].to_pylist()]
+            back = [x for x in table.filter(pc.is_null(table["ids"]))["blob"].to_pylist()]
             owner, df, token = [], [], []
             for blob in back:
                 n = int(np.frombuffer(blob, "<u4", 1)[0])

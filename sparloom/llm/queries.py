@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, fingerprints, html, jaccard, licenses, quality, secrets
+from . import bpe, chat, decontamination, fingerprints, html, jaccard, licenses, lm, quality, secrets
 
 QUERIES = {
     "op1_licenses": licenses.query,
+    "op2_lm": lm.query,
     "op3_secrets": secrets.query,
     "op4_jaccard": jaccard.query,
     "op5_decontamination": decontamination.query,

@@ -89,6 +89,16 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def batch_numbers() -> Iterator[int]:
+    """A number for each batch of a task, that no other batch of the stage has and a rerun repeats."""
+    from pyspark import TaskContext
+
+    first = TaskContext.get().partitionId() << 32
+    while True:
+        yield first
+        first += 1
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     with np.errstate(over="ignore"):
