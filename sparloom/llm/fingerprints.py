@@ -186,22 +186,41 @@ def in_runs(docs: DataFrame, runs: int) -> DataFrame:
     """(run, late, id, key, text): documents by descending id, dealt into runs of neighbours; each run
     also has, late, the first document of the next run that has any. Only the runs' bounds and
     first documents come to the driver."""
-    spark = docs.sparkSession
     ids = docs.select("id").where("id IS NOT NULL")
-    bounds = sorted(set(ids.agg(F.percentile_approx("id", [k / runs for k in range(1, runs)], 10 * runs)).first()[0] or [])) if runs > 1 else []
-    # run 0 has the highest ids; null ids are a run of their own, the last
-    run = F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("id"))) if bounds else F.lit(0))
-    placed = docs.withColumn("key", F.xxhash64("text")).withColumn("run", run.cast("int"))
-    order = F.struct(F.negate(F.coalesce("id", F.lit(0).cast(dict(docs.dtypes)["id"]))).alias("a"), F.col("key").alias("b"))
-    first = {r["run"]: r["first"] for r in placed.groupBy("run").agg(F.min(order).alias("first")).collect()}
-    named = sorted(first)
+    cuts = ids.agg(F.percentile_approx("id", [k / runs for k in range(1, runs)], 10 * runs)).first()[0] if runs > 1 else None
+    bounds = np.array(sorted(set(cuts or [])))
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+
+    def run_of(ids: pa.Array) -> np.ndarray:
+        """Run 0 has the highest ids; null ids are the last run."""
+        known = np.array(ids.is_valid())
+        out = np.full(len(ids), len(bounds) + 1, np.int32)
+        if known.any():
+            out[known] = len(bounds) - np.searchsorted(bounds, ids.drop_null().to_numpy(zero_copy_only=False), "left")
+        return out
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(run_of(b.column(0))), *b.columns], ["run", "id", "key"])
+
+    kind = dict(docs.dtypes)["id"]
+    order = F.struct(F.col("id").isNull().alias("a"), F.negate("id").alias("b"), F.col("key").alias("c"), F.col("id").alias("id"))
+    heads = keyed.select("id", "key").mapInArrow(place, f"run int, id {kind}, key long").groupBy("run").agg(F.min(order).alias("first")).collect()
+    named = sorted((r["run"], r["first"]["id"], r["first"]["c"]) for r in heads)
     # where each run's first document is also needed: at the end of the run before, and the very
     # first one at the end of the last
-    also = F.lit(None).cast("int")
-    for k, r in enumerate(named):
-        also = F.when((F.col("run") == r) & (order == F.struct(F.lit(first[r]["a"]).alias("a"), F.lit(first[r]["b"]).alias("b"))), named[k - 1]).otherwise(also)
-    heads = F.when(also.isNotNull(), F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("late")), F.struct(also.alias("run"), F.lit(1).alias("late")))).otherwise(F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("late"))))
-    return placed.withColumn("at", F.explode(heads)).select("at.run", "at.late", "id", "key", "text")
+    also = {named[k]: named[k - 1][0] for k in range(len(named))}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            run = run_of(b.column(0))
+            at = [(k, also[x]) for k, x in enumerate(zip(run.tolist(), b.column(0).to_pylist(), b.column(1).to_pylist())) if x in also]
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(np.zeros(len(run), np.int32)), *b.columns], ["run", "late", "id", "key", "text"])
+            if at:
+                more = b.take(pa.array([k for k, _ in at]))
+                yield pa.RecordBatch.from_arrays([pa.array([r for _, r in at], pa.int32()), pa.array(np.ones(len(at), np.int32)), *more.columns], ["run", "late", "id", "key", "text"])
+
+    return keyed.select("id", "key", "text").mapInArrow(deal, f"run int, late int, id {kind}, key long, text string")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
