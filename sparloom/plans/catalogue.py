@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_queries
+from . import corpus_queries, graph_queries
 
-QUERIES = {**corpus_queries.QUERIES}
-ORACLES = {**corpus_queries.ORACLES}
+QUERIES = {**corpus_queries.QUERIES, **graph_queries.QUERIES}
+ORACLES = {**corpus_queries.ORACLES, **graph_queries.ORACLES}
