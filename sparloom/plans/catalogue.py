@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, graph_queries
+from . import corpus_queries, discovery_queries, event_queries, graph_queries
 
-QUERIES = {**corpus_queries.QUERIES, **graph_queries.QUERIES}
-ORACLES = {**corpus_queries.ORACLES, **graph_queries.ORACLES}
+_MODULES = (corpus_queries, graph_queries, event_queries, discovery_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
