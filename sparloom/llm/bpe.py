@@ -32,9 +32,9 @@ from .textcore import column_bytes, row_chunks, tuned
 #: Default rank file; a parameter of every function here.
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Bytes of text whose new pieces are merged together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Pieces whose ids a worker keeps.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
 #: Longer pieces are not kept.
 KEPT_LENGTH = 64
 

@@ -28,6 +28,7 @@ columns of other names are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ SHINGLE, PERCENT = 5, 75
 #: Bytes of a hash that travel; the bucket stands for the rest.
 SENT = 6
 #: Shingles in a bucket, about.
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 2_000_000
 #: Prefix extensions to choose from, and the cost of a verification in postings.
 MATCHES, VERIFY_COST = (1, 2, 4, 8), 20.0
 #: Documents of a cell that are compared in one task.
@@ -85,10 +86,9 @@ def least_overlap(size: np.ndarray, percent: int) -> np.ndarray:
     return (size * percent + 99) // 100
 
 
-def _reach(total_bytes: int) -> int:
-    """Bits of the bucket number: 8, 16 or 24, as the texts are long."""
-    need = total_bytes / 6 / BUCKET_TOKENS
-    return 8 if need <= 256 else 16 if need <= 65536 else 24
+def bucket_bits(total_bytes: int, per_bucket: int) -> int:
+    """Bits of the bucket number: as many buckets as hold about per_bucket of the texts' words."""
+    return min(20, max(8, math.ceil(math.log2(max(1.0, total_bytes / 6 / per_bucket)))))
 
 
 def _sender(bits: int):
@@ -115,7 +115,8 @@ def _sender(bits: int):
             stop = [*start.tolist(), len(t)][1:]
             # the bytes behind the bucket's own bits
             body = ((t << np.uint64(bits)) >> np.uint64(64 - 8 * SENT)).view(np.uint8).reshape(-1, 8)[:, :SENT]
-            blobs = [np.uint32(n).tobytes() + np.bincount(m[a:z], minlength=n).astype("<u4").tobytes() + body[a:z].tobytes() for a, z in zip(start.tolist(), stop)]
+            # whose they are: counts by set, or where those would be longer, the set of each
+            blobs = [(np.uint32(n).tobytes() + np.bincount(m[a:z], minlength=n).astype("<u4").tobytes() if n < z - a else np.array([0, z - a], "<u4").tobytes() + m[a:z].astype("<u4").tobytes()) + body[a:z].tobytes() for a, z in zip(start.tolist(), stop)]
             k = len(blobs)
             ids = pa.array([b.column(0).to_pylist(), *[None] * k], pa.list_(b.column(0).type))
             yield pa.RecordBatch.from_arrays(
@@ -136,12 +137,16 @@ def _counter(bits: int):
         tokens, owners, cuts = [], [], [0]
         for blob in sent["blob"].to_pylist():
             n = int(np.frombuffer(blob, "<u4", 1)[0])
-            counts = np.frombuffer(blob, "<u4", n, 4)
-            body = np.frombuffer(blob, np.uint8, -1, 4 + 4 * n).reshape(-1, SENT)
+            if n:
+                owners.append(np.repeat(np.arange(n, dtype="<u4"), np.frombuffer(blob, "<u4", n, 4)))
+                body = np.frombuffer(blob, np.uint8, -1, 4 + 4 * n).reshape(-1, SENT)
+            else:
+                n = int(np.frombuffer(blob, "<u4", 1, 4)[0])
+                owners.append(np.frombuffer(blob, "<u4", n, 8))
+                body = np.frombuffer(blob, np.uint8, -1, 8 + 4 * n).reshape(-1, SENT)
             wide = np.zeros((len(body), 8), np.uint8)
             wide[:, :SENT] = body
             tokens.append(wide.view("<u8").ravel())
-            owners.append(np.repeat(np.arange(n, dtype="<u4"), counts))
             cuts.append(cuts[-1] + len(body))
         columns = [told["batch"].to_pylist(), told["ids"].to_pylist(), told["blob"].to_pylist(), told["sizes"].to_pylist(), told["units"].to_pylist()]
         if tokens:
@@ -150,7 +155,7 @@ def _counter(bits: int):
             df = n[inverse]
             shared = df > 1
             # the whole number again: bucket bits in front
-            whole = (t | np.uint64(sent["bucket"][0].as_py()) << np.uint64(8 * SENT)) if bits <= 16 else t ^ mix(np.full(1, sent["bucket"][0].as_py(), np.uint64))
+            whole = (t << np.uint64(64 - 8 * SENT)) >> np.uint64(bits) | np.uint64(sent["bucket"][0].as_py()) << np.uint64(64 - bits)
             for k, batch in enumerate(batches):
                 z = slice(cuts[k], cuts[k + 1])
                 s = shared[z]
@@ -352,7 +357,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     tuned(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["id"]
-    bits = _reach(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = bucket_bits(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_TOKENS)
     sent = source.mapInArrow(_sender(bits), f"bucket int, batch long, ids array<{kind}>, blob binary, sizes binary, units binary")
     back = sent.groupBy("bucket").applyInArrow(_counter(bits), f"batch long, ids array<{kind}>, blob binary, sizes binary, units binary")
     rows = back.groupBy("batch").applyInArrow(_receiver(percent), f"id {kind}, n long, unit long, size long, m int, prefix int, alone double, tokens binary")

@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard import bucket_bits
 from .textcore import GRAM_KEYS, NOT_SPACE, batch_numbers, column_bytes, mix, row_chunks, segment, stored, tuned
 
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ... documents' occurrences.
@@ -39,7 +40,7 @@ ROUNDS = 60
 #: Bytes of a hash that travel beside its bucket.
 SENT = 6
 #: Distinct words and pairs in a bucket, about.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 2_000_000
 #: The end of a text, as a word's hash.
 END = np.uint64(0x1F3D5B79A2C4E6F8)
 
@@ -120,12 +121,12 @@ def _sender(bits: int):
                 order = np.argsort(where, kind="stable")
                 where = where[order]
                 body = (keys[order] & np.uint64(2**48 - 1)).view(np.uint8).reshape(-1, 8)[:, :SENT]
-                cuts = np.searchsorted(where, np.arange((1 << bits) + 1)) if bits == 8 else None
+                cuts = np.searchsorted(where, np.arange((1 << bits) + 1))
                 sides.append((where, body, add(at, learn, len(keys))[order], add(at, weigh, len(keys))[order], cuts))
             used = np.union1d(sides[0][0], sides[1][0]).tolist()
             blobs = []
             for k in used:
-                z = [slice(*((c[k], c[k + 1]) if c is not None else np.searchsorted(w, [k, k + 1]))) for w, _, _, _, c in sides]
+                z = [slice(c[k], c[k + 1]) for _, _, _, _, c in sides]
                 counts = _packed(*[s[j][q] for s, q in zip(sides, z) for j in (2, 3)])
                 keys = b"".join(s[1][q].tobytes() for s, q in zip(sides, z))
                 blobs.append(np.array([len(counts)], "<u4").tobytes() + counts + keys)
@@ -242,8 +243,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     part = F.when(check % folds == held_fold, 0).when(F.floor(check / folds) % weight_every == 0, 2).otherwise(1)
     source = docs.select(F.col(id_col).alias("id"), part.cast("int").alias("part"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["id"]
-    need = (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 / BUCKET_KEYS
-    bits = 8 if need <= 256 else 16
+    bits = bucket_bits(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_KEYS)
     sent = source.mapInArrow(_sender(bits), f"bucket int, batch long, ids array<{kind}>, blob binary, learn long, weigh long")
     back = sent.groupBy("bucket").applyInArrow(_count, f"batch long, ids array<{kind}>, blob binary, learn long, weigh long, known long, of int")
     met = stored(back.groupBy("batch").applyInArrow(_meet, f"ids array<{kind}>, own binary, buckets array<int>, blobs array<binary>, learn long, weigh long, known long"), "counts")

@@ -105,6 +105,16 @@ def test_jaccard(corpus, docs, no_docs):
     assert jaccard.grouped(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("bits", [10])
+def test_jaccard_many_buckets(corpus, docs, bits, monkeypatch):
+    want = Counter((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard.grouped(docs).collect())
+    score = sorted((r["id"], round(r["score"], 6)) for r in lm.score(docs).collect())
+    monkeypatch.setattr(jaccard, "bucket_bits", lambda *_: bits)
+    monkeypatch.setattr(lm, "bucket_bits", lambda *_: min(bits, 12))
+    assert Counter((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard.grouped(docs).collect()) == want
+    assert sorted((r["id"], round(r["score"], 6)) for r in lm.score(docs).collect()) == score
+
+
 def test_jaccard_large_cell(spark, monkeypatch):
     """Tiles smaller than a group of near copies, some of which reach one another only through others."""
     rng = np.random.default_rng(5)
