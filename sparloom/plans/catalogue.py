@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, discovery_queries, event_queries, graph_queries, source_queries
+from . import corpus_queries, discovery_queries, event_queries, graph_queries, source_queries, sql_queries
 
-_MODULES = (corpus_queries, graph_queries, event_queries, discovery_queries, source_queries)
+_MODULES = (corpus_queries, graph_queries, event_queries, discovery_queries, source_queries, sql_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
