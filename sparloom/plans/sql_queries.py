@@ -73,8 +73,8 @@ _SQL: dict[str, tuple[str, str | None]] = {
         """SELECT user_id, min(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END) AS first_done, count(DISTINCT event_type) AS done, CASE WHEN count(CASE WHEN event_type = 'signup' THEN 1 END) = 0 THEN 'signup' WHEN count(CASE WHEN event_type = 'purchase' THEN 1 END) = 0 THEN 'purchase' ELSE 'none' END AS next_step FROM events GROUP BY user_id""", None),
     # further joins, windows and set operations
     "join_longest_prefix": (
-        """SELECT p.page_id, max(length(r.root)) AS root_length FROM pages p JOIN (VALUES ('http'), ('http://'), ('https://'), ('https://www.'), ('http://m.')) r(root) ON startswith(p.url, r.root) GROUP BY p.page_id""",
-        """SELECT p.page_id, max(length(r.root)) AS root_length FROM pages p JOIN (VALUES ('http'), ('http://'), ('https://'), ('https://www.'), ('http://m.')) r(root) ON starts_with(p.url, r.root) GROUP BY p.page_id"""),
+        """SELECT p.page_id, CAST(max(length(r.root)) AS BIGINT) AS root_length FROM pages p JOIN (VALUES ('http'), ('http://'), ('https://'), ('https://www.'), ('http://m.')) r(root) ON startswith(p.url, r.root) GROUP BY p.page_id""",
+        """SELECT p.page_id, CAST(max(length(r.root)) AS BIGINT) AS root_length FROM pages p JOIN (VALUES ('http'), ('http://'), ('https://'), ('https://www.'), ('http://m.')) r(root) ON starts_with(p.url, r.root) GROUP BY p.page_id"""),
     "join_fallback_key": (
         """SELECT o.o_orderkey, coalesce(a.n, b.n, 0) AS community FROM orders o LEFT JOIN (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS n FROM customer WHERE c_acctbal > 0) a ON o.o_custkey = a.c_custkey LEFT JOIN (SELECT c_custkey, c_custkey % 7 AS n FROM customer) b ON o.o_custkey = b.c_custkey""", None),
     "window_nearest": (
