@@ -120,7 +120,7 @@ def _sender(bits: int):
             k = len(blobs)
             ids = pa.array([b.column(0).to_pylist(), *[None] * k], pa.list_(b.column(0).type))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch % (1 << bits), *named.tolist()], pa.int32()), pa.array([batch] * (k + 1), pa.int64()), ids, pa.array([use.tobytes(), *blobs], pa.binary()), pa.array([sizes.astype("<i8").tobytes(), *[None] * k], pa.binary()), pa.array([units.tobytes(), *[None] * k], pa.binary())],
+                [pa.array([int(mix(np.array([batch], np.uint64))[0] >> np.uint64(64 - bits)), *named.tolist()], pa.int32()), pa.array([batch] * (k + 1), pa.int64()), ids, pa.array([use.tobytes(), *blobs], pa.binary()), pa.array([sizes.astype("<i8").tobytes(), *[None] * k], pa.binary()), pa.array([units.tobytes(), *[None] * k], pa.binary())],
                 ["bucket", "batch", "ids", "blob", "sizes", "units"],
             )
 

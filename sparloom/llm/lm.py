@@ -133,7 +133,7 @@ def _sender(bits: int):
             own = _packed(word, marks, lengths, part, np.array([end]))
             rows = len(blobs) + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch % (1 << bits), *used], pa.int32()), pa.array([batch] * rows, pa.int64()), pa.array([b.column(0).to_pylist(), *[None] * len(blobs)], pa.list_(b.column(0).type)), pa.array([own, *blobs], pa.binary()), pa.array([int(learn.sum()), *[0] * len(blobs)], pa.int64()), pa.array([int(weigh.sum()), *[0] * len(blobs)], pa.int64())],
+                [pa.array([int(mix(np.array([batch], np.uint64))[0] >> np.uint64(64 - bits)), *used], pa.int32()), pa.array([batch] * rows, pa.int64()), pa.array([b.column(0).to_pylist(), *[None] * len(blobs)], pa.list_(b.column(0).type)), pa.array([own, *blobs], pa.binary()), pa.array([int(learn.sum()), *[0] * len(blobs)], pa.int64()), pa.array([int(weigh.sum()), *[0] * len(blobs)], pa.int64())],
                 ["bucket", "batch", "ids", "blob", "learn", "weigh"],
             )
 
