@@ -1,19 +1,21 @@
 """Main-text extraction by equivalence-class template deduction over pages of one host.
 
 A token is a structural start tag with its class and id, under the path of the containers around
-it. Each token of a host gets an occurrence vector: how often it occurs in each of the host's
-pages. The vector is kept as a digest, a sum over pages of (mixed page hash x occurrences), so that it
-can be added up in parts and no host's pages need to meet in one task. Tokens with equal vectors
-are an equivalence class; a class is valid if it has enough support and its tokens keep one order;
-a class nests in another if its paths lie below one of the other's. The valid classes make up the
-host's template, whose tokens bound the slots. A slot is content or not by the roles of the tokens
-around it (navigation, footer, advert, form, comments, ...) and, where no token names the article,
-by how much unlinked text it holds that differs between pages. Text in content slots is extracted
-whole.
+it, or the text of a block under such a path. Each token of a host gets an occurrence vector: how
+often it occurs in each of the host's distinct pages. The vector is kept as a digest, a sum over pages
+of (mixed page hash x occurrences), so that it can be added up in parts and no host's pages need to
+meet in one task. Tokens with equal vectors are an equivalence class. A class makes template of its
+texts if it has enough support and one of its tags (or the page itself) encloses the text: the text
+then stands there whenever and as often as that tag. On each page the class's texts have to keep the
+class's order, else they are no template there.
+
+What the template leaves between its tokens are the slots. All of them are extracted but those in
+containers whose role is another than main text (navigation, footer, advert, form, comments, ...), and
+but blocks that are links only and stand in no container with other text.
 
 Cases: null or empty html gives an empty text; a null or broken url is a host of its own name; a
-host with one page, or a page with no token of its host's template, is judged by its own tokens;
-repeated rows are each extracted. Input columns of other names are ignored.
+host with fewer than LEAST_PAGES distinct pages, a page with no token of its host's template, and a page with
+nothing but template are judged by their own tokens; repeated rows are each extracted. Input columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,8 @@ from .textcore import stored, tuned
 
 #: Tokens in a smaller share of a host's pages are no part of its template.
 SUPPORT = 0.1
+#: Nor are tokens in fewer distinct pages than this.
+LEAST_PAGES = 3
 #: Templates of up to so many bytes in all are handed to every task; larger ones are joined.
 BROADCAST_BYTES = 32 << 20
 #: Parts into which a host's pages are dealt in that join.
@@ -46,6 +51,9 @@ MAIN = frozenset("article main".split())
 AWAY_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
 MAIN_WORDS = frozenset("article content entry main post story maincontent mainarea bodytext articlebody postbody entrycontent".split())
 
+#: The role of containers that hold no main text, by their tag.
+DROPPED = -3
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -59,17 +67,30 @@ def label(tag: str, attrs: str) -> str:
     return f"{tag}|{'|'.join(sorted(parts))}" if parts else tag
 
 
+@lru_cache(1 << 16)
 def role(token: str) -> int:
-    """1: the token opens a main text, -1: what is none, 0: neither."""
+    """1: the token opens a main text, DROPPED: what is none by its tag, -2: by a word in its names, 0: neither."""
     tag, *named = token.split("|")
     if tag in AWAY:
-        return -1
+        return DROPPED
     words = {w.lower() for x in named for w in _WORD.findall(x[2:])} | {w.replace("-", "").replace("_", "").lower() for x in named for w in x[2:].split(".")}
     if words & AWAY_WORDS:
-        return -1
+        return -2
     return 1 if tag in MAIN or words & MAIN_WORDS else 0
 
 
+def other_roles(found: list[tuple[tuple[str, ...], str, bool]]) -> tuple[Callable[[tuple[str, ...]], bool], bool]:
+    """Whether a path lies in a container of another role; and whether the page has a main text's
+    container outside of those."""
+    away = lambda path: any(role(t) < 0 for t in path)
+    return away, any(path and role(path[-1]) > 0 and not away(path) for path, text, _ in found if not text)
+
+
+def spoken(path: str, text: str) -> int:
+    """A text token's number."""
+    return _digest(f"{path}\n{text}") >> 1
+
+
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
     """(containers around, text of a block, whether it is all in links) in page order; also
     (containers, "", False) when a container opens."""
@@ -135,97 +156,87 @@ def _digest(page: str) -> int:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, path, n, total, digest, at, text, same): for each host and token, the pages that
-    have it, its occurrences, the digest of its vector, the sum of its first places, and how much
-    unlinked text stands directly in it and whether that is the same in all pages."""
+    """(host, path, said, n, high, low, at): for each host and token, the distinct pages that have
+    it, the two halves of its vector's digest and the mean of its first places. said is null for a
+    tag and tells texts apart."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found: dict[str, list] = {"": [1, 0, 0, ""]}
-                for order, (path, text, link) in enumerate(blocks(page or "")):
-                    got = found.setdefault(">".join(path), [0, order, 0, ""])
-                    if not text:
-                        got[0] += 1
-                    elif not link:
-                        got[2] += len(text)
-                        got[3] = got[3] or text
-                host, mark = host_of(url), _digest(f"{url}\n{page}")
-                rows += [(host, p, n, ((mark * n) & (2**64 - 1)) - 2**63, at, size, _digest(text) >> 1) for p, (n, at, size, text) in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["host", "path", "total", "mark", "at", "text", "said"])
-
-    marked = pages.select("url", "html").mapInArrow(scan, "host string, path string, total long, mark long, at long, text long, said long")
+                found: dict[tuple, list] = {("", None): [1, 0]}
+                for order, (path, text, _) in enumerate(blocks(page or "")):
+                    if text and any(role(t) == DROPPED for t in path):
+                        continue
+                    name = ">".join(path)
+                    found.setdefault((name, spoken(name, text) if text else None), [0, order])[0] += 1
+                host, mark = host_of(url), _digest(page or "")
+                rows += [(host, p, said, mark - 2**63, ((mark * n) & (2**64 - 1)) - 2**63, at) for (p, said), (n, at) in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["host", "path", "said", "page", "mark", "at"])
+
+    marked = pages.select("url", "html").mapInArrow(scan, "host string, path string, said long, page long, mark long, at long")
+    # equal pages count once, so that copies don't make template of their texts
+    once = marked.groupBy("host", "path", "said", "page").agg(F.first("mark").alias("mark"), F.first("at").alias("at"))
     # two halves of the mark, so that their sums stay within a long for any number of pages below 2**31
     high, low = F.shiftright("mark", 32), F.col("mark").bitwiseAND(F.lit(2**32 - 1))
-    return marked.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("total").alias("total"), F.sum(high).alias("high"), F.sum(low).alias("low"), F.sum("at").alias("at"), F.sum("text").alias("text"), (F.min("said") == F.max("said")).alias("same"))
+    return once.groupBy("host", "path", "said").agg(F.count("*").alias("n"), F.sum(high).alias("high"), F.sum(low).alias("low"), F.avg("at").alias("at"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, template): template is the JSON list of the content slots' paths."""
+    """(host, template): template is the JSON list of the valid classes, each the list of its
+    texts in their order. Hosts without such a class have no row."""
     seen = occurrences(pages)
-    sizes = seen.where("path = ''").select("host", F.col("n").alias("pages"))
+    sizes = seen.where("path = '' AND said IS NULL").select("host", F.col("n").alias("pages"))
     # of a page's tokens so many are kept at most: the mean number in a page / SUPPORT
-    kept = seen.where("path != ''").join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("pages") * SUPPORT))
-    classes = kept.groupBy("host", "pages", "n", "high", "low").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("at") / F.col("n")).alias("at"), "path", (F.col("text") / F.col("n")).alias("text"), "same"))).alias("tokens"))
-    hosts = classes.groupBy("host", "pages").agg(F.collect_list(F.struct("n", "tokens")).alias("classes"))
+    kept = seen.where(F.col("n") >= LEAST_PAGES).join(sizes, "host").where(F.col("n") >= F.col("pages") * SUPPORT)
+    classes = kept.groupBy("host", "high", "low", "n").agg(F.array_sort(F.collect_list(F.struct("at", "path", "said"))).alias("tokens"))
+    mixed = F.exists("tokens", lambda t: t["said"].isNull()) & F.exists("tokens", lambda t: t["said"].isNotNull())
+    hosts = classes.where(mixed).groupBy("host").agg(F.collect_list("tokens").alias("classes"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [json.dumps(content_slots(p, [(c["n"], [(t["path"], t["text"], t["same"]) for t in c["tokens"]]) for c in cs])) for p, cs in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], ["host", "pages", "template"])
-
-    return hosts.mapInArrow(scan, "host string, pages long, template string")
-
-
-def content_slots(pages: int, classes: list[tuple[int, list[tuple[str, float, bool]]]]) -> list[str]:
-    """The paths of the content slots of a template: of the valid classes' tokens, the outermost
-    that open a main text; where none does, the one with the most unlinked text that differs
-    between pages."""
-    valid: list[tuple[str, float, bool]] = []
-    for n, tokens in sorted(classes, key=lambda c: -c[0]):
-        # one order: a token never stands before the one that contains it
-        place = {p: k for k, (p, _, _) in enumerate(tokens)}
-        if all(place.get(p.rpartition(">")[0], -1) < k for p, k in place.items()):
-            valid += tokens
-    away = lambda p: any(role(t) < 0 for t in p.split(">"))
-    usable = [(p, size, same) for p, size, same in valid if not away(p)]
-    main = sorted({p for p, _, _ in usable if role(p.rpartition(">")[2]) > 0})
-    if not main:
-        inner: dict[str, float] = {}
-        for p, size, same in usable:
-            if not same:
-                inner[p] = inner.get(p, 0) + size
-        main = [max(sorted(inner), key=inner.__getitem__)] if inner and max(inner.values()) > 0 else []
-    return [p for p in main if not any(p != q and p.startswith(q + ">") for q in main)]
-
-
-def extract(page: str | None, slots: list[str] | None) -> str:
-    """The main text of a page, by its host's content slots; without them, or if the page has
-    none of them, by its own tokens."""
+            made = [[repeated([(t["path"], t["said"]) for t in c]) for c in cs] for cs in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(sorted(c for c in cs if c)) for cs in made], pa.string())], ["host", "template"])
+
+    return hosts.mapInArrow(scan, "host string, template string").where("template != '[]'")
+
+
+def repeated(tokens: list[tuple[str, int | None]]) -> list[int]:
+    """Of a class's tokens, in order, the texts that one of its tags encloses."""
+    tags = {p for p, said in tokens if said is None}
+    around = lambda p: p in tags or "" in tags or any(p.startswith(t + ">") for t in tags)
+    return [said for p, said in tokens if said is not None and around(p)]
+
+
+def template_blocks(found: list[tuple[tuple[str, ...], str, bool]], template: list[list[int]] | None) -> set[int]:
+    """The numbers of the blocks that are template on this page."""
+    if not template:
+        return set()
+    known = {said: (c, k) for c, texts in enumerate(template) for k, said in enumerate(texts)}
+    held: dict[int, list[tuple[int, int]]] = {}
+    for i, (path, text, _) in enumerate(found):
+        got = known.get(spoken(">".join(path), text)) if text else None
+        if got:
+            held.setdefault(got[0], []).append((got[1], i))
+    # one order: all texts of the class in turn, once or more often
+    return {i for c, at in held.items() if [k for k, _ in at] == list(range(len(template[c]))) * (len(at) // len(template[c])) for _, i in at}
+
+
+def extract(page: str | None, template: list[list[int]] | None) -> str:
+    """The main text of a page: what its host's template leaves, in no container of another role."""
     found = list(blocks(page or ""))
-    paths = {">".join(p) for p, _, _ in found}
-    use = [s for s in slots or () if s in paths]
-    if not use:
-        inner: dict[str, int] = {}
-        for p, text, link in found:
-            if text and not link:
-                inner[">".join(p)] = inner.get(">".join(p), 0) + len(text)
-        use = content_slots(1, [(1, [(p, inner.get(p, 0), False) for p in sorted(paths) if p])])
-        if not use:
-            use = [p for p in inner if p in ("", "html", "html>body", "body")]
-    out = []
-    for path, text, _ in found:
-        if not text:
+    gone = template_blocks(found, template)
+    away, main = other_roles(found)
+    out: list[str] = []
+    # if nothing is left: words in names don't count; then, template does not
+    for dropped, words in ((gone, True), (gone, False), (set(), True), (set(), False)):
+        if out or (not words and main):
             continue
-        name = ">".join(path)
-        for s in use:
-            if name == s or name.startswith(s + ">") or not s:
-                rest = path[len(s.split(">")) if s else 0 :]
-                if not any(role(t) < 0 for t in rest):
-                    out.append(text)
-                break
+        left = [(path, text, link) for i, (path, text, link) in enumerate(found) if text and i not in dropped and not (away(path) if words else any(role(t) == DROPPED for t in path))]
+        plain = {path for path, _, link in left if not link}
+        inner = {p for p in plain if p and p[-1].split("|")[0] not in ("html", "body")}
+        stays = lambda p: p in plain or any(p[:k] in inner for k in range(len(p))) or any(role(t) > 0 for t in p)  # noqa: B023, E731
+        out = [text for path, text, link in left if not link or stays(path)]
     return "\n\n".join(out)
 
 

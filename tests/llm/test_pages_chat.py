@@ -27,6 +27,21 @@ def test_pages(spark, monkeypatch, limit):
     assert html.find(df.limit(0)).count() == 0
 
 
+def texts(spark, bodies, host="https://h.example/"):
+    df = spark.createDataFrame([(k, f"{host}{k}", f"<html><body{b if b.startswith((' ', '>')) else '>' + b}</body></html>") for k, b in enumerate(bodies)], "page_id long, url string, html string")
+    return [r["text"] for r in html.find(df).orderBy("id").collect()]
+
+
+def test_pages_repeated_text(spark):
+    """Text that stands on every page is template, also inside an article; copies of a page make none."""
+    page = "<article><p>Read on our site</p><p>story {n}</p><p>Thanks for reading</p></article>"
+    assert texts(spark, [page.format(n=n) for n in range(4)]) == [f"story {n}" for n in range(4)]
+    assert texts(spark, [page.format(n=1)] * 4) == ["Read on our site\n\nstory 1\n\nThanks for reading"] * 4
+    # on one page the class's texts stand in another order: there they are no template
+    turned = "<article><p>Thanks for reading</p><p>story 9</p><p>Read on our site</p></article>"
+    assert texts(spark, [*(page.format(n=n) for n in range(4)), turned])[-1] == "Thanks for reading\n\nstory 9\n\nRead on our site"
+
+
 HARD = ["<s>", "</\\s>", "[INST]x[\\INST]", "<", "[", "a<</s>", "[ROLE]\\", "[/ROLE]<s", "\\</s>", "", None, "\n"]
 
 
