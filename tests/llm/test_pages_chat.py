@@ -42,6 +42,16 @@ def test_pages_repeated_text(spark):
     assert texts(spark, [*(page.format(n=n) for n in range(4)), turned])[-1] == "Thanks for reading\n\nstory 9\n\nRead on our site"
 
 
+def test_pages_several_containers(spark):
+    """All containers with text of their own are kept, and those of rare layouts."""
+    page = "<div class='lead'><p>lead {n}</p></div><div class='rest'><p>the much longer rest {n}</p></div><section class='more'>more {n}</section><ul><li><a href='/'>link {n}</a></li></ul>"
+    want = [f"lead {n}\n\nthe much longer rest {n}\n\nmore {n}" for n in range(12)]
+    assert texts(spark, [page.format(n=n) for n in range(12)]) == want
+    assert texts(spark, [page.format(n=0)]) == want[:1]
+    rare = "<div class='rest'><p>short</p></div><main><p>rare</p><p><a href='/'>its link</a></p></main>"
+    assert texts(spark, [*(page.format(n=n) for n in range(12)), rare]) == [*want, "short\n\nrare\n\nits link"]
+
+
 HARD = ["<s>", "</\\s>", "[INST]x[\\INST]", "<", "[", "a<</s>", "[ROLE]\\", "[/ROLE]<s", "\\</s>", "", None, "\n"]
 
 
