@@ -11,7 +11,9 @@ class's order, else they are no template there.
 
 What the template leaves between its tokens are the slots. All of them are extracted but those in
 containers whose role is another than main text (navigation, footer, advert, form, comments, ...), and
-but blocks that are links only and stand in no container with other text.
+but blocks that are links only and stand in no container with other text. A word in a longer name
+(has-sidebar) takes out no container that holds the page's main text, and a page is only empty if all
+of its text is in links, or in containers of such tags, or beside an empty main text.
 
 Cases: null or empty html gives an empty text; a null or broken url is a host of its own name; a
 host with fewer than LEAST_PAGES distinct pages, a page with no token of its host's template, and a page with
@@ -47,6 +49,7 @@ RAW = frozenset("script style noscript template iframe svg math object canvas te
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 STRUCTURE = frozenset("html head body header footer nav aside main article section div ul ol dl table form fieldset dialog figure details menu center".split())
 AWAY = frozenset("head header footer nav aside form fieldset dialog menu".split())
+FORMS = frozenset("form fieldset".split())
 MAIN = frozenset("article main".split())
 AWAY_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
 MAIN_WORDS = frozenset("article content entry main post story maincontent mainarea bodytext articlebody postbody entrycontent".split())
@@ -69,21 +72,46 @@ def label(tag: str, attrs: str) -> str:
 
 @lru_cache(1 << 16)
 def role(token: str) -> int:
-    """1: the token opens a main text, DROPPED: what is none by its tag, -2: by a word in its names, 0: neither."""
+    """1: the token opens a main text. What is none: DROPPED by its tag, -2 by a whole name, -1 by a
+    word in a longer name, a name beside one of a main text, or as a form. 0: neither."""
     tag, *named = token.split("|")
-    if tag in AWAY:
+    if tag in ("html", "body"):
+        return 0
+    if tag in AWAY and tag not in FORMS:
         return DROPPED
-    words = {w.lower() for x in named for w in _WORD.findall(x[2:])} | {w.replace("-", "").replace("_", "").lower() for x in named for w in x[2:].split(".")}
-    if words & AWAY_WORDS:
-        return -2
-    return 1 if tag in MAIN or words & MAIN_WORDS else 0
+    names = [w for x in named for w in x[2:].split(".")]
+    whole = {w.replace("-", "").replace("_", "").lower() for w in names}
+    words = [{w.lower() for w in _WORD.findall(x)} | {x.replace("-", "").replace("_", "").lower()} for x in names]
+    main = any(w & MAIN_WORDS and not w & AWAY_WORDS for w in words)
+    if whole & AWAY_WORDS:
+        return -1 if main else -2
+    if tag in FORMS or (not main and any(w & AWAY_WORDS for w in words)):
+        return -1
+    return 1 if main or tag in MAIN else 0
 
 
 def other_roles(found: list[tuple[tuple[str, ...], str, bool]]) -> tuple[Callable[[tuple[str, ...]], bool], bool]:
     """Whether a path lies in a container of another role; and whether the page has a main text's
-    container outside of those."""
-    away = lambda path: any(role(t) < 0 for t in path)
-    return away, any(path and role(path[-1]) > 0 and not away(path) for path, text, _ in found if not text)
+    container outside of those. Containers of role -1 count by what is in them: one that holds a
+    main text, or half of the page's unlinked text, while no main text stands outside, is none."""
+    sure = {path: any(role(t) < -1 for t in path) for path, _, _ in found}
+    weak: dict[tuple[str, ...], int] = {}
+    total = 0
+    for path, text, link in found:
+        if not sure[path]:
+            size = 0 if link else len(text)
+            total += size
+            for k, t in enumerate(path, 1):
+                if role(t) == -1:
+                    weak[path[:k]] = weak.get(path[:k], 0) + size
+    mains = {path for path, text, _ in found if not text and not sure[path] and role(path[-1]) > 0}
+    off = set(weak)
+    away = lambda path: any(role(t) < -1 for t in path) or any(path[:k] in off for k in range(1, len(path) + 1))
+    for p in sorted(weak, key=lambda p: (-weak[p], len(p))):
+        inside = {m for m in mains if m[: len(p)] == p}
+        if (inside or 2 * weak[p] >= total) and all(away(m) for m in mains - inside):
+            off.remove(p)
+    return away, any(not away(m) for m in mains)
 
 
 def spoken(path: str, text: str) -> int:

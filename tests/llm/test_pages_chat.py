@@ -52,6 +52,20 @@ def test_pages_several_containers(spark):
     assert texts(spark, [*(page.format(n=n) for n in range(12)), rare]) == [*want, "short\n\nrare\n\nits link"]
 
 
+def test_pages_words_in_longer_names(spark):
+    """One word in a class takes out no container that holds the page's text."""
+    rest = "<nav>menu</nav><div class='sidebar'>side {n}</div>"
+    opens = [" class='has-sidebar'><div>{}</div>", "<form action='/'><div>{}</div></form>", "<div class='page with-widget'><div>{}</div></div>", "<article class='post comments-open'>{}</article>", "<div class='content share-enabled'>{}</div>", "<div class='ads'>{}</div>"]
+    for body in opens:
+        pages = [(body.format(f"<p>a story of some length {n}</p>") + rest.format(n=n)) for n in range(4)]
+        got = texts(spark, pages)
+        assert got == [f"a story of some length {n}" + (f"\n\nside {n}" if "'ads'" in body else "") for n in range(4)]
+    # beside a main text, words still take out what is longer than it
+    page = "<article class='post'>story {n}</article><div class='post-comments'><article class='comment'>a reader says very much {n}</article><p>another one, too {n}</p></div><section class='related-posts'><article class='post'>tease {n}</article></section>"
+    assert texts(spark, [page.format(n=n) for n in range(4)]) == [f"story {n}" for n in range(4)]
+    assert texts(spark, ["<article></article><div class='ad'>buy 1</div>"]) == [""]
+
+
 HARD = ["<s>", "</\\s>", "[INST]x[\\INST]", "<", "[", "a<</s>", "[ROLE]\\", "[/ROLE]<s", "\\</s>", "", None, "\n"]
 
 
