@@ -117,7 +117,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     votes = grams.join(F.broadcast(known).alias("t"), hit, "left").where(F.col("tid").isNotNull() | (F.col("at") < 0))
     diagonals = votes.groupBy("id", "key", "tid", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
         F.max(F.when(F.col("at") < 0, F.col("g.hash"))).alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("votes").alias("votes"),
-        F.count("t_at").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("t_at").alias("first_t"), F.max("t_at").alias("last_t"),
+        # distinct, as rows that repeat in id and text vote once each
+        F.size(F.collect_set("t_at")).cast("long").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("t_at").alias("first_t"), F.max("t_at").alias("last_t"),
     )
     place = Window.partitionBy("id", "key", "tid").orderBy("first_at", "diagonal")
     # near diagonals that go on where the last one ended, in the document and in the template

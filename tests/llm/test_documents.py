@@ -40,6 +40,16 @@ def test_licenses(spark, corpus, docs, no_docs):
     assert licenses.find(no_docs).count() == 0
 
 
+def test_licenses_repeated_rows(spark):
+    """Copies of a row give what one of them gives: no phrase is lost and no half template passes."""
+    texts = ["Under the MIT License, or the Apache License; again: MIT license.", "licensed under the apache thing", "licensed under the apache license version 2 0"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[0])]
+    one = {r["id"]: r for r in licenses.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    many = licenses.find(spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(3)).collect()
+    assert len(many) == 4 and {r["id"]: r for r in many} == one
+    assert [s["label"] for s in one[None]["spans"] if s["exact"]] == ["mit", "apache", "mit"] and not one[1]["spans"]
+
+
 def test_language_model(corpus, docs, no_docs):
     got = defaultdict(list)
     for r in lm.score(docs).collect():
