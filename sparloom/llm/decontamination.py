@@ -7,7 +7,8 @@ the bucket of the windows that end in this block (the suffix hash), which are th
 the text word by word, byte by byte. Many rows are searched in step, one cursor each.
 
 Cases: null and empty texts have no words and are never hit; an item without words has no window;
-repeated rows are each searched; repeated item ids count once; items with equal text all count.
+repeated rows are each searched; repeated item ids count once; items with equal text all count; an
+item with a null id is searched for like any other, but is not in the lists of items.
 Input columns of other names are ignored, those of equal names are not touched.
 """
 
@@ -35,12 +36,12 @@ STRIDE = 96
 class Searcher:
     """Shift tables, suffix buckets and the test strings of one set of windows."""
 
-    def __init__(self, windows: list[tuple[str, list[bytes]]]):
-        """windows: (item id as a string, the words)."""
+    def __init__(self, windows: list[tuple[str | None, list[bytes]]]):
+        """windows: (item id as a string, the words); those of a null id hit, but name no item."""
         self.groups = []
         by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, words in windows:
-            by_length[len(words)][b" ".join(words)].add(item)
+            by_length[len(words)][b" ".join(words)].update(() if item is None else (item,))
         for m, strings in sorted(by_length.items()):
             texts = sorted(strings)
             buf = pa.array(texts, pa.binary())
@@ -114,18 +115,18 @@ class Searcher:
         return np.cumsum(hit[:-1]) > 0, found
 
 
-def windows_of(item: object, text: str | None, window: int = WINDOW) -> list[tuple[str, list[bytes]]]:
+def windows_of(item: object, text: str | None, window: int = WINDOW) -> list[tuple[str | None, list[bytes]]]:
     """The windows of one test item."""
     w = segment(*column_bytes(pa.array([text or ""])), ALNUM)
     words = [w.data[s:e].tobytes() for s, e in zip(w.start, w.end)]
-    if not words or item is None:
+    if not words:
         return []
-    return [(str(item), words[k : k + window]) for k in range(max(1, len(words) - window + 1))]
+    return [(None if item is None else str(item), words[k : k + window]) for k in range(max(1, len(words) - window + 1))]
 
 
-def window_passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def window_passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The test set's windows in lists of about ``limit``, read one partition at a time."""
-    held: list[tuple[str, list[bytes]]] = []
+    held: list[tuple[str | None, list[bytes]]] = []
     for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         held += windows_of(row["i"], row["t"])
         if len(held) >= limit:

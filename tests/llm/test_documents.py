@@ -178,6 +178,15 @@ def test_decontamination(spark, corpus, docs, no_docs):
     assert rng is not None
 
 
+def test_decontamination_null_item(spark, docs, corpus):
+    """An item without an id hits, but is in no list."""
+    bench = spark.createDataFrame([(None, "GNU General Public License"), (7, "a b c d e")], "item_id long, text string")
+    got = {r["id"]: (r["n_hit"], r["items"]) for r in decontamination.find(docs.where("doc_id IN (206, 210, 220)"), bench).collect() if r["n_words"] != 5 or r["n_hit"]}
+    assert got == {206: (0, []), 210: (5, ["7"]), 220: (4, [])}
+    left = {r["doc_id"] for r in decontamination.keep_clean(docs, bench).collect()}
+    assert 220 not in left and 206 in left
+
+
 def test_bpe(corpus, docs, no_docs):
     import tiktoken
 
