@@ -127,19 +127,21 @@ def windows_of(item: object, text: str | None, window: int = WINDOW) -> list[tup
 def window_passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The test set's windows in lists of about ``limit``, read one partition at a time."""
     held: list[tuple[str | None, list[bytes]]] = []
+    some = False
     for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         held += windows_of(row["i"], row["t"])
         if len(held) >= limit:
             yield held
-            held = []
-    yield held
+            held, some = [], True
+    if held or not some:
+        yield held
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = WINDOWS_PER_PASS) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted array of item ids as strings).
 
     Test sets of up to ``limit`` windows take one pass; a larger one is searched in blocks, whose
-    hit word positions are united per document."""
+    hit word positions are united per document. Either way each row of the documents gives a row."""
     spark = docs.sparkSession
     tuned(spark)
     passes = [Searcher(x) for x in window_passes(benchmark, item_col, item_text_col, limit)]
@@ -170,7 +172,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     for p in passes:
         part = source.mapInArrow(run(p, True), schema + ", at array<long>, of string")
         united = part if united is None else united.unionAll(part)
-    return united.groupBy("id", "of").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("of")
+    # rows equal in id and text have equal hits: one group, given as often as each pass had it
+    sides = united.groupBy("id", "of").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("*").alias("rows"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"rows div {len(passes)}")))
+    return sides.select("id", "n_words", "n_hit", "items", copies.alias("copy")).drop("copy")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = WINDOWS_PER_PASS) -> DataFrame:

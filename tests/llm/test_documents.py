@@ -187,6 +187,19 @@ def test_decontamination_null_item(spark, docs, corpus):
     assert 220 not in left and 206 in left
 
 
+def test_decontamination_repeated_rows(spark, corpus, docs):
+    """Every row of the documents gives a row, in however many passes the test set is searched."""
+    items = [(k, " ".join(t.split()[:40])) for k, (_, t) in enumerate(corpus[:20]) if t]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = docs.unionByName(docs.where("doc_id IN (3, 5)").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("doc_id IN (3, 203)"))
+    rows = lambda limit: Counter((r["id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontamination.find(more, bench, limit=limit).collect())
+    one = rows(10**6)
+    assert one.total() == more.count() and max(one.values()) >= 6
+    n = sum(len(decontamination.windows_of(i, t)) for i, t in items)
+    assert rows(30) == one and rows(n) == one
+    assert len(list(decontamination.window_passes(bench, "item_id", "text", n))) == 1
+
+
 def test_bpe(corpus, docs, no_docs):
     import tiktoken
 
