@@ -1,11 +1,14 @@
 """A quality classifier over random-indexing word vectors.
 
-Words stand in hashed slots of a table of fixed size. Each word has a sparse random index vector
-of -1, 0 and 1; over the whole corpus, a slot's context vector sums the index vectors of the words
-before and after its own, and of its words' shapes (letter cases, digits, marks; whether it repeats
-the word before). A document is the mean of its words' and of its shapes' vectors. On these a
-network of two layers is trained in numpy, and the temperature of its probabilities is set on
-labelled rows kept apart.
+Each word has a sparse random index vector of -1, 0 and 1; over the whole corpus, a word's context
+vector sums the index vectors of the words before and after it, and of its occurrences' shapes (letter
+cases, digits, marks; whether it repeats the word before). Shapes have context vectors like words. A
+document is the mean of its words' and of its shapes' vectors. On these a network of two layers is
+trained in numpy, and the temperature of its probabilities is set on labelled rows kept apart.
+
+Every word, told by 64 bits of hash, has a vector of its own. Each Arrow batch sends its words' sums
+packed by bucket of words; a bucket adds them up and is a row of a table in the shared folder. A batch
+to be scored asks the buckets for its words and meets the answers; no vocabulary is gathered anywhere.
 
 Labels are taken from a sample of bounded, stated size; the context vectors come from all
 documents. Labels, language, source and id are never inputs of a score.
@@ -17,30 +20,35 @@ names are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .textcore import NOT_SPACE, Words, column_bytes, mix, row_chunks, segment, tuned
+from .jaccard import bucket_bits
+from .textcore import NOT_SPACE, Words, batch_numbers, column_bytes, mix, row_chunks, segment, stored, tuned
 
 #: Dimensions of word vectors.
 DIM = 32
-#: Slots of words, and behind them of shapes.
-WORD_SLOTS = 4096
 SHAPES = 256
-SLOTS = WORD_SLOTS + SHAPES
+#: Words of text for a bucket, about.
+BUCKET_WORDS = 2_000_000
+#: Words whose sums a task holds before it adds them up and sends them, about; one counts for each part of a column.
+HELD_WORDS = 1_000_000
+#: Bytes of documents that ask for their words' vectors together.
+BATCH_BYTES = 16 << 20
 #: Non-zero places of an index vector.
 PLACES = 2
 #: Labelled rows that the network learns from, at most.
 SAMPLE_ROWS = 20_000
 #: Units of the hidden layer, rounds over the sample, and the learning rate.
 HIDDEN, ROUNDS, RATE = 48, 60, 0.004
-#: Slots whose sums travel in one row.
-BLOCK = 256
 
 _KINDS = np.full(256, 3, np.int64)
 _KINDS[97:123], _KINDS[65:91], _KINDS[48:58], _KINDS[128:] = 0, 1, 2, 0
@@ -58,81 +66,189 @@ def shapes_of(raw: np.ndarray, w: Words) -> np.ndarray:
     return (_KINDS[raw[a]] * 16 + _KINDS[raw[second]] * 4 + _KINDS[raw[z]]) + 64 * doubled + 128 * again
 
 
-def _chunks(col: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray]]:
-    """(first row, end row, words, word slots, shape slots)."""
+_shape_keys = mix(np.arange(SHAPES, dtype=np.uint64) + np.uint64(77))
+
+
+def _chunks(col: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, words, distinct keys of words and shapes, each word's key's place, its shape's)."""
     data, offs = column_bytes(col)
     for lo, hi in row_chunks(offs):
         o, raw = offs[lo : hi + 1] - offs[lo], data[offs[lo] : offs[hi]]
         w = segment(raw, o, NOT_SPACE)
-        yield lo, hi, w, (w.hash % np.uint64(WORD_SLOTS)).astype(np.int64), WORD_SLOTS + shapes_of(raw, w) if len(w.hash) else np.zeros(0, np.int64)
+        n = len(w.hash)
+        keys, at = np.unique(np.concatenate([w.hash, _shape_keys[shapes_of(raw, w)]]) if n else w.hash, return_inverse=True)
+        yield lo, hi, w, keys, at[:n], at[n:]
 
 
-_shape_keys = mix(np.arange(SHAPES, dtype=np.uint64) + np.uint64(77))
-
-
-def gather(col: pa.Array, total: np.ndarray) -> None:
-    """Add the context vectors of a column's words to a table of SLOTS x DIM."""
-    flat = total.reshape(-1)
-    for _, _, w, slot, shape in _chunks(col):
+def gather(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For parts of a column, the distinct keys of words and shapes, and what the texts add to their
+    context vectors."""
+    for _, _, w, keys, slot, shape in _chunks(col):
         near = w.row[1:] == w.row[:-1]
         before, after = np.flatnonzero(near), np.flatnonzero(near) + 1
-        keys = _shape_keys[shape - WORD_SLOTS]
-        # (slots that gain, index keys of what they gain)
-        for to, key in ((slot[after], w.hash[before]), (slot[before], w.hash[after]), (slot, keys), (shape, keys), (shape[after], keys[before])):
+        marks = keys[shape]
+        total = np.zeros(len(keys) * DIM)
+        # (places that gain, index keys of what they gain)
+        for to, key in ((slot[after], w.hash[before]), (slot[before], w.hash[after]), (slot, marks), (shape, marks), (shape[after], marks[before])):
             for k in range(PLACES):
                 part = key >> np.uint64(8 + 20 * k)
                 place = (part % np.uint64(DIM)).astype(np.int64)
                 sign = np.where((part >> np.uint64(10)) & np.uint64(1), 1.0, -1.0)
-                flat += np.bincount(to * DIM + place, sign, SLOTS * DIM)
+                total += np.bincount(to * DIM + place, sign, len(total))
+        yield keys, total.reshape(-1, DIM).astype(np.int32)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key, added up; the keys rise."""
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]))
+    sums = np.zeros((len(keys), DIM), np.int64)
+    for k, x in parts:
+        sums[np.searchsorted(keys, k)] += x
+    return keys, sums
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Rows of DIM whole numbers, most of them 0 or small: which are not 0, their signs and sizes."""
+    on = x != 0
+    size = np.abs(x[on]).astype(np.uint64)
+    large = size[size > 254]
+    raw = np.array([len(x), len(size)], "<u8").tobytes() + np.packbits(on).tobytes() + np.packbits(x[on] < 0).tobytes() + np.minimum(size, 255).astype(np.uint8).tobytes() + large.tobytes()
+    return zstandard.compress(raw, 3)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    n, k = raw[:16].view("<u8").tolist()
+    cuts = np.cumsum([16, n * DIM // 8, (k + 7) // 8, k])
+    size = raw[cuts[2] : cuts[3]].astype(np.int64)
+    size[size == 255] = np.frombuffer(raw[cuts[3] :].tobytes(), "<u8").astype(np.int64)
+    out = np.zeros(n * DIM, np.int64)
+    out[np.unpackbits(raw[cuts[0] : cuts[1]]) > 0] = np.where(np.unpackbits(raw[cuts[1] : cuts[2]], count=k), -size, size)
+    return out.reshape(n, DIM)
+
+
+def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the keys, and the part of it for each bucket that has some."""
+    bucket = (mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    named, first = np.unique(bucket[order], return_index=True)
+    return order, [(int(k), slice(a, z)) for k, a, z in zip(named, first, [*first[1:], len(keys)])]
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """One bucket: each of its words once, with its sums."""
+    keys, sums = _merged([(np.frombuffer(k, np.uint64), _unpacked(x)) for k, x in zip(table["keys"].to_pylist(), table["sums"].to_pylist())])
+    return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([_packed(sums)], pa.binary())], ["bucket", "keys", "sums"])
 
 
-def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The table of context vectors of all documents, each of length 1 or 0. Every task adds up its own
-    table; those are summed by blocks of slots, so that the driver gets SLOTS x DIM numbers."""
+def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
+    """The table of the context vectors of all documents' words, a row for each bucket, and the
+    bits of a bucket's number."""
     tuned(docs.sparkSession)
+    texts = docs.select(F.col(text_col).alias("text"))
+    bits = bucket_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_WORDS)
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SLOTS, DIM))
-        for b in batches:
-            gather(b.column(0), total)
-        blocks = range(0, SLOTS, BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK for k in blocks], pa.int32()), pa.array([total[k : k + BLOCK].tobytes() for k in blocks], pa.binary())], ["block", "sums"])
+    def sent(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        order, cuts = _by_bucket(keys, bits)
+        keys, sums = keys[order], sums[order]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in cuts], pa.int32()), pa.array([keys[z].tobytes() for _, z in cuts], pa.binary()), pa.array([_packed(sums[z]) for _, z in cuts], pa.binary())], ["bucket", "keys", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(raw)
-                sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
-
-    rows = docs.select(F.col(text_col)).mapInArrow(part, "block int, sums binary").repartition(-(-SLOTS // BLOCK), "block").mapInArrow(add, "block int, sums binary").collect()
-    total = np.zeros((SLOTS, DIM))
-    for r in rows:
-        x = np.frombuffer(r["sums"]).reshape(-1, DIM)
-        total[r["block"] * BLOCK : r["block"] * BLOCK + len(x)] = x
-    size = np.linalg.norm(total, axis=1, keepdims=True)
-    return (total / np.maximum(size, 1e-9)).astype(np.float32)
-
-
-def pooled(col: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """A row of 2 x DIM + 2 numbers for each text."""
+            for got in gather(b.column(0)):
+                held.append(got)
+                if sum(len(k) for k, _ in held) > HELD_WORDS:
+                    yield sent(*_merged(held))
+                    held = []
+        yield sent(*_merged(held))
+
+    sums = texts.mapInArrow(part, "bucket int, keys binary, sums binary").groupBy("bucket").applyInArrow(_add_up, "bucket int, keys binary, sums binary")
+    return stored(sums, "vectors"), bits
+
+
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of BATCH_BYTES at least, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= BATCH_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def with_vectors(docs: DataFrame, text_at: int, words: DataFrame, bits: int, use: Callable[[pa.Table, np.ndarray], pa.Table], schema: str | StructType) -> DataFrame:
+    """What ``use`` makes of each batch of documents and the rows of pooled() for their texts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, b in zip(batch_numbers(), _larger(batches)):
+            if not b.num_rows:
+                continue
+            parts = [keys for _, _, _, keys, _, _ in _chunks(b.column(text_at))]
+            keys = np.unique(np.concatenate(parts))
+            order, cuts = _by_bucket(keys, bits)
+            keys = keys[order]
+            held = pa.BufferOutputStream()
+            with pa.ipc.new_stream(held, b.schema) as writer:
+                writer.write_batch(b)
+            home = int(mix(np.array([batch], np.uint64))[0] >> np.uint64(64 - bits))
+            n = len(cuts)
+            yield pa.RecordBatch.from_arrays([pa.array([home, *(k for k, _ in cuts)], pa.int32()), pa.array([batch] * (n + 1), pa.int64()), pa.array([None, *(keys[z].tobytes() for _, z in cuts)], pa.binary()), pa.array([zstandard.compress(held.getvalue(), 6), *[None] * n], pa.binary())], ["bucket", "batch", "asked", "own"])
+
+    def answer(sent: pa.Table, known: pa.Table) -> pa.Table:
+        named, sums = np.zeros(0, np.uint64), np.zeros((0, DIM), np.int64)
+        if known.num_rows:
+            named, sums = np.frombuffer(known["keys"][0].as_py(), np.uint64), _unpacked(known["sums"][0].as_py())
+        told = []
+        for x in sent["asked"].to_pylist():
+            keys = np.frombuffer(x or b"", np.uint64)
+            out = np.zeros((len(keys), DIM), np.int64)
+            if len(named):
+                at = np.minimum(np.searchsorted(named, keys), len(named) - 1)
+                same = named[at] == keys
+                out[same] = sums[at[same]]
+            told.append(_packed(out) if x is not None else None)
+        return pa.table([sent["batch"], sent["bucket"], pa.array(told, pa.binary()), sent["own"]], ["batch", "of", "told", "own"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        own, told = table.filter(pc.is_valid(table["own"])), table.filter(pc.is_null(table["own"]))
+        rows = pa.ipc.open_stream(zstandard.decompress(own["own"][0].as_py())).read_all()
+        texts = rows.column(text_at).combine_chunks()
+        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+        keys = np.unique(np.concatenate([keys for _, _, _, keys, _, _ in _chunks(texts)]))
+        order, cuts = _by_bucket(keys, bits)
+        place = dict(cuts)
+        vectors = np.zeros((len(keys), DIM), np.float32)
+        for k, blob in zip(told["of"].to_pylist(), told["told"].to_pylist()):
+            x = _unpacked(blob)
+            vectors[order[place[k]]] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return use(rows, pooled(texts, keys, vectors))
+
+    sent = docs.mapInArrow(ask, "bucket int, batch long, asked binary, own binary")
+    back = sent.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, "batch long, of int, told binary, own binary")
+    return back.groupBy("batch").applyInArrow(meet, schema)
+
+
+def pooled(col: pa.Array, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """A row of 2 x DIM + 2 numbers for each text, by the vectors of the known keys, which rise."""
     out = np.zeros((len(col), 2 * DIM + 2), np.float32)
-    for lo, hi, w, slot, shape in _chunks(col):
+    for lo, hi, w, keys, slot, shape in _chunks(col):
         n = w.counts
         full = np.flatnonzero(n)
         if not len(full):
             continue
+        own = vectors[np.searchsorted(known, keys)]
         at = (np.cumsum(n) - n)[full]
-        words, marks = np.add.reduceat(vectors[slot], at, axis=0), np.add.reduceat(vectors[shape], at, axis=0)
+        words, marks = np.add.reduceat(own[slot], at, axis=0), np.add.reduceat(own[shape], at, axis=0)
         size = n[full, None]
         out[lo + full] = np.concatenate([words / size, marks / size, np.linalg.norm(words, axis=1, keepdims=True) / size, np.linalg.norm(marks, axis=1, keepdims=True) / size], axis=1)
     return out
 
 
 @dataclass
-class Model:
-    vectors: np.ndarray
+class Network:
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -144,20 +260,29 @@ class Model:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
-    def scores(self, col: pa.Array) -> np.ndarray:
-        return _sigmoid(self.logits(pooled(col, self.vectors).astype(float)) / self.temperature)
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.logits(x.astype(float)) / self.temperature)
+
+
+@dataclass
+class Model:
+    """The table of context vectors, the bits of its buckets' numbers, and the network."""
+
+    words: DataFrame
+    bits: int
+    network: Network
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
+def train(x: np.ndarray, y: np.ndarray) -> Network:
     """Fit the network on nine tenths of the rows, the temperature on the rest."""
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(2 * DIM + 2), np.ones(2 * DIM + 2))
     rng = np.random.default_rng(11)
     p = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
-    model = Model(vectors, mean, scale, p[0], p[1], p[2], 0.0, 1.0)
+    model = Network(mean, scale, p[0], p[1], p[2], 0.0, 1.0)
     if len(y) < 20 or y.min() == y.max():
         model.w2 = np.zeros(HIDDEN)
         return model
@@ -193,48 +318,41 @@ def fold(id_col: str | Column = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_ROWS) -> Model:
     """Learn from all texts and at most ``sample`` labelled rows, the first by a hash of their id."""
     tuned(docs.sparkSession)
-    vectors = context_vectors(docs, text_col)
+    words, bits = context_vectors(docs, text_col)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 1)).select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("double").alias("y"))
     wanted = {r["id"]: r["y"] for r in usable.orderBy(F.xxhash64("id"), "id", "y").limit(sample).collect()}
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = [wanted.get(x) for x in b.column(0).to_pylist()]
             part = b.filter(pa.array([v is not None for v in y]))
-            x = pooled(part.column(1), vectors)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v for v in y if v is not None], pa.float64()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v for v in y if v is not None], pa.float64()), part.column(1)], ["id", "y", "text"])
+
+    def features(rows: pa.Table, x: np.ndarray) -> pa.Table:
+        return pa.table([rows["id"], rows["y"], pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
     # repeated ids: the first by id and vector, so that the sample keeps its bound
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(features, "id string, y double, x binary").groupBy("id", "y").agg(F.min("x").alias("x")).collect()
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(labelled, "id string, y double, text string")
+    rows = with_vectors(texts, 2, words, bits, features, "id string, y double, x binary").groupBy("id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], float).reshape(len(rows), 2 * DIM + 2)
-    return train(vectors, x, np.array([r["y"] for r in rows]))
+    return Model(words, bits, train(x, np.array([r["y"] for r in rows])))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row. Nothing is shuffled."""
+    """(id, score) of every row."""
     tuned(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(b.column(1)))], ["id", "score"])
-
-    return source.mapInArrow(scan, f"id {dict(source.dtypes)['id']}, score double")
+    network = model.network
+    use = lambda rows, x: pa.table([rows.column(0), pa.array(network.scores(x))], ["id", "score"])
+    return with_vectors(source, 1, model.words, model.bits, use, f"id {dict(source.dtypes)['id']}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents of at least this score, with their own columns. Nothing is shuffled."""
+    """The documents of at least this score, with their own columns."""
     tuned(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(sent.value.scores(b.column(at)) >= least))
-
-    return docs.mapInArrow(scan, docs.schema)
+    network = model.network
+    return with_vectors(docs, docs.columns.index(text_col), model.words, model.bits, lambda rows, x: rows.filter(pa.array(network.scores(x) >= least)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

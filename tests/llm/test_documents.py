@@ -233,6 +233,34 @@ def test_quality(spark, corpus, docs, no_docs):
     assert kept.columns == docs.columns
 
 
+def test_quality_vector_per_word(spark):
+    """However many words there are, each has the vector of its own contexts."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(9000)]
+    rows = [(k, " ".join(rng.permutation(words)[:3000])) for k in range(6)] + [(9, None)]
+    table, _ = quality.context_vectors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {}
+    for r in table.collect():
+        got.update(zip(np.frombuffer(r["keys"], np.uint64).tolist(), quality._unpacked(r["sums"])))
+    w = next(word_chunks(pa.array([" ".join(words)]), NOT_SPACE))[2]
+    seen = {x for _, t in rows for x in (t or "").split()}
+    keys = dict(zip(words, w.hash.tolist()))
+    assert {keys[x] for x in seen} <= set(got) and len(got) <= len(seen) + quality.SHAPES
+    signed = lambda key: [(int(key >> (8 + 20 * k)) % quality.DIM, 1 if key >> (18 + 20 * k) & 1 else -1) for k in range(quality.PLACES)]
+    for word in sorted(seen)[::500]:
+        total = np.zeros(quality.DIM)
+        for _, t in rows:
+            x = (t or "").split()
+            for i in (i for i, y in enumerate(x) if y == word):
+                mark = int(quality._shape_keys[0 * 16 + 2 * 4 + 2])  # a small letter, then digits
+                for key in [keys[x[j]] for j in (i - 1, i + 1) if 0 <= j < len(x)] + [mark]:
+                    for place, sign in signed(key):
+                        total[place] += sign
+        assert got[keys[word]].tolist() == total.tolist()
+    odd = np.array([[0] * 31 + [k] for k in (0, 1, -1, 254, -255, 256, 2**40)])
+    assert (quality._unpacked(quality._packed(odd)) == odd).all()
+
+
 def test_fingerprints(spark, corpus, docs, no_docs):
     rows = [(r["id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_edited"], r["near_next"]) for r in fingerprints.compare_edited(docs).collect()]
     order = sorted(corpus, key=lambda x: -x[0])
