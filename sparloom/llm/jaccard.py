@@ -28,7 +28,6 @@ columns of other names are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import NOT_SPACE, batch_numbers, column_bytes, mix, row_chunks, segment, stored, tuned
+from .textcore import NOT_SPACE, batch_numbers, bucket_bits, column_bytes, mix, row_chunks, segment, stored, tuned
 
 #: Words of a shingle, and the similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -86,11 +85,6 @@ def least_overlap(size: np.ndarray, percent: int) -> np.ndarray:
     return (size * percent + 99) // 100
 
 
-def bucket_bits(total_bytes: int, per_bucket: int) -> int:
-    """Bits of the bucket number: as many buckets as hold about per_bucket of the texts' words."""
-    return min(20, max(8, math.ceil(math.log2(max(1.0, total_bytes / 6 / per_bucket)))))
-
-
 def _sender(bits: int):
     """Texts to packed sets: (bucket, batch, ids, blob, sizes, units)."""
 

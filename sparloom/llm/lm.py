@@ -24,12 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jaccard import bucket_bits
-from .textcore import GRAM_KEYS, NOT_SPACE, batch_numbers, column_bytes, mix, row_chunks, segment, stored, tuned
+from .textcore import GRAM_KEYS, NOT_SPACE, batch_numbers, bucket_bits, column_bytes, mix, packed_numbers, row_chunks, segment, stored, tuned, unpacked_numbers
 
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ... documents' occurrences.
 CONTEXTS = 20
@@ -50,22 +48,6 @@ def fold(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string")), F.lit(0))
 
 
-def _packed(*parts: np.ndarray) -> bytes:
-    """Arrays of unsigned numbers, byte plane by byte plane, compressed."""
-    raw = b"".join(np.ascontiguousarray(p.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for p in parts)
-    return np.array([len(p) for p in parts], "<u4").tobytes() + zstandard.compress(raw, 1)
-
-
-def _unpacked(blob: bytes, n: int) -> list[np.ndarray]:
-    sizes = np.frombuffer(blob, "<u4", n)
-    raw = np.frombuffer(zstandard.decompress(blob[4 * n :], max_output_size=max(1, int(sizes.sum()) * 4)), np.uint8) if sizes.sum() else np.zeros(0, np.uint8)
-    out, at = [], 0
-    for k in sizes.tolist():
-        out.append(np.ascontiguousarray(raw[at : at + 4 * k].reshape(4, k).T).view("<u4").ravel())
-        at += 4 * k
-    return out
-
-
 def _buckets(marks: np.ndarray, words: np.ndarray, before: np.ndarray | None, bits: int) -> np.ndarray:
     """Bucket numbers of words, or of pairs, from the 16-bit marks of their words."""
     h = marks[words].astype(np.uint64) + np.uint64(1 << 40)
@@ -110,7 +92,7 @@ def _sender(bits: int):
             rank[order] = np.arange(len(order))
             word, named = rank[inverse], named[order]
             end = int(np.flatnonzero(named == END)[0])
-            marks = ((named >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
+            marks = (named >> np.uint64(48)).astype(np.int64)  # the bits that don't travel
             before = _before(word, lengths, end)
             pairs, pair = np.unique(before * len(named) + word, return_inverse=True)
             with np.errstate(over="ignore"):
@@ -127,10 +109,10 @@ def _sender(bits: int):
             blobs = []
             for k in used:
                 z = [slice(c[k], c[k + 1]) for _, _, _, _, c in sides]
-                counts = _packed(*[s[j][q] for s, q in zip(sides, z) for j in (2, 3)])
+                counts = packed_numbers(*[s[j][q] for s, q in zip(sides, z) for j in (2, 3)])
                 keys = b"".join(s[1][q].tobytes() for s, q in zip(sides, z))
                 blobs.append(np.array([len(counts)], "<u4").tobytes() + counts + keys)
-            own = _packed(word, marks, lengths, part, np.array([end]))
+            own = packed_numbers(word, marks, lengths, part, np.array([end]))
             rows = len(blobs) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(mix(np.array([batch], np.uint64))[0] >> np.uint64(64 - bits)), *used], pa.int32()), pa.array([batch] * rows, pa.int64()), pa.array([b.column(0).to_pylist(), *[None] * len(blobs)], pa.list_(b.column(0).type)), pa.array([own, *blobs], pa.binary()), pa.array([int(learn.sum()), *[0] * len(blobs)], pa.int64()), pa.array([int(weigh.sum()), *[0] * len(blobs)], pa.int64())],
@@ -147,7 +129,7 @@ def _count(table: pa.Table) -> pa.Table:
     keys, counts, sizes = ([], []), ([], []), []
     for blob in sent["blob"].to_pylist():
         n = int(np.frombuffer(blob, "<u4", 1)[0])
-        parts = _unpacked(blob[4 : 4 + n], 4)
+        parts = unpacked_numbers(blob[4 : 4 + n], 4)
         body = np.frombuffer(blob, np.uint8, -1, 4 + n).reshape(-1, SENT)
         wide = np.zeros((len(body), 8), np.uint8)
         wide[:, :SENT] = body
@@ -170,9 +152,9 @@ def _count(table: pa.Table) -> pa.Table:
             parts = []
             for side in (0, 1):
                 z = slice(at[side], at[side] + sizes[k][side])
-                parts += [np.minimum(back[side][j][z], 2**32 - 1) for j in (0, 1)]
+                parts += [back[side][j][z] for j in (0, 1)]
                 at[side] = z.stop
-            for c, v in zip(columns, (batch, None, _packed(*parts), 0, 0, known if k == 0 else 0, sent["bucket"][k].as_py())):
+            for c, v in zip(columns, (batch, None, packed_numbers(*parts), 0, 0, known if k == 0 else 0, sent["bucket"][k].as_py())):
                 c.append(v)
     kinds = [pa.int64(), table.schema.field("ids").type, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["batch", "ids", "blob", "learn", "weigh", "known", "of"])
@@ -190,7 +172,7 @@ def _meet(table: pa.Table) -> pa.Table:
 def _events(own: bytes, buckets: list[int], blobs: list[bytes], bits: int) -> tuple[np.ndarray, ...]:
     """Of every token of a batch: the counts, with all training texts and with those for the
     weights only, of the word, its context and the pair; and the rows' lengths and parts."""
-    word, marks, lengths, part, end = _unpacked(own, 5)
+    word, marks, lengths, part, end = unpacked_numbers(own, 5)
     word, marks, lengths = word.astype(np.int64), marks.astype(np.int64), lengths.astype(np.int64)
     before = _before(word, lengths, int(end[0]))
     pairs, pair = np.unique(before * len(marks) + word, return_inverse=True)
@@ -199,7 +181,7 @@ def _events(own: bytes, buckets: list[int], blobs: list[bytes], bits: int) -> tu
     wheres = [w[o] for w, o in zip(wheres, orders)]
     totals = [[np.zeros(len(w), np.int64) for _ in (0, 1)] for w in wheres]
     for k, blob in zip(buckets, blobs):
-        parts = _unpacked(blob, 4)
+        parts = unpacked_numbers(blob, 4)
         for side in (0, 1):
             a, z = np.searchsorted(wheres[side], [k, k + 1])
             for j in (0, 1):

@@ -2,20 +2,25 @@
 
 Each word has a sparse random index vector of -1, 0 and 1; over the whole corpus, a word's context
 vector sums the index vectors of the words before and after it, and of its occurrences' shapes (letter
-cases, digits, marks; whether it repeats the word before). Shapes have context vectors like words. A
-document is the mean of its words' and of its shapes' vectors. On these a network of two layers is
-trained in numpy, and the temperature of its probabilities is set on labelled rows kept apart.
-
-Every word, told by 64 bits of hash, has a vector of its own. Each Arrow batch sends its words' sums
-packed by bucket of words; a bucket adds them up and is a row of a table in the shared folder. A batch
-to be scored asks the buckets for its words and meets the answers; no vocabulary is gathered anywhere.
+cases, digits, marks; whether it repeats the word before). A word's vector is the sign of each number
+of its context vector, 0 for those below half of their root mean square. Shapes have context vectors
+like words, of unit length in 127ths. A document is the mean of its words' and of its shapes' vectors. On these a
+network of two layers is trained in numpy, and the temperature of its probabilities is set on labelled
+rows kept apart.
+
+Every word, told by the bits of its bucket and 48 more, has a vector of its own. Each task sends its
+words' sums packed by bucket of words; a bucket adds them up and is a row of a table in the shared
+folder. The commonest words, KNOWN_WORDS at most, are broadcast; for all others a batch of documents asks
+the buckets and meets the answers. No vocabulary is gathered anywhere, and how many words are broadcast
+changes no score, as all sums over words are of whole numbers.
 
 Labels are taken from a sample of bounded, stated size; the context vectors come from all
 documents. Labels, language, source and id are never inputs of a score.
 
 Cases: null and empty texts have a vector of zeros and the score that goes with it; rows with the
-same text have the same score; without any usable label every score is 0.5; input columns of other
-names are ignored.
+same text have the same score; of several labels of one id the largest counts; without any usable
+label every score is 0.5; words that the model has never seen have a vector of zeros; input columns
+of other names are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +36,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .jaccard import bucket_bits
-from .textcore import NOT_SPACE, Words, batch_numbers, column_bytes, mix, row_chunks, segment, stored, tuned
+from .textcore import NOT_SPACE, Words, batch_numbers, bucket_bits, column_bytes, mix, packed_numbers, row_chunks, segment, stored, tuned, unpacked_numbers
 
 #: Dimensions of word vectors.
 DIM = 32
+#: Shapes of words.
 SHAPES = 256
 #: Words of text for a bucket, about.
 BUCKET_WORDS = 2_000_000
-#: Words whose sums a task holds before it adds them up and sends them, about; one counts for each part of a column.
-HELD_WORDS = 1_000_000
+#: Words whose sums a task holds before it sends them, about.
+HELD_WORDS = 400_000
 #: Bytes of documents that ask for their words' vectors together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes of a hash that travel beside its bucket.
+SENT = 6
+#: Words whose vectors are broadcast, at most.
+KNOWN_WORDS = 200_000
 #: Non-zero places of an index vector.
 PLACES = 2
 #: Labelled rows that the network learns from, at most.
@@ -67,184 +76,338 @@ def shapes_of(raw: np.ndarray, w: Words) -> np.ndarray:
 
 
 _shape_keys = mix(np.arange(SHAPES, dtype=np.uint64) + np.uint64(77))
+_shape_order = np.argsort(_shape_keys)
 
 
 def _chunks(col: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, words, distinct keys of words and shapes, each word's key's place, its shape's)."""
+    """(first row, end row, words, distinct hashes of words, each word's place in them, its shape)."""
     data, offs = column_bytes(col)
     for lo, hi in row_chunks(offs):
         o, raw = offs[lo : hi + 1] - offs[lo], data[offs[lo] : offs[hi]]
         w = segment(raw, o, NOT_SPACE)
-        n = len(w.hash)
-        keys, at = np.unique(np.concatenate([w.hash, _shape_keys[shapes_of(raw, w)]]) if n else w.hash, return_inverse=True)
-        yield lo, hi, w, keys, at[:n], at[n:]
+        keys, at = np.unique(w.hash, return_inverse=True)
+        yield lo, hi, w, keys, at, shapes_of(raw, w) if len(at) else at
+
+
+def _index_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The non-zero places of each key's index vector, and their signs."""
+    part = np.stack([keys >> np.uint64(8 + 20 * k) for k in range(PLACES)], axis=1)
+    return (part % np.uint64(DIM)).astype(np.int64), np.where((part >> np.uint64(10)) & np.uint64(1), 1.0, -1.0)
+
+
+_shape_places = _index_places(_shape_keys)
 
 
 def gather(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For parts of a column, the distinct keys of words and shapes, and what the texts add to their
-    context vectors."""
+    """For parts of a column, the distinct keys of words and shapes, which rise, and what the texts add to
+    their context vectors; behind these stands how often each key occurs."""
     for _, _, w, keys, slot, shape in _chunks(col):
+        n = len(keys)
         near = w.row[1:] == w.row[:-1]
         before, after = np.flatnonzero(near), np.flatnonzero(near) + 1
-        marks = keys[shape]
-        total = np.zeros(len(keys) * DIM)
-        # (places that gain, index keys of what they gain)
-        for to, key in ((slot[after], w.hash[before]), (slot[before], w.hash[after]), (slot, marks), (shape, marks), (shape[after], marks[before])):
-            for k in range(PLACES):
-                part = key >> np.uint64(8 + 20 * k)
-                place = (part % np.uint64(DIM)).astype(np.int64)
-                sign = np.where((part >> np.uint64(10)) & np.uint64(1), 1.0, -1.0)
-                total += np.bincount(to * DIM + place, sign, len(total))
-        yield keys, total.reshape(-1, DIM).astype(np.int32)
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        places, signs = _index_places(keys)
+        # (rows that gain, places and signs of what they gain); shapes' rows follow the words'
+        pairs = ((slot[after], slot[before], places, signs), (slot[before], slot[after], places, signs), (slot, shape, *_shape_places), (n + shape, shape, *_shape_places), (n + shape[after], shape[before], *_shape_places))
+        width = DIM + 1
+        at = [(to[:, None] * width + p[of]).ravel() for to, of, p, _ in pairs] + [slot * width + DIM, (n + shape) * width + DIM]
+        gain = [s[of].ravel() for _, of, _, s in pairs] + [np.ones(2 * len(slot))]
+        total = np.bincount(np.concatenate(at), np.concatenate(gain), (n + SHAPES) * width).reshape(-1, width).astype(np.int32)
+        both = np.concatenate([keys, _shape_keys])
+        used = np.flatnonzero(total[:, DIM])
+        order = used[np.argsort(both[used], kind="stable")]
+        yield both[order], total[order]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]], kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
     """Sums by key, added up; the keys rise."""
-    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]))
-    sums = np.zeros((len(keys), DIM), np.int64)
-    for k, x in parts:
-        sums[np.searchsorted(keys, k)] += x
-    return keys, sums
+    if not sum(len(k) for k, _ in parts):
+        return np.zeros(0, np.uint64), np.zeros((0, DIM + 1), kind)
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(np.concatenate([x for _, x in parts])[order], first, axis=0, dtype=kind)
+
+
+class Held:
+    """Sums by key that grow part by part; rows of small numbers take a byte a number."""
+
+    def __init__(self) -> None:
+        self.small: list[tuple[np.ndarray, np.ndarray]] = []
+        self.large: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.merged = 0
+
+    def _add(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        wide = (np.abs(sums) > 127).any(1)
+        self.small.append((keys[~wide], sums[~wide].astype(np.int8)))
+        self.large.append((keys[wide], sums[wide]))
+        self.size += len(keys)
+
+    def add(self, keys: np.ndarray, sums: np.ndarray) -> bool:
+        """Whether there are so many keys now that they should be sent."""
+        self._add(keys, sums)
+        if self.size <= 2 * self.merged + HELD_WORDS // 4:
+            return False
+        small, self.small, self.size = self.small, [], 0
+        self._add(*_merged(small, np.int32))
+        self.large = [_merged(self.large)]
+        self.size = self.merged = len(self.small[0][0]) + len(self.large[0][0])
+        return self.size > HELD_WORDS
+
+    def parts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys, which rise, with their sums, to be added up with those of other tasks."""
+        return [x for x in (_merged(self.small, np.int32), _merged(self.large)) if len(x[0])]
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Rows of DIM whole numbers, most of them 0 or small: which are not 0, their signs and sizes."""
-    on = x != 0
-    size = np.abs(x[on]).astype(np.uint64)
-    large = size[size > 254]
-    raw = np.array([len(x), len(size)], "<u8").tobytes() + np.packbits(on).tobytes() + np.packbits(x[on] < 0).tobytes() + np.minimum(size, 255).astype(np.uint8).tobytes() + large.tobytes()
-    return zstandard.compress(raw, 3)
+    """Rows of whole numbers, most of them 0 or small: bytes, column by column, and the large ones apart."""
+    large = np.abs(x) > 127
+    at = np.flatnonzero(large)
+    raw = np.array([*x.shape, len(at)], "<u8").tobytes() + np.ascontiguousarray(np.where(large, 0, x).astype(np.int8).T).tobytes() + at.astype("<u8").tobytes() + x[large].astype("<i8").tobytes()
+    return zstandard.compress(raw, 1)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    n, k = raw[:16].view("<u8").tolist()
-    cuts = np.cumsum([16, n * DIM // 8, (k + 7) // 8, k])
-    size = raw[cuts[2] : cuts[3]].astype(np.int64)
-    size[size == 255] = np.frombuffer(raw[cuts[3] :].tobytes(), "<u8").astype(np.int64)
-    out = np.zeros(n * DIM, np.int64)
-    out[np.unpackbits(raw[cuts[0] : cuts[1]]) > 0] = np.where(np.unpackbits(raw[cuts[1] : cuts[2]], count=k), -size, size)
-    return out.reshape(n, DIM)
+    raw = zstandard.decompress(blob)
+    n, width, k = np.frombuffer(raw, "<u8", 3).tolist()
+    out = np.frombuffer(raw, np.int8, n * width, 24).reshape(width, n).T.astype(np.int64, order="C")
+    out.ravel()[np.frombuffer(raw, "<u8", k, 24 + n * width).astype(np.int64)] = np.frombuffer(raw, "<i8", k, 24 + n * width + 8 * k)
+    return out
 
 
-def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """An order of the keys, and the part of it for each bucket that has some."""
-    bucket = (mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    named, first = np.unique(bucket[order], return_index=True)
-    return order, [(int(k), slice(a, z)) for k, a, z in zip(named, first, [*first[1:], len(keys)])]
+def codes_of(sums: np.ndarray) -> np.ndarray:
+    """Context vectors to words' vectors, two bits a number: whether it is not 0, whether it is below."""
+    x = sums.astype(float)
+    on = (x != 0) & (4 * DIM * x * x >= (x * x).sum(1, keepdims=True))
+    return np.concatenate([np.packbits(on, axis=1), np.packbits(x < 0, axis=1)], axis=1)
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """One bucket: each of its words once, with its sums."""
-    keys, sums = _merged([(np.frombuffer(k, np.uint64), _unpacked(x)) for k, x in zip(table["keys"].to_pylist(), table["sums"].to_pylist())])
-    return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([_packed(sums)], pa.binary())], ["bucket", "keys", "sums"])
+def vectors_of(codes: np.ndarray) -> np.ndarray:
+    """Words' vectors of -1, 0 and 1."""
+    on, below = np.unpackbits(codes[:, : DIM // 8], axis=1), np.unpackbits(codes[:, DIM // 8 :], axis=1)
+    return on.astype(np.int8) * (1 - 2 * below.astype(np.int8))
 
 
-def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
-    """The table of the context vectors of all documents' words, a row for each bucket, and the
-    bits of a bucket's number."""
-    tuned(docs.sparkSession)
+def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
+    """Of rising keys, the part for each bucket that has some."""
+    named, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+    return [(int(k), slice(a, z)) for k, a, z in zip(named.tolist(), first.tolist(), [*first.tolist(), len(keys)][1:])]
+
+
+def _short(keys: np.ndarray, bits: int) -> bytes:
+    """The bytes of keys that travel; their bucket stands for the rest."""
+    return ((keys << np.uint64(bits)) >> np.uint64(64 - 8 * SENT)).view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+
+
+def _widened(blob: bytes) -> np.ndarray:
+    """Such bytes as numbers, in the order of the keys."""
+    wide = np.zeros((len(blob) // SENT, 8), np.uint8)
+    wide[:, :SENT] = np.frombuffer(blob, np.uint8).reshape(-1, SENT)
+    return wide.view("<u8").ravel()
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """A number from 0 to 255 that rises with how often a word occurs."""
+    return np.minimum(np.floor(4 * np.log2(np.maximum(n, 1))), 255).astype(np.uint8)
+
+
+TABLE = "bucket int, keys binary, codes binary, levels binary, shapes binary"
+
+
+def _adder(bits: int):
+    """One bucket: each of its words once with its vector, and the sums of its shapes."""
+    marks = {int(x): k for k, x in enumerate((_shape_keys << np.uint64(bits)) >> np.uint64(64 - 8 * SENT))}
+    home = (_shape_keys >> np.uint64(64 - bits)).astype(np.int64)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        keys, sums = _merged([(_widened(k), _unpacked(x)) for k, x in zip(table["keys"].to_pylist(), table["sums"].to_pylist())])
+        shapes = [(marks[k], i) for i, k in enumerate(keys.tolist()) if k in marks and home[marks[k]] == bucket]
+        rows = np.array([[k, *sums[i, :DIM]] for k, i in shapes], "<i8").reshape(-1, DIM + 1)
+        kept = np.ones(len(keys), bool)
+        kept[[i for _, i in shapes]] = False
+        keys, sums = keys[kept], sums[kept]
+        blobs = [np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes(), codes_of(sums[:, :DIM]).tobytes(), _level(sums[:, DIM]).tobytes(), rows.tobytes()]
+        return pa.table([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], ["bucket", "keys", "codes", "levels", "shapes"])
+
+    return add_up
+
+
+@dataclass
+class WordVectors:
+    """The table of all words' vectors, a row for each bucket; the bits of a bucket's number; the
+    commonest words' keys, which rise, with their codes; the shapes' vectors."""
+
+    table: DataFrame
+    bits: int
+    known: np.ndarray
+    codes: np.ndarray
+    shapes: np.ndarray
+
+
+def context_vectors(docs: DataFrame, text_col: str = "text", known_words: int = KNOWN_WORDS) -> WordVectors:
+    """The vectors of all documents' words and shapes."""
+    spark = docs.sparkSession
+    tuned(spark)
     texts = docs.select(F.col(text_col).alias("text"))
     bits = bucket_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_WORDS)
 
     def sent(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        order, cuts = _by_bucket(keys, bits)
-        keys, sums = keys[order], sums[order]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in cuts], pa.int32()), pa.array([keys[z].tobytes() for _, z in cuts], pa.binary()), pa.array([_packed(sums[z]) for _, z in cuts], pa.binary())], ["bucket", "keys", "sums"])
+        cuts = _cuts(keys, bits)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in cuts], pa.int32()), pa.array([_short(keys[z], bits) for _, z in cuts], pa.binary()), pa.array([_packed(sums[z]) for _, z in cuts], pa.binary())], ["bucket", "keys", "sums"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held = Held()
         for b in batches:
-            for got in gather(b.column(0)):
-                held.append(got)
-                if sum(len(k) for k, _ in held) > HELD_WORDS:
-                    yield sent(*_merged(held))
-                    held = []
-        yield sent(*_merged(held))
-
-    sums = texts.mapInArrow(part, "bucket int, keys binary, sums binary").groupBy("bucket").applyInArrow(_add_up, "bucket int, keys binary, sums binary")
-    return stored(sums, "vectors"), bits
+            for keys, sums in gather(b.column(0)):
+                if held.add(keys, sums):
+                    yield from (sent(*x) for x in held.parts())
+                    held = Held()
+        yield from (sent(*x) for x in held.parts())
 
+    sums = texts.mapInArrow(part, "bucket int, keys binary, sums binary").groupBy("bucket").applyInArrow(_adder(bits), TABLE)
+    table = stored(sums, "vectors")
 
-def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of BATCH_BYTES at least, but for the last."""
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["level", "n"])
+
+    counts = np.zeros(256, np.int64)
+    for r in table.select("levels").mapInArrow(levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+        counts[r["level"]] = r["n"]
+    # the lowest level from which on the words are few enough
+    above = np.cumsum(counts[::-1])[::-1]
+    least = int(np.argmax(above <= known_words)) if (above <= known_words).any() else 256
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, keys, codes, lv in zip(*(b.column(k).to_pylist() for k in range(4))):
+                on = np.frombuffer(lv, np.uint8) >= least
+                if on.any():
+                    k = _widened(keys)[on] << np.uint64(64 - 8 * SENT) >> np.uint64(bits) | np.uint64(bucket) << np.uint64(64 - bits)
+                    yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()), pa.array([np.frombuffer(codes, np.uint8).reshape(-1, DIM // 4)[on].tobytes()], pa.binary())], ["keys", "codes"])
+
+    # known_words rows of 16 bytes at most
+    rows = table.select("bucket", "keys", "codes", "levels").mapInArrow(common, "keys binary, codes binary").collect()
+    keys = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64)
+    codes = np.frombuffer(b"".join(r["codes"] for r in rows), np.uint8).reshape(-1, DIM // 4)
+    order = np.argsort(keys)
+    shapes = np.zeros((SHAPES, DIM))
+    for r in table.where(F.octet_length("shapes") > 0).select("shapes").collect():
+        for row in np.frombuffer(r["shapes"], "<i8").reshape(-1, DIM + 1):
+            shapes[row[0]] = row[1:]
+    shapes = np.round(127 * shapes / np.maximum(np.linalg.norm(shapes, axis=1, keepdims=True), 1e-9)).astype(np.int32)
+    return WordVectors(table, bits, keys[order], codes[order], shapes)
+
+
+def _sized(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about BATCH_BYTES of text, or of one longer row."""
     held: list[pa.RecordBatch] = []
+    size = 0
     for b in batches:
-        held.append(b)
-        if sum(x.nbytes for x in held) >= BATCH_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
+        _, offs = column_bytes(b.column(text_at))
+        for lo, hi in row_chunks(offs, BATCH_BYTES):
+            held.append(b.slice(lo, hi - lo))
+            size += int(offs[hi] - offs[lo])
+            if size >= BATCH_BYTES // 2:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def with_vectors(docs: DataFrame, text_at: int, words: DataFrame, bits: int, use: Callable[[pa.Table, np.ndarray], pa.Table], schema: str | StructType) -> DataFrame:
-    """What ``use`` makes of each batch of documents and the rows of pooled() for their texts."""
+def _rows_sum(x: np.ndarray, count: np.ndarray, out: np.ndarray) -> None:
+    """Adds x's rows up in runs of count rows, to the rows of out."""
+    full = np.flatnonzero(count)
+    if len(full):
+        out[full] += np.add.reduceat(x, (np.cumsum(count) - count)[full], axis=0, dtype=np.int32)
+
+
+def with_vectors(docs: DataFrame, text_at: int, kept: list[int], words: WordVectors, use: Callable[[pa.Table, np.ndarray], pa.Table], schema: str | StructType) -> DataFrame:
+    """What ``use`` makes of each batch of documents, of which it gets the columns ``kept``, and of
+    the rows of features() for their texts."""
+    bits = words.bits
+    shared = docs.sparkSession.sparkContext.broadcast((words.known, words.codes, words.shapes))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, b in zip(batch_numbers(), _larger(batches)):
-            if not b.num_rows:
-                continue
-            parts = [keys for _, _, _, keys, _, _ in _chunks(b.column(text_at))]
-            keys = np.unique(np.concatenate(parts))
-            order, cuts = _by_bucket(keys, bits)
-            keys = keys[order]
-            held = pa.BufferOutputStream()
-            with pa.ipc.new_stream(held, b.schema) as writer:
-                writer.write_batch(b)
+        known, codes, shapes = shared.value
+        vectors = vectors_of(codes)
+        for batch, b in zip(batch_numbers(), _sized(batches, text_at)):
+            own = np.zeros((2, b.num_rows, DIM), np.int32)
+            size, rare, row = np.zeros(b.num_rows, np.int64), [], []
+            for lo, hi, w, keys, slot, shape in _chunks(b.column(text_at)):
+                n = w.counts
+                size[lo:hi] = n
+                if not len(slot):
+                    continue
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                has = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+                mine = np.zeros((len(keys), DIM), np.int8)
+                mine[has] = vectors[at[has]]
+                _rows_sum(mine[slot], n, own[0, lo:hi])
+                _rows_sum(shapes[shape], n, own[1, lo:hi])
+                lacks = ~has[slot]
+                rare.append(w.hash[lacks])
+                row.append(w.row[lacks] + lo)
+            asked, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *rare]), return_inverse=True)
+            row = np.concatenate([np.zeros(0, np.int64), *row])
+            order = np.lexsort((at, row))
+            cuts = _cuts(asked, bits)
+            payload = pa.BufferOutputStream()
+            part = b.select(kept)
+            with pa.ipc.new_stream(payload, part.schema) as writer:
+                writer.write_batch(part)
+            parts = [payload.getvalue().to_pybytes(), packed_numbers(size, np.bincount(row, minlength=b.num_rows), at[order], own.view(np.uint32).ravel()), np.array([len(cuts), len(asked)], "<u8").tobytes()]
+            blob = zstandard.compress(np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts), 3)
             home = int(mix(np.array([batch], np.uint64))[0] >> np.uint64(64 - bits))
             n = len(cuts)
-            yield pa.RecordBatch.from_arrays([pa.array([home, *(k for k, _ in cuts)], pa.int32()), pa.array([batch] * (n + 1), pa.int64()), pa.array([None, *(keys[z].tobytes() for _, z in cuts)], pa.binary()), pa.array([zstandard.compress(held.getvalue(), 6), *[None] * n], pa.binary())], ["bucket", "batch", "asked", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array([home, *(k for k, _ in cuts)], pa.int32()), pa.array([batch] * (n + 1), pa.int64()), pa.array([None, *(_short(asked[z], bits) for _, z in cuts)], pa.binary()), pa.array([blob, *[None] * n], pa.binary())], ["bucket", "batch", "asked", "own"])
 
-    def answer(sent: pa.Table, known: pa.Table) -> pa.Table:
-        named, sums = np.zeros(0, np.uint64), np.zeros((0, DIM), np.int64)
-        if known.num_rows:
-            named, sums = np.frombuffer(known["keys"][0].as_py(), np.uint64), _unpacked(known["sums"][0].as_py())
+    def answer(sent: pa.Table, table: pa.Table) -> pa.Table:
+        named, codes = np.zeros(0, np.uint64), np.zeros((0, DIM // 4), np.uint8)
+        if table.num_rows:
+            named, codes = _widened(table["keys"][0].as_py()), np.frombuffer(table["codes"][0].as_py(), np.uint8).reshape(-1, DIM // 4)
         told = []
         for x in sent["asked"].to_pylist():
-            keys = np.frombuffer(x or b"", np.uint64)
-            out = np.zeros((len(keys), DIM), np.int64)
+            if x is None:
+                told.append(None)
+                continue
+            keys = _widened(x)
+            out = np.zeros((len(keys), DIM // 4), np.uint8)
             if len(named):
                 at = np.minimum(np.searchsorted(named, keys), len(named) - 1)
                 same = named[at] == keys
-                out[same] = sums[at[same]]
-            told.append(_packed(out) if x is not None else None)
+                out[same] = codes[at[same]]
+            told.append(out.tobytes())
         return pa.table([sent["batch"], sent["bucket"], pa.array(told, pa.binary()), sent["own"]], ["batch", "of", "told", "own"])
 
     def meet(table: pa.Table) -> pa.Table:
-        own, told = table.filter(pc.is_valid(table["own"])), table.filter(pc.is_null(table["own"]))
-        rows = pa.ipc.open_stream(zstandard.decompress(own["own"][0].as_py())).read_all()
-        texts = rows.column(text_at).combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        keys = np.unique(np.concatenate([keys for _, _, _, keys, _, _ in _chunks(texts)]))
-        order, cuts = _by_bucket(keys, bits)
-        place = dict(cuts)
-        vectors = np.zeros((len(keys), DIM), np.float32)
-        for k, blob in zip(told["of"].to_pylist(), told["told"].to_pylist()):
-            x = _unpacked(blob)
-            vectors[order[place[k]]] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        return use(rows, pooled(texts, keys, vectors))
+        own, told = table.filter(pc.is_valid(table["own"])), table.filter(pc.is_null(table["own"])).sort_by("of")
+        raw = zstandard.decompress(own["own"][0].as_py())
+        sizes = np.frombuffer(raw, "<u8", 3).tolist()
+        payload, numbers, expected = (raw[a : a + n] for a, n in zip((24, 24 + sizes[0], 24 + sizes[0] + sizes[1]), sizes))
+        rows = pa.ipc.open_stream(payload).read_all()
+        size, n_rare, at, sums = unpacked_numbers(numbers, 4)
+        sums = np.ascontiguousarray(sums, "<u4").view(np.int32).reshape(2, rows.num_rows, DIM).copy()
+        codes = np.frombuffer(b"".join(told["told"].to_pylist()), np.uint8).reshape(-1, DIM // 4)
+        if [told.num_rows, len(codes)] != np.frombuffer(expected, "<u8").tolist():
+            raise RuntimeError("the rows of a batch came in another order when it was read again")
+        if len(at):
+            _rows_sum(vectors_of(codes)[at.astype(np.int64)], n_rare.astype(np.int64), sums[0])
+        return use(rows, features(sums, size.astype(np.int64)))
 
     sent = docs.mapInArrow(ask, "bucket int, batch long, asked binary, own binary")
-    back = sent.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, "batch long, of int, told binary, own binary")
+    back = sent.groupBy("bucket").cogroup(words.table.select("bucket", "keys", "codes").groupBy("bucket")).applyInArrow(answer, "batch long, of int, told binary, own binary")
     return back.groupBy("batch").applyInArrow(meet, schema)
 
 
-def pooled(col: pa.Array, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """A row of 2 x DIM + 2 numbers for each text, by the vectors of the known keys, which rise."""
-    out = np.zeros((len(col), 2 * DIM + 2), np.float32)
-    for lo, hi, w, keys, slot, shape in _chunks(col):
-        n = w.counts
-        full = np.flatnonzero(n)
-        if not len(full):
-            continue
-        own = vectors[np.searchsorted(known, keys)]
-        at = (np.cumsum(n) - n)[full]
-        words, marks = np.add.reduceat(own[slot], at, axis=0), np.add.reduceat(own[shape], at, axis=0)
-        size = n[full, None]
-        out[lo + full] = np.concatenate([words / size, marks / size, np.linalg.norm(words, axis=1, keepdims=True) / size, np.linalg.norm(marks, axis=1, keepdims=True) / size], axis=1)
-    return out
+def features(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A row of 2 x DIM + 2 numbers for each text, by the sums of its words' and shapes' vectors."""
+    words, marks = sums[0] / np.maximum(size, 1)[:, None], sums[1] / (127 * np.maximum(size, 1)[:, None])
+    return np.concatenate([words, marks, np.linalg.norm(words, axis=1, keepdims=True), np.linalg.norm(marks, axis=1, keepdims=True)], axis=1).astype(np.float32)
 
 
 @dataclass
@@ -266,10 +429,9 @@ class Network:
 
 @dataclass
 class Model:
-    """The table of context vectors, the bits of its buckets' numbers, and the network."""
+    """The words' vectors and the network."""
 
-    words: DataFrame
-    bits: int
+    words: WordVectors
     network: Network
 
 
@@ -318,7 +480,7 @@ def fold(id_col: str | Column = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_ROWS) -> Model:
     """Learn from all texts and at most ``sample`` labelled rows, the first by a hash of their id."""
     tuned(docs.sparkSession)
-    words, bits = context_vectors(docs, text_col)
+    words = context_vectors(docs, text_col)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 1)).select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("double").alias("y"))
     wanted = {r["id"]: r["y"] for r in usable.orderBy(F.xxhash64("id"), "id", "y").limit(sample).collect()}
 
@@ -328,15 +490,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             part = b.filter(pa.array([v is not None for v in y]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v for v in y if v is not None], pa.float64()), part.column(1)], ["id", "y", "text"])
 
-    def features(rows: pa.Table, x: np.ndarray) -> pa.Table:
+    def use(rows: pa.Table, x: np.ndarray) -> pa.Table:
         return pa.table([rows["id"], rows["y"], pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
     # repeated ids: the first by id and vector, so that the sample keeps its bound
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(labelled, "id string, y double, text string")
-    rows = with_vectors(texts, 2, words, bits, features, "id string, y double, x binary").groupBy("id", "y").agg(F.min("x").alias("x")).collect()
+    rows = with_vectors(texts, 2, [0, 1], words, use, "id string, y double, x binary").groupBy("id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], float).reshape(len(rows), 2 * DIM + 2)
-    return Model(words, bits, train(x, np.array([r["y"] for r in rows])))
+    return Model(words, train(x, np.array([r["y"] for r in rows])))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,14 +507,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     network = model.network
     use = lambda rows, x: pa.table([rows.column(0), pa.array(network.scores(x))], ["id", "score"])
-    return with_vectors(source, 1, model.words, model.bits, use, f"id {dict(source.dtypes)['id']}, score double")
+    return with_vectors(source, 1, [0], model.words, use, f"id {dict(source.dtypes)['id']}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents of at least this score, with their own columns."""
     tuned(docs.sparkSession)
     network = model.network
-    return with_vectors(docs, docs.columns.index(text_col), model.words, model.bits, lambda rows, x: rows.filter(pa.array(network.scores(x) >= least)), docs.schema)
+    return with_vectors(docs, docs.columns.index(text_col), list(range(len(docs.columns))), model.words, lambda rows, x: rows.filter(pa.array(network.scores(x) >= least)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ a code point above 0x7F alike, so segmentation by bytes equals segmentation by c
 from __future__ import annotations
 
 import atexit
+import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Bytes of text handled at once; a longer row is handled alone.
 CHUNK_BYTES = 1 << 18
@@ -44,7 +47,12 @@ _powers: list[np.ndarray] = []
 def shared_dir(spark) -> str:
     """The folder that the driver and all executors share."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return spark.conf.get("spark.checkpoint.dir", own) or "/tmp/checkpoints"
+    place = spark.conf.get("spark.checkpoint.dir", own)
+    if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = "/tmp/checkpoints"  # one machine only
+    return place
 
 
 def stored(df, name: str):
@@ -99,6 +107,30 @@ def batch_numbers() -> Iterator[int]:
         first += 1
 
 
+def bucket_bits(total_bytes: int, per_bucket: int) -> int:
+    """Bits of a bucket's number: as many buckets as hold about per_bucket of the texts' words."""
+    return min(30, max(8, math.ceil(math.log2(max(1.0, total_bytes / 6 / per_bucket)))))
+
+
+def packed_numbers(*parts: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on, byte plane by byte plane, compressed."""
+    wide = [8 if len(p) and p.max() >= 2**32 else 4 for p in parts]
+    raw = b"".join(np.ascontiguousarray(p.astype(f"<u{n}").view(np.uint8).reshape(-1, n).T).tobytes() for p, n in zip(parts, wide))
+    return np.array([[len(p), n] for p, n in zip(parts, wide)], "<u4").tobytes() + zstandard.compress(raw, 1)
+
+
+def unpacked_numbers(blob: bytes, n: int) -> list[np.ndarray]:
+    """The n arrays of such a blob; of 64 bits where numbers need them, else of 32."""
+    sizes = np.frombuffer(blob, "<u4", 2 * n).reshape(n, 2).tolist()
+    total = sum(k * width for k, width in sizes)
+    raw = np.frombuffer(zstandard.decompress(blob[8 * n :], max_output_size=total), np.uint8) if total else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for k, width in sizes:
+        out.append(np.ascontiguousarray(raw[at : at + width * k].reshape(width, k).T).view(f"<u{width}").ravel())
+        at += width * k
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     with np.errstate(over="ignore"):
@@ -212,8 +244,6 @@ def word_chunks(col: pa.Array, kind: np.ndarray, lower: bool = True, limit: int
 
 def plain_words(text: str | None, pattern: str) -> list[str]:
     """The same words by the regular expression itself; for checks."""
-    import re
-
     return re.findall(pattern, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 

@@ -238,26 +238,39 @@ def test_quality_vector_per_word(spark):
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(9000)]
     rows = [(k, " ".join(rng.permutation(words)[:3000])) for k in range(6)] + [(9, None)]
-    table, _ = quality.context_vectors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = quality.context_vectors(df, known_words=50)
     got = {}
-    for r in table.collect():
-        got.update(zip(np.frombuffer(r["keys"], np.uint64).tolist(), quality._unpacked(r["sums"])))
+    for r in made.table.collect():
+        keys = quality._widened(r["keys"]) << np.uint64(16) >> np.uint64(made.bits) | np.uint64(r["bucket"]) << np.uint64(64 - made.bits)
+        got.update(zip(keys.tolist(), np.frombuffer(r["codes"], np.uint8).reshape(-1, quality.DIM // 4)))
     w = next(word_chunks(pa.array([" ".join(words)]), NOT_SPACE))[2]
     seen = {x for _, t in rows for x in (t or "").split()}
-    keys = dict(zip(words, w.hash.tolist()))
-    assert {keys[x] for x in seen} <= set(got) and len(got) <= len(seen) + quality.SHAPES
+    whole = dict(zip(words, w.hash.tolist()))
+    sent = {x: (k >> 64 - made.bits << 64 - made.bits) | ((k << made.bits) % 2**64 >> 16 << 16 >> made.bits) for x, k in whole.items()}
+    assert {sent[x] for x in seen} == set(got) and len(made.known) <= 50
     signed = lambda key: [(int(key >> (8 + 20 * k)) % quality.DIM, 1 if key >> (18 + 20 * k) & 1 else -1) for k in range(quality.PLACES)]
-    for word in sorted(seen)[::500]:
-        total = np.zeros(quality.DIM)
-        for _, t in rows:
-            x = (t or "").split()
-            for i in (i for i, y in enumerate(x) if y == word):
-                mark = int(quality._shape_keys[0 * 16 + 2 * 4 + 2])  # a small letter, then digits
-                for key in [keys[x[j]] for j in (i - 1, i + 1) if 0 <= j < len(x)] + [mark]:
-                    for place, sign in signed(key):
-                        total[place] += sign
-        assert got[keys[word]].tolist() == total.tolist()
-    odd = np.array([[0] * 31 + [k] for k in (0, 1, -1, 254, -255, 256, 2**40)])
+    total = {x: np.zeros(quality.DIM) for x in seen}
+    mark = int(quality._shape_keys[0 * 16 + 2 * 4 + 2])  # a small letter, then digits
+    for _, t in rows:
+        x = (t or "").split()
+        for i, word in enumerate(x):
+            for key in [whole[x[j]] for j in (i - 1, i + 1) if 0 <= j < len(x)] + [mark]:
+                for place, sign in signed(key):
+                    total[word][place] += sign
+    for word in seen:
+        x = total[word]
+        vector = np.where(x * x * 4 * quality.DIM >= (x * x).sum(), np.sign(x), 0)
+        assert quality.vectors_of(got[sent[word]][None])[0].tolist() == vector.tolist()
+    # the mean of a text's words' vectors, however many words are broadcast
+    for known in (0, 50, 10**6):
+        made = quality.context_vectors(df, known_words=known)
+        use = lambda b, x: pa.table([b["doc_id"], pa.array(x[:, : quality.DIM].tolist(), pa.list_(pa.float32()))], ["id", "x"])
+        for r in quality.with_vectors(df, 1, [0], made, use, "id long, x array<float>").collect():
+            x = (dict(rows)[r["id"]] or "").split()
+            want = sum((quality.vectors_of(got[sent[y]][None])[0].astype(int) for y in x), np.zeros(quality.DIM, int)) / max(1, len(x))
+            assert np.allclose(r["x"], want, atol=1e-6)
+    odd = np.array([[0] * 32 + [k] for k in (0, 1, -1, 127, -128, 256, 2**40)])
     assert (quality._unpacked(quality._packed(odd)) == odd).all()
 
 
