@@ -7,15 +7,19 @@ have to agree before a pair is verified. A pair needs min(m_x, m_y) common prefi
 
 How it runs:
 
-1. Each Arrow batch of texts becomes sets of hashed shingles, which travel packed by hash bucket
-   (about six bytes a shingle). A bucket counts each shingle's documents and sends back those that
+1. Each batch of texts becomes sets of hashed shingles, which travel packed by hash bucket
+   (about six bytes a shingle). A shingle that COMMON of a batch's sets have travels once, with their
+   number, so that a bucket gets no more of it than one entry a batch, however many documents have it.
+   A bucket counts each shingle's documents and sends back those that
    are not alone in having it. A document whose prefix holds only shingles of its own is done.
 2. The remaining documents post their prefixes. For each token the most central document (the one
    with the fewest shingles of its own) is the hub. Two documents that share a prefix token meet
-   in the cell of that token's hub; cells are cut into tiles of bounded size.
-3. In a tile all are compared with the hub, then those left over with all of the tile, with
-   prefix matches counted first and whole sets after. A tile returns links that span the groups it
-   found, not all pairs of a group.
+   in the cell of that token's hub; large cells are cut into blocks, each of which gets the hub.
+3. In a block all are compared with the hub, with prefix matches counted first and whole sets after.
+   Those that aren't similar to it are left over. They are compared with all others: in the same task
+   where the cell has one block, else in tiles of a block of those left over and a block of the cell.
+   What is similar to the hub needs no more comparison with the like. Either step returns
+   links that span the groups it found, not all pairs of a group.
 4. Links become components by large-star and small-star rounds over tables in the shared folder.
 
 Sets that are equal stand for one unit throughout, so copies cost nothing and aren't paired.
@@ -36,20 +40,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import NOT_SPACE, batch_numbers, bucket_bits, column_bytes, mix, row_chunks, segment, stored, tuned
+from .textcore import NOT_SPACE, batch_numbers, bucket_bits, column_bytes, mix, packed_numbers, row_chunks, segment, stored, tuned, unpacked_numbers
 
 #: Words of a shingle, and the similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
 #: Bytes of a hash that travel; the bucket stands for the rest.
 SENT = 6
 #: Shingles in a bucket, about.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 500_000
+#: Bytes of text in a batch, about; a longer row is one alone.
+BATCH_BYTES = 4 << 20
+#: Sets of a batch that have a shingle, from which on it travels once.
+COMMON = 3
 #: Prefix extensions to choose from, and the cost of a verification in postings.
 MATCHES, VERIFY_COST = (1, 2, 4, 8), 20.0
 #: Documents of a cell that are compared in one task.
 TILE = 2048
 #: Pair hits counted at once.
-HITS = 4_000_000
+HITS = 1_000_000
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +96,13 @@ def least_overlap(size: np.ndarray, percent: int) -> np.ndarray:
 def _sender(bits: int):
     """Texts to packed sets: (bucket, batch, ids, blob, sizes, units)."""
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in row_chunks(column_bytes(b.column(1))[1], BATCH_BYTES):
+                yield b.slice(lo, hi - lo)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, b in zip(batch_numbers(), batches):
+        for batch, b in zip(batch_numbers(), parts(batches)):
             tokens, sizes = shingle_sets(b.column(1))
             units = unit_ids(tokens, sizes)
             # each set once in the batch
@@ -102,19 +115,37 @@ def _sender(bits: int):
             t, m = tokens[kept], member[kept]
             slot = np.cumsum(use) - 1
             m, n = slot[m], int(use.sum())
+            order = np.argsort(t, kind="stable")
+            t, m = t[order], m[order]
+            # common shingles: one entry each, owned by n, n + 1, ...; the own row tells whose they are
+            head = np.concatenate([np.ones(min(1, len(t)), bool), t[1:] != t[:-1]])
+            start = np.flatnonzero(head)
+            times = np.diff(np.concatenate([start, [len(t)]]))
+            often = times >= COMMON
+            whose = m[np.repeat(often, times)]
+            owner = m.copy()
+            owner[start[often]] = n + np.arange(often.sum())
+            once = np.repeat(~often, times)
+            once[start[often]] = True
+            t, owner = t[once], owner[once]
+            many = np.zeros(len(t), np.int64)
+            many[owner >= n] = times[often]
             bucket = (t >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.lexsort((m, bucket))
-            t, m, bucket = t[order], m[order], bucket[order]
             named, start = np.unique(bucket, return_index=True)
-            stop = [*start.tolist(), len(t)][1:]
             # the bytes behind the bucket's own bits
             body = ((t << np.uint64(bits)) >> np.uint64(64 - 8 * SENT)).view(np.uint8).reshape(-1, 8)[:, :SENT]
-            # whose they are: counts by set, or where those would be longer, the set of each
-            blobs = [(np.uint32(n).tobytes() + np.bincount(m[a:z], minlength=n).astype("<u4").tobytes() if n < z - a else np.array([0, z - a], "<u4").tobytes() + m[a:z].astype("<u4").tobytes()) + body[a:z].tobytes() for a, z in zip(start.tolist(), stop)]
+            blobs = []
+            for a, z in zip(start.tolist(), [*start.tolist(), len(t)][1:]):
+                # sorted by owner, whose they are takes little
+                place = a + np.argsort(owner[a:z], kind="stable")
+                o, c = owner[place], many[place]
+                head = packed_numbers(np.diff(o, prepend=0), c[c > 0], np.array([n]))
+                blobs.append(np.uint32(len(head)).tobytes() + head + body[place].tobytes())
             k = len(blobs)
+            own = packed_numbers(np.flatnonzero(use), times[often], whose)
             ids = pa.array([b.column(0).to_pylist(), *[None] * k], pa.list_(b.column(0).type))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(mix(np.array([batch], np.uint64))[0] >> np.uint64(64 - bits)), *named.tolist()], pa.int32()), pa.array([batch] * (k + 1), pa.int64()), ids, pa.array([use.tobytes(), *blobs], pa.binary()), pa.array([sizes.astype("<i8").tobytes(), *[None] * k], pa.binary()), pa.array([units.tobytes(), *[None] * k], pa.binary())],
+                [pa.array([int(mix(np.array([batch], np.uint64))[0] >> np.uint64(64 - bits)), *named.tolist()], pa.int32()), pa.array([batch] * (k + 1), pa.int64()), ids, pa.array([own, *blobs], pa.binary()), pa.array([sizes.astype("<i8").tobytes(), *[None] * k], pa.binary()), pa.array([units.tobytes(), *[None] * k], pa.binary())],
                 ["bucket", "batch", "ids", "blob", "sizes", "units"],
             )
 
@@ -128,25 +159,25 @@ def _counter(bits: int):
         told = table.filter(pc.is_valid(table["ids"]))
         sent = table.filter(pc.is_null(table["ids"]))
         batches = sent["batch"].to_pylist()
-        tokens, owners, cuts = [], [], [0]
+        tokens, owners, weights, cuts = [], [], [], [0]
         for blob in sent["blob"].to_pylist():
-            n = int(np.frombuffer(blob, "<u4", 1)[0])
-            if n:
-                owners.append(np.repeat(np.arange(n, dtype="<u4"), np.frombuffer(blob, "<u4", n, 4)))
-                body = np.frombuffer(blob, np.uint8, -1, 4 + 4 * n).reshape(-1, SENT)
-            else:
-                n = int(np.frombuffer(blob, "<u4", 1, 4)[0])
-                owners.append(np.frombuffer(blob, "<u4", n, 8))
-                body = np.frombuffer(blob, np.uint8, -1, 8 + 4 * n).reshape(-1, SENT)
+            size = int(np.frombuffer(blob, "<u4", 1)[0])
+            owner, times, n = unpacked_numbers(blob[4 : 4 + size], 3)
+            owner = np.cumsum(owner, dtype=np.int64)
+            weight = np.ones(len(owner), np.int64)
+            weight[owner >= int(n[0])] = times
+            body = np.frombuffer(blob, np.uint8, -1, 4 + size).reshape(-1, SENT)
             wide = np.zeros((len(body), 8), np.uint8)
             wide[:, :SENT] = body
             tokens.append(wide.view("<u8").ravel())
+            owners.append(owner)
+            weights.append(weight)
             cuts.append(cuts[-1] + len(body))
         columns = [told["batch"].to_pylist(), told["ids"].to_pylist(), told["blob"].to_pylist(), told["sizes"].to_pylist(), told["units"].to_pylist()]
         if tokens:
-            t, owner = np.concatenate(tokens), np.concatenate(owners)
-            _, inverse, n = np.unique(t, return_inverse=True, return_counts=True)
-            df = n[inverse]
+            t, owner, weight = np.concatenate(tokens), np.concatenate(owners), np.concatenate(weights)
+            _, inverse = np.unique(t, return_inverse=True)
+            df = np.bincount(inverse, weight).astype(np.int64)[inverse]
             shared = df > 1
             # the whole number again: bucket bits in front
             whole = (t << np.uint64(64 - 8 * SENT)) >> np.uint64(bits) | np.uint64(sent["bucket"][0].as_py()) << np.uint64(64 - bits)
@@ -156,7 +187,8 @@ def _counter(bits: int):
                 if s.any():
                     columns[0].append(batch)
                     columns[1].append(None)
-                    columns[2].append(np.uint32(s.sum()).tobytes() + owner[z][s].tobytes() + np.minimum(df[z][s], 2**32 - 1).astype("<u4").tobytes() + whole[z][s].astype("<u8").tobytes())
+                    head = packed_numbers(owner[z][s], df[z][s])
+                    columns[2].append(np.uint32(len(head)).tobytes() + head + whole[z][s].astype("<u8").tobytes())
                     columns[3].append(None)
                     columns[4].append(None)
         kinds = [pa.int64(), table.schema.field("ids").type, pa.binary(), pa.binary(), pa.binary()]
@@ -193,7 +225,7 @@ def _receiver(percent: int):
         kinds = [table.schema.field("ids").type.value_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
         if told.num_rows:
             ids = told["ids"][0].as_py()
-            use = np.frombuffer(told["blob"][0].as_py(), bool)
+            use, times, whose = (x.astype(np.int64) for x in unpacked_numbers(told["blob"][0].as_py(), 3))
             sizes, units = np.frombuffer(told["sizes"][0].as_py(), "<i8"), np.frombuffer(told["units"][0].as_py(), np.int64)
             out["id"], out["n"], out["unit"] = list(ids), sizes.tolist(), units.tolist()
             for k in ("size", "m", "prefix", "alone", "tokens"):
@@ -201,12 +233,21 @@ def _receiver(percent: int):
             back = [x for x in table.filter(pc.is_null(table["ids"]))["blob"].to_pylist()]
             owner, df, token = [], [], []
             for blob in back:
-                n = int(np.frombuffer(blob, "<u4", 1)[0])
-                owner.append(np.frombuffer(blob, "<u4", n, 4))
-                df.append(np.frombuffer(blob, "<u4", n, 4 + 4 * n))
-                token.append(np.frombuffer(blob, "<u8", n, 4 + 8 * n))
+                size = int(np.frombuffer(blob, "<u4", 1)[0])
+                o, d = unpacked_numbers(blob[4 : 4 + size], 2)
+                owner.append(o.astype(np.int64))
+                df.append(d.astype(np.int64))
+                token.append(np.frombuffer(blob, "<u8", len(o), 4 + size))
             if back:
-                owner, df, token = np.concatenate(owner), np.concatenate(df).astype(np.int64), np.concatenate(token)
+                owner, df, token = np.concatenate(owner), np.concatenate(df), np.concatenate(token)
+                # common shingles, each for all sets that have it
+                common = np.flatnonzero(owner >= len(use))
+                of = owner[common] - len(use)
+                reps = times[of]
+                inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                more = whose[np.repeat((np.cumsum(times) - times)[of], reps) + inner]
+                single = owner < len(use)
+                owner, df, token = np.concatenate([owner[single], more]), np.concatenate([df[single], np.repeat(df[common], reps)]), np.concatenate([token[single], np.repeat(token[common], reps)])
                 order = np.lexsort((token, df, owner))
                 owner, df, token = owner[order], df[order], token[order]
                 size_of, unit_of = sizes[use], units[use]
@@ -248,7 +289,7 @@ def _pair_counts(token: np.ndarray, member: np.ndarray, rows: np.ndarray, n: int
     group = np.repeat(np.arange(len(first)), size)
     at = np.flatnonzero(place[member] >= 0)
     hits = size[group[at]]
-    total = np.zeros(len(rows) * n, np.int64)
+    total = np.zeros(len(rows) * n, np.int32)
     ends = np.cumsum(hits)
     lo = 0
     while lo < len(at):
@@ -257,67 +298,97 @@ def _pair_counts(token: np.ndarray, member: np.ndarray, rows: np.ndarray, n: int
         reps = size[group[part]]
         inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         other = member[np.repeat(first[group[part]], reps) + inner]
-        total += np.bincount(np.repeat(place[member[part]], reps) * n + other, minlength=len(total))
+        total += np.bincount(np.repeat(place[member[part]], reps) * n + other, minlength=len(total)).astype(np.int32)
         lo = hi
     return total.reshape(len(rows), n)
 
 
-def links_in(sizes: np.ndarray, m: np.ndarray, prefix: np.ndarray, tokens: list[np.ndarray], hub: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join all members that similar pairs join; members are numbers, hub is one of them."""
-    n = len(sizes)
-    owner = np.repeat(np.arange(n), [len(t) for t in tokens])
-    token = np.concatenate(tokens)
-    place = np.arange(len(token)) - np.repeat(np.cumsum([0, *map(len, tokens)])[:-1], [len(t) for t in tokens])
-    early = place < prefix[owner]
-    parent, links = np.arange(n), []
+class Comparison:
+    """Documents of one task, and links that join those that similar pairs join."""
 
-    def similar(rows: np.ndarray) -> None:
-        matched = _pair_counts(token[early], owner[early], rows, n)
-        enough = matched >= np.minimum(m[rows][:, None], m[None, :])
+    def __init__(self, table: pa.Table, percent: int) -> None:
+        unit = np.array(table["unit"])
+        _, first = np.unique(unit, return_index=True)
+        table = table.take(pa.array(first))
+        self.unit, self.percent = unit[first], percent
+        self.sizes, self.m, prefix = (np.array(table[c]).astype(np.int64) for c in ("size", "m", "prefix"))
+        tokens = [np.frombuffer(x, np.int64) for x in table["tokens"].to_pylist()]
+        n = [len(t) for t in tokens]
+        self.n = len(n)
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), n)
+        self.token = np.concatenate([np.zeros(0, np.int64), *tokens])
+        self.early = np.arange(len(self.token)) - np.repeat(np.cumsum(n) - n, n) < prefix[self.owner]
+        self.parent = np.arange(self.n)
+        self.links: list[tuple[int, int]] = []
+
+    def at(self, units: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.isin(self.unit, units))
+
+    def roots(self) -> np.ndarray:
+        return np.array([_find(self.parent, k) for k in range(self.n)], np.int64)
+
+    def compare(self, rows: np.ndarray) -> None:
+        """Each of ``rows`` with all."""
+        step = max(1, HITS // (4 * max(1, self.n)))
+        for k in range(0, len(rows), step):
+            self._compare(rows[k : k + step])
+
+    def _compare(self, rows: np.ndarray) -> None:
+        n, sizes = self.n, self.sizes
+        matched = _pair_counts(self.token[self.early], self.owner[self.early], rows, n)
+        enough = matched >= np.minimum(self.m[rows][:, None], self.m[None, :])
         a, b = np.minimum(sizes[rows][:, None], sizes[None, :]), np.maximum(sizes[rows][:, None], sizes[None, :])
-        enough &= 100 * a >= percent * b
+        enough &= 100 * a >= self.percent * b
         enough[np.arange(len(rows)), rows] = False
-        root = np.array([_find(parent, k) for k in range(n)])
+        root = self.roots()
         enough &= root[rows][:, None] != root[None, :]
         some = np.flatnonzero(enough.any(1))
         if not len(some):
             return
-        common = _pair_counts(token, owner, rows[some], n)
-        good = enough[some] & (100 * common >= percent * (sizes[rows[some]][:, None] + sizes[None, :] - common))
+        common = _pair_counts(self.token, self.owner, rows[some], n)
+        good = enough[some] & (100 * common >= self.percent * (sizes[rows[some]][:, None] + sizes[None, :] - common))
         for i, j in zip(*(x.tolist() for x in np.nonzero(good))):
-            x, y = _find(parent, int(rows[some[i]])), _find(parent, j)
+            x, y = _find(self.parent, int(rows[some[i]])), _find(self.parent, j)
             if x != y:
-                parent[max(x, y)] = min(x, y)
-                links.append((int(rows[some[i]]), j))
+                self.parent[max(x, y)] = min(x, y)
+                self.links.append((int(rows[some[i]]), j))
 
-    similar(np.array([hub]))
-    if n > 2:
-        root = np.array([_find(parent, k) for k in range(n)])
-        named, counts = np.unique(root, return_counts=True)
-        rest = np.flatnonzero(root != named[counts.argmax()])
-        step = max(1, HITS // (4 * n))
-        for k in range(0, len(rest), step):
-            similar(rest[k : k + step])
-    return links
+    def found(self, hub: int, left: np.ndarray | None = None) -> pa.Table:
+        """(hub, a, b): the links, and with b null the units left over."""
+        left = np.zeros(0, np.int64) if left is None else left
+        a, b = [int(self.unit[a]) for a, _ in self.links], [int(self.unit[b]) for _, b in self.links]
+        return pa.table([pa.array([hub] * (len(a) + len(left)), pa.int64()), pa.array([*a, *self.unit[left].tolist()], pa.int64()), pa.array([*b, *[None] * len(left)], pa.int64())], ["hub", "a", "b"])
 
 
-def _tile(percent: int):
+def _with_hub(percent: int):
+    """One block: its links, and those that the hub left over, if there are more blocks."""
+
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        hub = key[0].as_py()
-        unit = np.array(table["unit"])
-        _, first = np.unique(unit, return_index=True)
-        table = table.take(pa.array(first))
-        unit = unit[first]
-        at = np.flatnonzero(unit == hub)
-        found: list[tuple[int, int]] = []
-        if len(unit) > 1:
-            found = links_in(np.array(table["size"]), np.array(table["m"]).astype(np.int64), np.array(table["prefix"]).astype(np.int64), [np.frombuffer(x, np.int64) for x in table["tokens"].to_pylist()], int(at[0]) if len(at) else 0, percent)
-        return pa.table([pa.array([int(unit[a]) for a, _ in found], pa.int64()), pa.array([int(unit[b]) for _, b in found], pa.int64())], ["a", "b"])
+        hub, more = key[0].as_py(), key[2].as_py() > 1
+        c = Comparison(table, percent)
+        c.compare(c.at(np.array([hub])))
+        root = c.roots()
+        left = np.flatnonzero(root != root[c.at(np.array([hub]))[0]])
+        if not more and len(left):
+            c.compare(left)
+        return c.found(hub, left if more else None)
 
     return compare
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _leftover(percent: int):
+    """One tile: some that the hub left over, with a block of the cell."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        left = np.unique(np.array(table["unit"])[np.array(table["left"])])
+        c = Comparison(table, percent)
+        c.compare(c.at(left))
+        return c.found(key[0].as_py())
+
+    return compare
+
+
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) of every node of (a, b): root is the smallest node of its component.
 
     Large-star and small-star rounds; each round's links are written to the shared folder."""
@@ -334,7 +405,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     now = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = stored(now, "links")
     mark = None
-    for _ in range(rounds):
+    for k in range(rounds + 1):
+        if k == rounds:
+            raise RuntimeError(f"components didn't settle in {rounds} rounds")
         large = stars(now, False)
         now = stored(stars(large, True), "links")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -362,15 +435,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     posts = sets.select("unit", "prefix", "alone", "tokens").mapInArrow(_postings, "token long, unit long, alone double")
     hubs = posts.groupBy("token").agg(F.min(F.struct("alone", "unit")).alias("hub"), (F.min("unit") != F.max("unit")).alias("more")).where("more").select("token", F.col("hub.unit").alias("hub"))
     cells = stored(posts.join(hubs, "token").select("hub", "unit").distinct(), "cells")
-    # large cells are cut into blocks, and every two blocks of a cell make a tile
-    blocks = cells.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
-    mine = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    tiles = cells.join(blocks, "hub").withColumn("block", block).withColumn("tile", F.explode(F.when(F.col("unit") == F.col("hub"), every).otherwise(mine))).select("hub", "tile.i", "tile.j", "unit")
     once = sets.groupBy("unit").agg(*[F.min(c).alias(c) for c in ("size", "m", "prefix", "tokens")])
-    links = tiles.join(once, "unit").groupBy("hub", "i", "j").applyInArrow(_tile(percent), "a long, b long")
-    return members, links.distinct()
+    # the hub is in all blocks of its cell
+    counts = cells.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    blocks = cells.join(counts, "hub").withColumn("block", F.explode(F.when(F.col("unit") == F.col("hub"), every).otherwise(F.array(block))))
+    found = blocks.join(once, "unit").groupBy("hub", "block", "blocks").applyInArrow(_with_hub(percent), "hub long, a long, b long")
+    found = stored(found, "found")
+    left = found.where("b IS NULL").select("hub", F.col("a").alias("unit")).distinct()
+    if not left.isEmpty():
+        some = left.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("unit", F.lit(1)), F.col("parts")).cast("int")
+        sides = some.join(counts, "hub")
+        own = left.join(sides, "hub").select("hub", part.alias("part"), F.explode(every).alias("block"), "unit", F.lit(True).alias("left"))
+        others = cells.join(sides, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"), "unit", F.lit(False).alias("left"))
+        more = own.unionByName(others).join(once, "unit").groupBy("hub", "part", "block").applyInArrow(_leftover(percent), "hub long, a long, b long")
+        found = found.unionByName(more)
+    return members, found.where("b IS NOT NULL").select("a", "b").distinct()
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

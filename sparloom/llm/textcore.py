@@ -11,7 +11,6 @@ import math
 import re
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
+from ..storage import stored as stored
+
 #: Bytes of text handled at once; a longer row is handled alone.
 CHUNK_BYTES = 1 << 18
 #: Documents in one Arrow batch.
@@ -44,24 +45,6 @@ GRAM_KEYS = _rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uin
 _powers: list[np.ndarray] = []
 
 
-def shared_dir(spark) -> str:
-    """The folder that the driver and all executors share."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    place = spark.conf.get("spark.checkpoint.dir", own)
-    if not place:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = "/tmp/checkpoints"  # one machine only
-    return place
-
-
-def stored(df, name: str):
-    """The table, written once to the shared folder and read from there."""
-    place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.parquet(place)
-
-
 _shipped: set[str] = set()
 
 
@@ -85,7 +68,7 @@ def tuned(spark) -> None:
     """Bound what one Arrow batch holds, so that long rows don't fill a worker's memory."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
