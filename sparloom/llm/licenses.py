@@ -10,8 +10,7 @@ must cover the template's share. A phrase that must stand word for word needs al
 one diagonal.
 
 Cases: null and empty texts have no words; a document shorter than a template can't cover it;
-rows that repeat in id and text are one row of the result, rows with one id and other texts are
-separate rows; input columns of other names are ignored.
+each row gives a row, also where rows repeat in id and text; input columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -116,23 +115,28 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     hit = (F.col("g.hash") == F.col("t.hash")) & (F.col("g.word") == F.col("t.word")) & (F.col("g.next") == F.col("t.next")) & (F.col("g.at") >= 0)
     votes = grams.join(F.broadcast(known).alias("t"), hit, "left").where(F.col("tid").isNotNull() | (F.col("at") < 0))
     diagonals = votes.groupBy("id", "key", "tid", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
-        F.max(F.when(F.col("at") < 0, F.col("g.hash"))).alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("votes").alias("votes"),
+        F.max(F.when(F.col("at") < 0, F.col("g.hash"))).alias("n_words"), F.count(F.when(F.col("at") < 0, 1)).alias("copies"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("votes").alias("votes"),
         # distinct, as rows that repeat in id and text vote once each
         F.size(F.collect_set("t_at")).cast("long").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("t_at").alias("first_t"), F.max("t_at").alias("last_t"),
     )
-    place = Window.partitionBy("id", "key", "tid").orderBy("first_at", "diagonal")
+    # bands of near diagonals, so that a far one between two parts of a span doesn't break it
+    across = Window.partitionBy("id", "key", "tid").orderBy("diagonal")
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(across) > NEAR).cast("int"), F.lit(0))
+    diagonals = diagonals.withColumn("apart", apart).withColumn("band", F.sum("apart").over(across))
+    place = Window.partitionBy("id", "key", "tid", "band").orderBy("first_at", "diagonal")
     # near diagonals that go on where the last one ended, in the document and in the template
     goes_on = ~F.col("exact") & (F.abs(F.col("diagonal") - F.lag("diagonal").over(place)) <= NEAR) & (F.col("first_t") > F.lag("last_t").over(place)) & (F.col("first_at") <= F.lag("last_at").over(place) + K + NEAR)
     merged = (
         diagonals.withColumn("new", F.when(F.col("tid").isNull(), 0).otherwise((~F.coalesce(goes_on, F.lit(False))).cast("int")))
         .withColumn("span", F.sum("new").over(place))
-        .groupBy("id", "key", "tid", "span")
-        .agg(F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("votes").alias("votes"), F.sum("n").alias("n"), F.min("first_at").alias("start"), F.max(F.col("last_at") + K).alias("end"))
+        .groupBy("id", "key", "tid", "band", "span")
+        .agg(F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("votes").alias("votes"), F.sum("n").alias("n"), F.min("first_at").alias("start"), F.max(F.col("last_at") + K).alias("end"))
     )
     score = F.col("n") / F.col("votes")
     good = F.col("tid").isNotNull() & F.when(F.col("exact"), F.col("n") == F.col("votes")).otherwise(score >= cover)
     span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label", "exact", F.least(score, F.lit(1.0)).alias("score"))
-    return merged.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(F.when(good, span))).alias("spans")).drop("key")
+    texts = merged.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.when(good, span))).alias("spans"))
+    return texts.select("id", "n_words", "spans", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
