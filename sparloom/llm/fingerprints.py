@@ -7,19 +7,22 @@ SPAN neighbouring windows the leftmost of the highest rank is elected, and a win
 often enough is a feature of the text. A text's distinct features go in order into Bloom filters
 of FILTER_BITS bits, FEATURES to a filter, one filter chained to the next; the filters in base64
 are the fingerprint. Two fingerprints are compared filter by filter: the bits that two filters
-share, less those that chance would give, over the most that they could share.
+share, less those that chance would give, over the most that they could share. Each filter of the shorter
+chain counts by its best partner; of chains of equal length, both ways, so that likeness is symmetric.
 
 Cases: null texts count as empty; an empty text has an empty fingerprint, which is like another
 empty one (1) and like no other (0); a text shorter than a window is one feature, in one shorter than
-SHORT bytes all windows are; rows with equal
-ids follow one another by a hash of the text; null ids come last; a table of one row has itself as
-next. Input columns of other names are ignored.
+SHORT bytes all windows are; ids may be of any type that Spark sorts (strings by their bytes); rows with
+equal ids follow one another by a hash of the text; null ids come last; a table of one row has itself as
+next. Input columns of other names are ignored. Rows equal in id and text stay in one run, all others are
+dealt to runs of about RUN_BYTES, however many share an id.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +44,8 @@ SPAN, ELECTED = 64, 16
 SHORT = 4 * SPAN
 #: Bits of a filter, features in it, and bits of a feature.
 FILTER_BITS, FEATURES, BITS = 2048, 128, 5
-#: Runs of neighbouring documents for each shuffle partition.
-RUNS = 4
+#: Bytes of text in a run of neighbouring documents, about, and documents looked at for each bound.
+RUN_BYTES, LOOKED_AT = 8 << 20, 16
 
 
 def _inner(offs: np.ndarray) -> np.ndarray:
@@ -154,12 +157,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if len(a) > len(b):
         a, b = b, a
     na, nb = np.bitwise_count(a).sum(1, dtype=np.int64), np.bitwise_count(b).sum(1, dtype=np.int64)
-    best = []
-    for x, n in zip(a, na):
-        shared = np.bitwise_count(b & x).sum(1, dtype=np.int64)
+    near = np.empty((len(a), len(b)))
+    for k, (x, n) in enumerate(zip(a, na)):
         chance = n * nb / FILTER_BITS
-        best.append(float(np.max(np.clip((shared - chance) / np.maximum(np.minimum(n, nb) - chance, 1e-9), 0, 1))))
-    return float(np.average(best, weights=na))
+        near[k] = np.clip((np.bitwise_count(b & x).sum(1, dtype=np.int64) - chance) / np.maximum(np.minimum(n, nb) - chance, 1e-9), 0, 1)
+    own = float(np.average(near.max(1), weights=na))
+    return own if len(a) < len(b) else (own + float(np.average(near.max(0), weights=nb))) / 2
 
 
 def written(f: np.ndarray) -> str:
@@ -182,45 +185,43 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(scan, f"id {dict(source.dtypes)['id']}, n_chars long, fingerprint string")
 
 
-def in_runs(docs: DataFrame, runs: int) -> DataFrame:
-    """(run, late, id, key, text): documents by descending id, dealt into runs of neighbours; each run
-    also has, late, the first document of the next run that has any. Only the runs' bounds and
-    first documents come to the driver."""
-    ids = docs.select("id").where("id IS NOT NULL")
-    cuts = ids.agg(F.percentile_approx("id", [k / runs for k in range(1, runs)], 10 * runs)).first()[0] if runs > 1 else None
-    bounds = np.array(sorted(set(cuts or [])))
+def in_runs(docs: DataFrame, runs: int) -> tuple[DataFrame, int]:
+    """((run, late, id, key, text), number of runs): documents by descending id, then by a hash of the text,
+    dealt into runs of neighbours; each run also has, late, the first document of the next run that has
+    any. Only the runs' bounds and first documents come to the driver."""
     keyed = docs.withColumn("key", F.xxhash64("text"))
+    # a rising order whose reverse is by descending id (null last), then by key
+    place = lambda i, key: (i is not None, 0 if i is None else i, ~key)
+    look = keyed.select("id", "key").orderBy(F.xxhash64("id", "key", F.lit(7))).limit(LOOKED_AT * runs).collect() if runs > 1 else []
+    seen = sorted(place(*r) for r in look)
+    bounds = sorted({seen[k * len(seen) // runs] for k in range(1, runs)}) if seen else []
 
-    def run_of(ids: pa.Array) -> np.ndarray:
-        """Run 0 has the highest ids; null ids are the last run."""
-        known = np.array(ids.is_valid())
-        out = np.full(len(ids), len(bounds) + 1, np.int32)
-        if known.any():
-            out[known] = len(bounds) - np.searchsorted(bounds, ids.drop_null().to_numpy(zero_copy_only=False), "left")
-        return out
+    def run_of(ids: pa.Array, keys: pa.Array) -> np.ndarray:
+        """Run 0 has the highest ids; null ids come last."""
+        return np.array([len(bounds) - bisect_left(bounds, place(i, k)) for i, k in zip(ids.to_pylist(), keys.to_pylist())], np.int32)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(run_of(b.column(0))), *b.columns], ["run", "id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(run_of(b.column(0), b.column(1))), *b.columns], ["run", "id", "key"])
 
     kind = dict(docs.dtypes)["id"]
-    order = F.struct(F.col("id").isNull().alias("a"), F.negate("id").alias("b"), F.col("key").alias("c"), F.col("id").alias("id"))
-    heads = keyed.select("id", "key").mapInArrow(place, f"run int, id {kind}, key long").groupBy("run").agg(F.min(order).alias("first")).collect()
-    named = sorted((r["run"], r["first"]["id"], r["first"]["c"]) for r in heads)
+    last = F.struct(F.col("id").isNotNull().alias("a"), F.col("id").alias("id"), F.bitwise_not("key").alias("c"))
+    heads = keyed.select("id", "key").mapInArrow(number, f"run int, id {kind}, key long").groupBy("run").agg(F.max(last).alias("first")).collect()
+    named = sorted((r["run"], r["first"]["id"], ~r["first"]["c"]) for r in heads)
     # where each run's first document is also needed: at the end of the run before, and the very
     # first one at the end of the last
     also = {named[k]: named[k - 1][0] for k in range(len(named))}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            run = run_of(b.column(0))
+            run = run_of(b.column(0), b.column(1))
             at = [(k, also[x]) for k, x in enumerate(zip(run.tolist(), b.column(0).to_pylist(), b.column(1).to_pylist())) if x in also]
             yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(np.zeros(len(run), np.int32)), *b.columns], ["run", "late", "id", "key", "text"])
             if at:
                 more = b.take(pa.array([k for k, _ in at]))
                 yield pa.RecordBatch.from_arrays([pa.array([r for _, r in at], pa.int32()), pa.array(np.ones(len(at), np.int32)), *more.columns], ["run", "late", "id", "key", "text"])
 
-    return keyed.select("id", "key", "text").mapInArrow(deal, f"run int, late int, id {kind}, key long, text string")
+    return keyed.select("id", "key", "text").mapInArrow(deal, f"run int, late int, id {kind}, key long, text string"), len(bounds) + 1
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,8 +231,10 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tuned(spark)
     ranks = ranks_of(level_counts(docs, text_col))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    runs = RUNS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = in_runs(source, runs).repartition("run").sortWithinPartitions("run", "late", F.col("id").desc_nulls_last(), "key")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    placed, runs = in_runs(source, -(-size // RUN_BYTES) or 1)
+    # a partition for each run, by its number
+    placed = placed.repartitionById(runs, F.col("run")).sortWithinPartitions("run", "late", F.col("id").desc_nulls_last(), "key")
     kind = placed.schema["id"].dataType
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
