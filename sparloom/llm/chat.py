@@ -32,7 +32,7 @@ TURN_END = "</s>"
 TURN_HEAD = "<s>[ROLE]"
 ROLE_END = "[/ROLE]"
 LOSS_ROLE = "assistant"
-#: Other names of roles.
+#: Other names of roles, in layouts that have names of their own.
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -40,13 +40,15 @@ TURNS = "array<struct<role:string,text:string>>"
 @dataclass(frozen=True)
 class Layout:
     """How one layout becomes turns. rows: (turn, role, text) columns of a table with a row for
-    each turn. many: (list, role, text) fields. flat: (role, fields) joined by blank lines."""
+    each turn. many: (list, role, text) fields. flat: (role, fields) joined by blank lines.
+    renames: roles have names of ROLE_NAMES; elsewhere they stay as they are."""
 
     name: str
     rows: tuple[str, str, str] | None = None
     many: tuple[str, str, str] | None = None
     flat: tuple[tuple[str, tuple[str, ...]], ...] = ()
     optional: tuple[str, ...] = field(default=())
+    renames: bool = False
 
     def paths(self) -> list[str]:
         if self.rows:
@@ -61,7 +63,7 @@ LAYOUTS = (
     Layout("turn rows", rows=("turn", "role", "text")),
     Layout("messages", many=("messages", "role", "content")),
     Layout("system and messages", many=("messages", "role", "content"), flat=(("system", ("system",)),), optional=("system",)),
-    Layout("exchange", many=("conversations", "from", "value")),
+    Layout("exchange", many=("conversations", "from", "value"), renames=True),
     Layout("instruction", flat=(("user", ("instruction", "input")), ("assistant", ("output",))), optional=("input",)),
     Layout("prompt and completion", flat=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("prompt and response", flat=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), optional=("system",)),
@@ -110,15 +112,15 @@ def layout_of(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> La
     return got
 
 
-def _role(c: Column) -> Column:
+def _role(c: Column, renames: bool) -> Column:
     c = F.coalesce(c.cast("string"), F.lit(""))
-    for name, role in ROLE_NAMES.items():
+    for name, role in ROLE_NAMES.items() if renames else ():
         c = F.when(c == name, role).otherwise(c)
     return c
 
 
-def _turn(role: Column, text: Column) -> Column:
-    return F.struct(_role(role).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+def _turn(role: Column, text: Column, renames: bool = False) -> Column:
+    return F.struct(_role(role, renames).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
 def _flat(layout: Layout, get) -> Column:
@@ -132,8 +134,8 @@ def _flat(layout: Layout, get) -> Column:
     return F.filter(F.array(*turns), lambda t: t.isNotNull()) if turns else F.array().cast(TURNS)
 
 
-def _many(said: Column, role: str, text: str) -> Column:
-    return F.transform(said, lambda m: _turn(m[role], m[text]))
+def _many(said: Column, role: str, text: str, renames: bool) -> Column:
+    return F.transform(said, lambda m: _turn(m[role], m[text], renames))
 
 
 def canonical(df: DataFrame, id_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -148,7 +150,7 @@ def canonical(df: DataFrame, id_col: str, layouts: tuple[Layout, ...] = LAYOUTS)
     turns = _flat(x, lambda n: F.col(n).cast("string") if n in present else None)
     if x.many:
         a, role, text = x.many
-        turns = F.concat(turns, _many(F.coalesce(F.col(a), F.array().cast(df.schema[a].dataType)), role, text))
+        turns = F.concat(turns, _many(F.coalesce(F.col(a), F.array().cast(df.schema[a].dataType)), role, text, x.renames))
     return df.select(F.col(id_col).alias("id"), F.lit(x.name).alias("layout"), turns.alias("turns"))
 
 
@@ -173,7 +175,7 @@ def canonical_json(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Lay
         if x.many:
             a, role, text = x.many
             got = F.try_variant_get("v", f"$.{a}", f"array<struct<{role}:string,{text}:string>>")
-            made = F.concat(made, _many(F.coalesce(got, F.array().cast(f"array<struct<{role}:string,{text}:string>>")), role, text))
+            made = F.concat(made, _many(F.coalesce(got, F.array().cast(f"array<struct<{role}:string,{text}:string>>")), role, text, x.renames))
         turns, name = F.when(F.col("fingerprint") == key, made).otherwise(turns), F.when(F.col("fingerprint") == key, x.name).otherwise(name)
     return rows.select("id", name.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
