@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,14 +126,16 @@ def windows_of(item: object, text: str | None, window: int = WINDOW) -> list[tup
 
 
 def window_passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The test set's windows in lists of about ``limit``, read one partition at a time."""
+    """The test set's windows in lists of ``limit`` at most, read one partition at a time."""
     held: list[tuple[str | None, list[bytes]]] = []
     some = False
     for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        held += windows_of(row["i"], row["t"])
-        if len(held) >= limit:
-            yield held
-            held, some = [], True
+        new = windows_of(row["i"], row["t"])
+        while len(held) + len(new) > limit:
+            cut = limit - len(held)
+            yield held + new[:cut]
+            held, new, some = [], new[cut:], True
+        held += new
     if held or not some:
         yield held
 
@@ -144,11 +147,13 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     hit word positions are united per document. Either way each row of the documents gives a row."""
     spark = docs.sparkSession
     tuned(spark)
-    passes = [Searcher(x) for x in window_passes(benchmark, item_col, item_text_col, limit)]
+    # each holds ``limit`` windows at most; the driver keeps none of them
+    passes = [spark.sparkContext.broadcast(Searcher(x)) for x in window_passes(benchmark, item_col, item_text_col, limit)]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def run(searcher: Searcher, keep: bool):
+    def run(shared: Broadcast, keep: bool):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = shared.value
             for b in batches:
                 for lo, hi, w in word_chunks(b.column(1), ALNUM):
                     hit, found = searcher.search(w)
@@ -184,9 +189,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     at = docs.columns.index(text_col)
     out = docs
     for windows in window_passes(benchmark, item_col, item_text_col, limit):
-        searcher = Searcher(windows)
+        shared = docs.sparkSession.sparkContext.broadcast(Searcher(windows))
 
-        def scan(batches: Iterator[pa.RecordBatch], searcher: Searcher = searcher) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            searcher = shared.value
             for b in batches:
                 for lo, hi, w in word_chunks(b.column(at), ALNUM):
                     bad = searcher.search(w)[1]
