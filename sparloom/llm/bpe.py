@@ -11,7 +11,8 @@ pieces of a block of texts share one queue, so that a bucket's entries are merge
 Pieces recur, so each worker keeps the ids of those met last, up to a bound.
 
 Cases: null texts count as empty; an empty text has no ids and decodes to nothing; unpaired
-surrogates can't occur in Spark strings; special tokens in a text are ordinary text.
+surrogates can't occur in Spark strings; special tokens in a text are ordinary text; repeated rows
+are each encoded; input columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Bytes of text whose new pieces are merged together.
 BLOCK_BYTES = 2 << 20
 #: Pieces whose ids a worker keeps.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 #: Longer pieces are not kept.
 KEPT_LENGTH = 64
 
