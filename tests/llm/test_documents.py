@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparloom.llm import textcore as packing
 from sparloom.llm import bpe, decontamination, fingerprints, jaccard, licenses, lm, quality, secrets
 from sparloom.llm.textcore import ALNUM, ALNUM_PATTERN, NOT_SPACE, NOT_SPACE_PATTERN, plain_words, word_chunks
 
@@ -30,7 +31,7 @@ def test_licenses(spark, corpus, docs, no_docs):
     for r in licenses.find(docs).collect():
         got[r["id"], r["n_words"], tuple((s["label"], s["start"], s["end"]) for s in r["spans"] if s["exact"])] += 1
     want = Counter()
-    for i, t in set(corpus):
+    for i, t in corpus:
         w = plain_words(t, ALNUM_PATTERN)
         spans = [(k, k + len(p.split()), label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         want[i, len(w), tuple((n, a, z) for a, z, n in sorted(spans))] += 1
@@ -40,14 +41,56 @@ def test_licenses(spark, corpus, docs, no_docs):
     assert licenses.find(no_docs).count() == 0
 
 
+def plain_licenses(text):
+    """Spans (label, exact, start, end, score) by one loop for each template."""
+    w = plain_words(text, ALNUM_PATTERN)
+    out = []
+    for exact, named in ((True, licenses.PHRASES), (False, licenses.TEMPLATES)):
+        for phrase, label in named.items():
+            p = phrase.split()
+            by_diagonal = defaultdict(list)
+            for at in range(len(w) - 1):
+                for t in range(len(p) - 1):
+                    if w[at : at + 2] == p[t : t + 2]:
+                        by_diagonal[at - t].append((at, t))
+            bands = []
+            for d in sorted(by_diagonal):
+                if not bands or d - bands[-1][-1] > licenses.NEAR:
+                    bands.append([])
+                bands[-1].append(d)
+            for band in bands:
+                spans = []
+                for d in sorted(band, key=lambda d: (min(by_diagonal[d]), d)):
+                    at, t = [a for a, _ in by_diagonal[d]], {t for _, t in by_diagonal[d]}
+                    if not exact and spans:
+                        s = spans[-1]
+                        if abs(d - s["d"]) <= licenses.NEAR and min(t) > s["t"] and min(at) <= s["at"] + 2 + licenses.NEAR:
+                            s |= {"d": d, "t": max(t), "at": max(at), "n": s["n"] + len(t)}
+                            s["end"] = max(s["end"], max(at) + 2)
+                            continue
+                    spans.append({"d": d, "t": max(t), "at": max(at), "n": len(t), "start": min(at), "end": max(at) + 2})
+                for s in spans:
+                    share = s["n"] / (len(p) - 1)
+                    if share == 1 if exact else share >= licenses.COVER:
+                        out.append((s["start"], s["end"], label, exact, min(share, 1.0)))
+    return len(w), tuple(sorted(out))
+
+
 def test_licenses_repeated_rows(spark):
-    """Copies of a row give what one of them gives: no phrase is lost and no half template passes."""
-    texts = ["Under the MIT License, or the Apache License; again: MIT license.", "licensed under the apache thing", "licensed under the apache license version 2 0"]
+    """Each row gives a row; copies give what one of them gives: no phrase is lost and no half template passes."""
+    texts = [
+        "Under the MIT License, or the Apache License; again: MIT license.", "licensed under the apache thing", "licensed under the apache license version 2 0", None, "",
+        "this work is licensed under under the gnu general public license version 3", "you may not use this very file except in compliance with the license",
+        # a far vote between the parts of a span
+        "you may not use this file except license in compliance with the license; the license",
+        "licensed under cc by nc 4 0 licensed under cc by 4 0 all rights reserved " * 3,
+    ]
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[0])]
-    one = {r["id"]: r for r in licenses.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     many = licenses.find(spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(3)).collect()
-    assert len(many) == 4 and {r["id"]: r for r in many} == one
-    assert [s["label"] for s in one[None]["spans"] if s["exact"]] == ["mit", "apache", "mit"] and not one[1]["spans"]
+    got = Counter((r["id"], r["n_words"] or 0, tuple(tuple(s) for s in r["spans"])) for r in many)
+    assert got == Counter((i, *plain_licenses(t)) for i, t in rows * 3) and len(many) == 30
+    labels = {r["id"]: {s["label"] for s in r["spans"]} for r in many}
+    assert labels[None] == {"mit", "apache"} and not labels[1] and "apache-2.0" in labels[6] & labels[7] and {"cc-by-nc-4.0", "all-rights-reserved"} <= labels[8]
 
 
 def test_language_model(corpus, docs, no_docs):
@@ -66,6 +109,60 @@ def test_language_model(corpus, docs, no_docs):
     assert lm.score(no_docs).count() == 0
 
 
+def test_language_model_scores(corpus, docs):
+    """The scores against plain sums over words and pairs."""
+    check = {i: zlib.crc32(str(i).encode()) for i, _ in corpus}
+    tokens = [(i, plain_words(t, NOT_SPACE_PATTERN) + [None]) for i, t in corpus]
+    learn = lambda i: check[i] % 7 != 2
+    weigh = lambda i: learn(i) and check[i] // 7 % 10 == 0
+
+    def counted(use):
+        words, pairs = Counter(), Counter()
+        for i, t in tokens:
+            if use(i):
+                words.update(t)
+                pairs.update(zip([None, *t], t))
+        return words, pairs
+
+    words, pairs = counted(learn)
+    w0, p0 = counted(lambda i: learn(i) and not weigh(i))
+    bucket = lambda n: min(math.ceil(math.log2(n + 1)), lm.CONTEXTS - 1)
+    near = lambda f: 2 ** (-round(-math.log2(f) * lm.FINENESS) / lm.FINENESS) if f else 0.0
+    events = [(bucket(w0[a]), near(p0[a, b] / max(w0[a], 1)), near(w0[b] / max(w0.total(), 1)), 1 / (len(words) + 1)) for i, t in tokens if weigh(i) for a, b in zip([None, *t], t)]
+    assert len(events) > 100
+    weights = [[0.4, 0.5, 0.1] for _ in range(lm.CONTEXTS)]
+    for _ in range(lm.ROUNDS):
+        total = [[1e-6, 1e-6, 1e-3] for _ in weights]
+        for c, *f in events:
+            x = [u * v for u, v in zip(weights[c], f)]
+            for k in range(3):
+                total[c][k] += x[k] / sum(x)
+        weights = [[x / sum(t) for x in t] for t in total]
+    n = words.total()
+    want = defaultdict(list)
+    for i, t in tokens:
+        out = 0.0
+        for a, b in zip([None, *t], t):
+            u = weights[bucket(words[a])]
+            out += math.log10(u[0] * pairs[a, b] / max(words[a], 1) + u[1] * words[b] / n + u[2] / (len(words) + 1))
+        want[i].append(round(out, 6))
+    got = defaultdict(list)
+    for r in lm.score(docs).collect():
+        got[r["id"]].append(round(r["score"], 6))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+
+
+def test_large_counts():
+    """Counts beyond 32 bits travel whole."""
+    parts = [np.array([0, 5, 2**32, 2**50]), np.array([1, 2**32 - 1]), np.zeros(0, np.int64)]
+    assert [x.tolist() for x in packing.unpacked_numbers(packing.packed_numbers(*parts), 3)] == [p.tolist() for p in parts]
+    z = np.array([9, 10], "<u8").view(np.uint8).reshape(2, 8)[:, :6].tobytes()
+    blobs = [np.uint32(len(x)).tobytes() + x + k for x, k in ((packing.packed_numbers(np.array([2**33, 1]), np.array([2**33, 1]), np.zeros(0, int), np.zeros(0, int)), z), (packing.packed_numbers(np.array([2**33]), np.array([3]), np.zeros(0, int), np.zeros(0, int)), z[:6]))]
+    table = pa.table([pa.array([0, 0], pa.int32()), pa.array([1, 2]), pa.array([None, None], pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array([0, 0]), pa.array([0, 0])], ["bucket", "batch", "ids", "blob", "learn", "weigh"])
+    got = lm._count(table)
+    assert [packing.unpacked_numbers(x, 4)[0].tolist() for x in got["blob"].to_pylist()] == [[2**34, 1], [2**34]]
+
+
 def test_language_model_probabilities_add_up():
     weights = lm.learn_weights(np.array([[1, 8, 40, 5], [1, -1, 40, 3], [3, 0, 16, 9]], float), 100)
     assert np.allclose(weights.sum(1), 1) and weights[3, 0] > 0.9
@@ -301,6 +398,82 @@ def test_fingerprints(spark, corpus, docs, no_docs):
     assert equal[200] == equal[3]
 
 
+def plain_fingerprint(text, counts):
+    """The features and filters of a text, window by window."""
+    raw, n = (text or "").encode(), fingerprints.WINDOW
+    level = lambda x: sum(a == b for k, a in enumerate(x) for b in x[:k])
+    at = range(len(raw) - n + 1)
+    order = {k: r for r, k in enumerate(sorted(range(fingerprints.LEVELS), key=lambda k: (k >= fingerprints.FLAT, counts[k], k)))}
+    rank = [order[level(raw[i : i + n])] for i in at]
+    if not raw:
+        chosen = None
+    elif not rank:
+        return [int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")]
+    elif len(raw) < fingerprints.SHORT:
+        chosen = at
+    else:
+        won = Counter(min(range(k, k + fingerprints.SPAN), key=lambda i: (rank[i], i)) for k in range(len(rank) - fingerprints.SPAN + 1))
+        chosen = sorted(i for i, c in won.items() if c >= fingerprints.ELECTED) or [max(won, key=lambda i: (won[i], -i))]
+    out = []
+    for i in chosen or ():
+        h = sum((int(packing._BYTE_KEYS[c]) * pow(packing._BASE, k, 2**64)) for k, c in enumerate(raw[i : i + n])) % 2**64
+        h = int(packing.mix(np.array([h], np.uint64))[0])
+        if h not in out:
+            out.append(h)
+    return out
+
+
+def plain_filters(hashes):
+    size = fingerprints.FEATURES
+    return [{h >> 11 * k & 2047 for h in hashes[a : a + size] for k in range(fingerprints.BITS)} for a in range(0, len(hashes), size)]
+
+
+def plain_likeness(x, y):
+    if not x or not y:
+        return float(len(x) == len(y))
+
+    def one(x, y):
+        near = [max(min(1, max(0, (len(a & b) - len(a) * len(b) / 2048) / max(min(len(a), len(b)) - len(a) * len(b) / 2048, 1e-9))) for b in y) for a in x]
+        return sum(v * len(a) for v, a in zip(near, x)) / sum(map(len, x))
+
+    return one(x, y) if len(x) < len(y) else one(y, x) if len(x) > len(y) else (one(x, y) + one(y, x)) / 2
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_plain(spark, corpus, kind, monkeypatch):
+    """Digests and likeness against the plain version, for ids of numbers and of strings, in runs of any size."""
+    rows = [(None if i == 31 else str(i) if kind == "string" else i, (t or "")[:3000] or t) for i, t in corpus]
+    counts = Counter()
+    for _, t in rows:
+        raw = (t or "").encode()
+        counts.update(sum(a == b for k, a in enumerate(raw[i : i + 16]) for b in raw[i : i + k]) for i in range(len(raw) - 15))
+    made = {}
+    plain = lambda t: made[t] if t in made else made.setdefault(t, plain_filters(plain_fingerprint(t, counts)))
+    coded = lambda f: fingerprints.written(np.packbits(np.array([[k in x for k in range(2048)] for x in f], bool).reshape(-1, 2048), axis=1, bitorder="little"))
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    keys = {r["text"]: r["k"] for r in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    order = sorted(rows, key=lambda r: keys[r[1]])
+    order.sort(key=lambda r: (r[0] is not None, r[0] or (0 if kind == "long" else "")), reverse=True)
+    want = Counter()
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        t, n = t or "", n or ""
+        cut = len(t) // 3
+        e = t[: len(t) - cut] + n[:cut]
+        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), coded(plain(t)), coded(plain(e)), round(plain_likeness(plain(t), plain(e)), 9), round(plain_likeness(plain(t), plain(n)), 9)] += 1
+    for size in (1 << 23, 4000):
+        monkeypatch.setattr(fingerprints, "RUN_BYTES", size)
+        got = Counter((r["id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.compare_edited(df).collect())
+        assert got == want
+
+
+def test_likeness_symmetric():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        a, b = (fingerprints.filters(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)) for _ in range(2))
+        b[0] |= a[0] & b[-1]
+        assert abs(fingerprints.likeness(a, b) - fingerprints.likeness(b, a)) < 1e-12
+
+
 def test_levels():
     data = np.frombuffer(b"abracadabra " * 20, np.uint8)
     got = fingerprints.levels(data)

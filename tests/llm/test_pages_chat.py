@@ -82,7 +82,8 @@ def test_loss_and_order(spark):
     got = {r["id"]: r for r in chat.read_back(chat.render(chat.canonical(df, "conv_id"))).collect()}
     assert [t["text"] for t in got[1]["turns"]] == ["A", "B</s>", "B</s>", "[INST]é"]
     assert got[1]["loss_texts"] == ["B</s>", "B</s>", "[INST]é"] and got[2]["loss_texts"] == [""]
-    assert [tuple(t) for t in got[None]["turns"]] == [("assistant", "n")]
+    # roles of turn rows stay as they are
+    assert [tuple(t) for t in got[None]["turns"]] == [("gpt", "n")] and got[None]["loss_texts"] == []
     assert chat.render(chat.canonical(df.limit(0), "conv_id")).count() == 0
 
 
