@@ -51,7 +51,7 @@ BATCH_BYTES = 4 << 20
 #: Bytes of a hash that travel beside its bucket.
 SENT = 6
 #: Words whose vectors are broadcast, at most.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 500_000
 #: Non-zero places of an index vector.
 PLACES = 2
 #: Labelled rows that the network learns from, at most.
