@@ -43,9 +43,11 @@ DIM = 32
 #: Shapes of words.
 SHAPES = 256
 #: Words of text for a bucket, about.
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 1_000_000
 #: Words whose sums a task holds before it sends them, about.
 HELD_WORDS = 400_000
+#: Words whose sums are added up at once.
+MERGED = 1 << 15
 #: Bytes of documents that ask for their words' vectors together.
 BATCH_BYTES = 4 << 20
 #: Bytes of a hash that travel beside its bucket.
@@ -118,15 +120,18 @@ def gather(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield both[order], total[order]
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]], kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
-    """Sums by key, added up; the keys rise."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sums by key, added up, in parts of MERGED keys at most; the keys rise."""
     if not sum(len(k) for k, _ in parts):
-        return np.zeros(0, np.uint64), np.zeros((0, DIM + 1), kind)
-    keys = np.concatenate([k for k, _ in parts])
+        return
+    keys, sums = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(np.concatenate([x for _, x in parts])[order], first, axis=0, dtype=kind)
+    for k in range(0, len(first), MERGED):
+        at = first[k : k + MERGED]
+        end = first[k + MERGED] if k + MERGED < len(first) else len(keys)
+        yield keys[at], np.add.reduceat(sums[order[at[0] : end]].astype(np.int64), at - at[0], axis=0)
 
 
 class Held:
@@ -138,9 +143,9 @@ class Held:
         self.size = self.merged = 0
 
     def _add(self, keys: np.ndarray, sums: np.ndarray) -> None:
-        wide = (np.abs(sums) > 127).any(1)
+        wide = (sums.max(1) > 127) | (sums.min(1) < -127)
         self.small.append((keys[~wide], sums[~wide].astype(np.int8)))
-        self.large.append((keys[wide], sums[wide]))
+        self.large.append((keys[wide], sums[wide].astype(np.int64)))
         self.size += len(keys)
 
     def add(self, keys: np.ndarray, sums: np.ndarray) -> bool:
@@ -149,14 +154,16 @@ class Held:
         if self.size <= 2 * self.merged + HELD_WORDS // 4:
             return False
         small, self.small, self.size = self.small, [], 0
-        self._add(*_merged(small, np.int32))
-        self.large = [_merged(self.large)]
-        self.size = self.merged = len(self.small[0][0]) + len(self.large[0][0])
+        for part in _merged(small):
+            self._add(*part)
+        self.large = list(_merged(self.large))
+        self.size = self.merged = sum(len(k) for k, _ in self.small + self.large)
         return self.size > HELD_WORDS
 
-    def parts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Keys, which rise, with their sums, to be added up with those of other tasks."""
-        return [x for x in (_merged(self.small, np.int32), _merged(self.large)) if len(x[0])]
+        yield from _merged(self.small)
+        yield from _merged(self.large)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -221,7 +228,8 @@ def _adder(bits: int):
 
     def add_up(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        keys, sums = _merged([(_widened(k), _unpacked(x)) for k, x in zip(table["keys"].to_pylist(), table["sums"].to_pylist())])
+        parts = list(_merged([(_widened(k), _unpacked(x)) for k, x in zip(table["keys"].to_pylist(), table["sums"].to_pylist())]))
+        keys, sums = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
         shapes = [(marks[k], i) for i, k in enumerate(keys.tolist()) if k in marks and home[marks[k]] == bucket]
         rows = np.array([[k, *sums[i, :DIM]] for k, i in shapes], "<i8").reshape(-1, DIM + 1)
         kept = np.ones(len(keys), bool)
