@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textcore import NOT_SPACE, Words, batch_numbers, bucket_bits, column_bytes, mix, packed_numbers, row_chunks, segment, stored, tuned, unpacked_numbers
+from .textcore import NOT_SPACE, Words, batch_numbers, bucket_bits, column_bytes, lean, mix, packed_numbers, row_chunks, segment, stored, tuned, unpacked_numbers
 
 #: Dimensions of word vectors.
 DIM = 32
@@ -244,7 +244,8 @@ def _adder(bits: int):
 @dataclass
 class WordVectors:
     """The table of all words' vectors, a row for each bucket; the bits of a bucket's number; the
-    commonest words' keys, which rise, with their codes; the shapes' vectors."""
+    commonest words' keys, which rise, with their codes; the shapes' vectors. Keys are told by
+    the bits that travel."""
 
     table: DataFrame
     bits: int
@@ -273,7 +274,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text", known_words: int =
                     held = Held()
         yield from (sent(*x) for x in held.parts())
 
-    sums = texts.mapInArrow(part, "bucket int, keys binary, sums binary").groupBy("bucket").applyInArrow(_adder(bits), TABLE)
+    sums = texts.mapInArrow(lean(part), "bucket int, keys binary, sums binary").groupBy("bucket").applyInArrow(lean(_adder(bits)), TABLE)
     table = stored(sums, "vectors")
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +339,7 @@ def with_vectors(docs: DataFrame, text_at: int, kept: list[int], words: WordVect
     """What ``use`` makes of each batch of documents, of which it gets the columns ``kept``, and of
     the rows of features() for their texts."""
     bits = words.bits
+    unsent = np.uint64(max(0, 64 - 8 * SENT - bits))
     shared = docs.sparkSession.sparkContext.broadcast((words.known, words.codes, words.shapes))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +353,9 @@ def with_vectors(docs: DataFrame, text_at: int, kept: list[int], words: WordVect
                 size[lo:hi] = n
                 if not len(slot):
                     continue
-                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-                has = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+                sent = keys >> unsent << unsent
+                at = np.minimum(np.searchsorted(known, sent), max(len(known) - 1, 0))
+                has = known[at] == sent if len(known) else np.zeros(len(keys), bool)
                 mine = np.zeros((len(keys), DIM), np.int8)
                 mine[has] = vectors[at[has]]
                 _rows_sum(mine[slot], n, own[0, lo:hi])
@@ -407,9 +410,9 @@ def with_vectors(docs: DataFrame, text_at: int, kept: list[int], words: WordVect
             _rows_sum(vectors_of(codes)[at.astype(np.int64)], n_rare.astype(np.int64), sums[0])
         return use(rows, features(sums, size.astype(np.int64)))
 
-    sent = docs.mapInArrow(ask, "bucket int, batch long, asked binary, own binary")
-    back = sent.groupBy("bucket").cogroup(words.table.select("bucket", "keys", "codes").groupBy("bucket")).applyInArrow(answer, "batch long, of int, told binary, own binary")
-    return back.groupBy("batch").applyInArrow(meet, schema)
+    sent = docs.mapInArrow(lean(ask), "bucket int, batch long, asked binary, own binary")
+    back = sent.groupBy("bucket").cogroup(words.table.select("bucket", "keys", "codes").groupBy("bucket")).applyInArrow(lean(answer), "batch long, of int, told binary, own binary")
+    return back.groupBy("batch").applyInArrow(lean(meet), schema)
 
 
 def features(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -491,18 +494,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = context_vectors(docs, text_col)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 1)).select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("double").alias("y"))
     wanted = {r["id"]: r["y"] for r in usable.orderBy(F.xxhash64("id"), "id", "y").limit(sample).collect()}
-
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            y = [wanted.get(x) for x in b.column(0).to_pylist()]
-            part = b.filter(pa.array([v is not None for v in y]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v for v in y if v is not None], pa.float64()), part.column(1)], ["id", "y", "text"])
+    # a broadcast of ``sample`` rows at most
+    told = docs.sparkSession.createDataFrame(list(wanted.items()), "id string, y double")
 
     def use(rows: pa.Table, x: np.ndarray) -> pa.Table:
         return pa.table([rows["id"], rows["y"], pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
     # repeated ids: the first by id and vector, so that the sample keeps its bound
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(labelled, "id string, y double, text string")
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(told), "id").select("id", "y", "text")
     rows = with_vectors(texts, 2, [0, 1], words, use, "id string, y double, x binary").groupBy("id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], float).reshape(len(rows), 2 * DIM + 2)
