@@ -28,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import column_bytes, row_chunks, tuned
+from .textcore import column_bytes, lean, row_chunks, tuned
 
 #: Default rank file; a parameter of every function here.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -274,7 +274,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 cols += [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids])]
                 yield pa.RecordBatch.from_arrays(cols, ["id", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return source.mapInArrow(scan, f"id {dict(source.dtypes)['id']}, {'ids array<int>, ' * with_ids}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(lean(scan), f"id {dict(source.dtypes)['id']}, {'ids array<int>, ' * with_ids}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, GRAM_KEYS, Words, column_bytes, mix, segment, tuned, word_chunks
+from .textcore import ALNUM, GRAM_KEYS, Words, column_bytes, lean, mix, segment, tuned, word_chunks
 
 #: Words of a window.
 WINDOW = 10
@@ -172,10 +172,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     kind = dict(source.dtypes)["id"]
     schema = f"id {kind}, n_words long, n_hit long, items array<string>"
     if len(passes) == 1:
-        return source.mapInArrow(run(passes[0], False), schema)
+        return source.mapInArrow(lean(run(passes[0], False)), schema)
     united = None
     for p in passes:
-        part = source.mapInArrow(run(p, True), schema + ", at array<long>, of string")
+        part = source.mapInArrow(lean(run(p, True)), schema + ", at array<long>, of string")
         united = part if united is None else united.unionAll(part)
     # rows equal in id and text have equal hits: one group, given as often as each pass had it
     sides = united.groupBy("id", "of").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("*").alias("rows"))
@@ -198,7 +198,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     bad = searcher.search(w)[1]
                     yield b.slice(lo, hi - lo).filter(pa.array([k not in bad for k in range(hi - lo)]))
 
-        out = out.mapInArrow(scan, docs.schema)
+        out = out.mapInArrow(lean(scan), docs.schema)
     return out
 
 

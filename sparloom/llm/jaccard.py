@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import NOT_SPACE, batch_numbers, bucket_bits, column_bytes, mix, packed_numbers, row_chunks, segment, stored, tuned, unpacked_numbers
+from .textcore import NOT_SPACE, batch_numbers, bucket_bits, column_bytes, lean, mix, packed_numbers, row_chunks, segment, stored, tuned, unpacked_numbers
 
 #: Words of a shingle, and the similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
@@ -425,9 +425,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["id"]
     bits = bucket_bits(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_TOKENS)
-    sent = source.mapInArrow(_sender(bits), f"bucket int, batch long, ids array<{kind}>, blob binary, sizes binary, units binary")
-    back = sent.groupBy("bucket").applyInArrow(_counter(bits), f"batch long, ids array<{kind}>, blob binary, sizes binary, units binary")
-    rows = back.groupBy("batch").applyInArrow(_receiver(percent), f"id {kind}, n long, unit long, size long, m int, prefix int, alone double, tokens binary")
+    sent = source.mapInArrow(lean(_sender(bits)), f"bucket int, batch long, ids array<{kind}>, blob binary, sizes binary, units binary")
+    back = sent.groupBy("bucket").applyInArrow(lean(_counter(bits)), f"batch long, ids array<{kind}>, blob binary, sizes binary, units binary")
+    rows = back.groupBy("batch").applyInArrow(lean(_receiver(percent)), f"id {kind}, n long, unit long, size long, m int, prefix int, alone double, tokens binary")
     rows = stored(rows, "sets")
     members = rows.where("n IS NOT NULL").select("id", "n", "unit")
     # a set that several batches have comes once from each
@@ -441,7 +441,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     blocks = cells.join(counts, "hub").withColumn("block", F.explode(F.when(F.col("unit") == F.col("hub"), every).otherwise(F.array(block))))
-    found = blocks.join(once, "unit").groupBy("hub", "block", "blocks").applyInArrow(_with_hub(percent), "hub long, a long, b long")
+    found = blocks.join(once, "unit").groupBy("hub", "block", "blocks").applyInArrow(lean(_with_hub(percent)), "hub long, a long, b long")
     found = stored(found, "found")
     left = found.where("b IS NULL").select("hub", F.col("a").alias("unit")).distinct()
     if not left.isEmpty():
@@ -450,7 +450,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         sides = some.join(counts, "hub")
         own = left.join(sides, "hub").select("hub", part.alias("part"), F.explode(every).alias("block"), "unit", F.lit(True).alias("left"))
         others = cells.join(sides, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"), "unit", F.lit(False).alias("left"))
-        more = own.unionByName(others).join(once, "unit").groupBy("hub", "part", "block").applyInArrow(_leftover(percent), "hub long, a long, b long")
+        more = own.unionByName(others).join(once, "unit").groupBy("hub", "part", "block").applyInArrow(lean(_leftover(percent)), "hub long, a long, b long")
         found = found.unionByName(more)
     return members, found.where("b IS NOT NULL").select("a", "b").distinct()
 

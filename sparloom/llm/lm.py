@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import GRAM_KEYS, NOT_SPACE, batch_numbers, bucket_bits, column_bytes, mix, packed_numbers, row_chunks, segment, stored, tuned, unpacked_numbers
+from .textcore import GRAM_KEYS, NOT_SPACE, batch_numbers, bucket_bits, column_bytes, lean, mix, packed_numbers, row_chunks, segment, stored, tuned, unpacked_numbers
 
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ... documents' occurrences.
 CONTEXTS = 20
@@ -226,9 +226,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     source = docs.select(F.col(id_col).alias("id"), part.cast("int").alias("part"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["id"]
     bits = bucket_bits(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_KEYS)
-    sent = source.mapInArrow(_sender(bits), f"bucket int, batch long, ids array<{kind}>, blob binary, learn long, weigh long")
-    back = sent.groupBy("bucket").applyInArrow(_count, f"batch long, ids array<{kind}>, blob binary, learn long, weigh long, known long, of int")
-    met = stored(back.groupBy("batch").applyInArrow(_meet, f"ids array<{kind}>, own binary, buckets array<int>, blobs array<binary>, learn long, weigh long, known long"), "counts")
+    sent = source.mapInArrow(lean(_sender(bits)), f"bucket int, batch long, ids array<{kind}>, blob binary, learn long, weigh long")
+    back = sent.groupBy("bucket").applyInArrow(lean(_count), f"batch long, ids array<{kind}>, blob binary, learn long, weigh long, known long, of int")
+    met = stored(back.groupBy("batch").applyInArrow(lean(_meet), f"ids array<{kind}>, own binary, buckets array<int>, blobs array<binary>, learn long, weigh long, known long"), "counts")
     n, n_weigh, vocabulary = (int(x or 0) for x in met.agg(F.sum("learn"), F.sum("weigh"), F.sum("known")).first())
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +242,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(count)], ["code", "n"])
 
     # cells are bounded by their fineness: CONTEXTS x levels x levels
-    rows = met.select("own", "buckets", "blobs").mapInArrow(cells, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = met.select("own", "buckets", "blobs").mapInArrow(lean(cells), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights(np.array([(r["code"] >> 40, (r["code"] >> 20 & 0xFFFFF) - 1, (r["code"] & 0xFFFFF) - 1, r["n"]) for r in rows], float).reshape(-1, 4), vocabulary)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 base = total(np.log10(w + 1.0)) - lengths * np.log10(n + vocabulary + 1.0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(parts == 0), pa.array(lengths), pa.array(total((w > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), pa.array(total(np.log10(chance)))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return met.select("ids", "own", "buckets", "blobs").mapInArrow(scores, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met.select("ids", "own", "buckets", "blobs").mapInArrow(lean(scores), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import column_bytes, row_chunks, tuned
+from .textcore import column_bytes, lean, row_chunks, tuned
 
 #: A query: True (any row), a trigram, or ("and" | "or", queries).
 Query = object
@@ -255,7 +255,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds:
                 spans = [[{"kind": names[n], "start": s, "end": e} for s, n, e in found.get(k, ())] for k in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(spans, pa.list_(span))], ["id", "spans"])
 
-    return source.mapInArrow(scan, f"id {dict(source.dtypes)['id']}, spans array<struct<kind:string,start:long,end:long>>")
+    return source.mapInArrow(lean(scan), f"id {dict(source.dtypes)['id']}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, kinds: tuple[str, ...] = ALL_KINDS, mark: str = "[SECRET:{}]") -> DataFrame:
@@ -295,7 +295,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
                 cols[size] = pa.array(lengths, cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(lean(scan), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ a code point above 0x7F alike, so segmentation by bytes equals segmentation by c
 from __future__ import annotations
 
 import atexit
+import ctypes
+import inspect
 import math
 import re
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -80,6 +82,34 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def release() -> None:
+    """Give the memory that a Python worker has freed back to the machine; a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(function: Callable) -> Callable:
+    """The function for mapInArrow or applyInArrow, followed by release()."""
+
+    def rest(out):
+        yield from out
+        release()
+
+    def given(out):
+        if not isinstance(out, pa.Table):
+            return rest(out)
+        release()
+        return out
+
+    # Spark counts the arguments
+    if len(inspect.signature(function).parameters) == 2:
+        return lambda a, b: given(function(a, b))
+    return lambda a: given(function(a))
+
+
 def batch_numbers() -> Iterator[int]:
     """A number for each batch of a task, that no other batch of the stage has and a rerun repeats."""
     from pyspark import TaskContext
