@@ -105,7 +105,7 @@ def lean(function: Callable) -> Callable:
         return out
 
     # Spark counts the arguments
-    if len(inspect.signature(function).parameters) == 2:
+    if sum(p.default is p.empty for p in inspect.signature(function).parameters.values()) == 2:
         return lambda a, b: given(function(a, b))
     return lambda a: given(function(a))
 
