@@ -61,8 +61,8 @@ def token_estimate(c: Column) -> Column:
 
 
 def complexity(c: Column) -> Column:
-    """One more than the branch keywords and operators."""
-    return (F.lit(1) + F.regexp_count(c, F.lit(r"if|for|while|case|catch|&&|[|][|]|[?]"))).cast("long")
+    """One more than the branch keywords, as whole words, and operators (TXT-16)."""
+    return (F.lit(1) + F.regexp_count(c, F.lit(r"\b(?:if|for|while|case|catch)\b|&&|[|][|]|[?]"))).cast("long")
 
 
 def lines(df, text_col: str = "text"):

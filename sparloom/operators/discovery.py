@@ -17,7 +17,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 def endpoint_groups(observed: DataFrame) -> DataFrame:
     """Observations (url) by origin and path template: how many, and all query keys."""
     x = observed.select(U.origin(F.col("url")).alias("origin"), U.path_template(F.col("url")).alias("path_template"), U.query_keys(F.col("url")).alias("keys"))
-    return x.groupBy("origin", "path_template").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))), ",").alias("query_keys"))
+    return x.groupBy("origin", "path_template").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("keys")))), ",").alias("query_keys"))
 
 
 def ddl_fold(statements: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def coverage_gaps(entities: dict[str, tuple[DataFrame, str]], links: dict[str, t
 
 def waves(tasks: DataFrame, rounds: int = 50) -> DataFrame:
     """(task, wave) of (task, ord, deps, writes): a task runs after its dependencies, and two that write the
-    same path never share a wave; the later one waits. Levels come from rounds over the tasks; the
+    same path never share a wave; the later one waits. A cycle is an error. Levels come from rounds over the tasks; the
     deferral is a fold in order over one level, so it is small by nature of a plan of tasks."""
     level = tasks.select("task", "ord", "deps", "writes", F.lit(0).alias("wave"))
     for _ in range(rounds):
@@ -57,9 +57,9 @@ def waves(tasks: DataFrame, rounds: int = 50) -> DataFrame:
         step = level.join(need, "task").join(nth, "task", "left").select("task", "ord", "deps", "writes", F.greatest("wave", "need", F.when(F.col("k") > 0, F.col("wave") + 1).otherwise(0)).alias("new"), "wave")
         rows = step.collect()
         if all(r["new"] == r["wave"] for r in rows):
-            break
+            return level.select("task", "wave")
         level = tasks.sparkSession.createDataFrame([(r["task"], r["ord"], r["deps"], r["writes"], r["new"]) for r in rows], "task string, ord int, deps array<string>, writes array<string>, wave int")
-    return level.select("task", "wave")
+    raise ValueError("tasks depend on one another in a cycle, or on more levels than rounds")
 
 
 def coverage_delta(before: DataFrame, after: DataFrame, threshold: float = -0.5) -> DataFrame:

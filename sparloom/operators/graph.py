@@ -6,25 +6,16 @@ executor costs no more than a round.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored as written
+
 # Weights of provenance in path scores.
 PROVENANCE_WEIGHT = {"extracted": 1.0, "resolved": 0.8, "inferred": 0.6}
 OTHER_PROVENANCE = 0.4
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written once to the folder that all executors share."""
-    spark = df.sparkSession
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    place = f"{spark.conf.get('spark.checkpoint.dir', own) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.parquet(place)
-
-
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """in_degree, out_degree and their sum of every endpoint, and of listed nodes without edges."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
@@ -57,8 +48,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         changed = new.where("component <> was").limit(1).count()
         now = new.select("node", "component")
         if not changed:
-            break
-    return now
+            return now
+    raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
 def hops(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True) -> DataFrame:
@@ -66,39 +57,60 @@ def hops(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True)
     e = edges.select("src", "dst")
     if not directed:
         e = e.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = e.distinct()
-    seen = start.select("node").distinct().withColumn("hops", F.lit(0).cast("long"))
-    front = seen
+    seen = front = written(start.select("node").distinct().withColumn("hops", F.lit(0).cast("long")), "front")
     for k in range(1, depth + 1):
+        # the frontier is a written table, so that its size is known and a small one is broadcast
         front = e.join(front, e["src"] == front["node"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k).cast("long"))
         front = written(front, "front")
         if front.isEmpty():
             break
-        seen = written(seen.unionByName(front), "seen")
+        seen = seen.unionByName(front)
     return seen
 
 
-def strongly_connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, scc) of nodes in a cycle of at least two: those that reach one another, named by the
-    smallest. By repeated closure of a graph trimmed to nodes with edges both ways."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
+def _spread(edges: DataFrame, now: DataFrame, rounds: int) -> DataFrame:
+    """(node, mark) with the smallest mark that any node leading to a node has, its own included."""
     for _ in range(rounds):
-        trimmed = written(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
-        done = trimmed.count() == e.count()
-        e = trimmed
-        if done:
-            break
-    reach = e
-    size = reach.count()
+        got = edges.join(now, edges["src"] == now["node"]).groupBy("dst").agg(F.min("mark").alias("got"))
+        new = written(now.join(got, now["node"] == got["dst"], "left").select("node", F.least("mark", F.coalesce("got", "mark")).alias("mark"), (F.col("got") < F.col("mark")).alias("less")), "marks")
+        now = new.select("node", "mark")
+        if new.where("less").isEmpty():
+            return now
+    raise RuntimeError(f"marks didn't settle in {rounds} rounds")
+
+
+def strongly_connected(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, scc) of nodes in a cycle of at least two: those that reach one another, named by the smallest.
+
+    Nodes without edges both ways are trimmed off. Each node gets the smallest node that leads to it as its
+    colour; what leads back to that node within the colour is its component, and is taken out. Rows stay linear
+    in the edges."""
+    e = written(edges.where("src <> dst").select("src", "dst").distinct(), "core")
+    found = None
     for _ in range(rounds):
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        reach = written(reach.unionByName(longer).distinct(), "reach")
-        new = reach.count()
-        if new == size:
+        n = e.count()
+        if not n:
             break
-        size = new
-    mutual = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).where("a.src <> a.dst").select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
-    return mutual.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("scc"))
+        trimmed = written(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
+        if trimmed.count() < n:
+            e = trimmed
+            continue
+        nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+        colours = _spread(e, nodes.withColumn("mark", F.col("node")), rounds)
+        a, b = colours.select(F.col("node").alias("src"), F.col("mark").alias("ca")), colours.select(F.col("node").alias("dst"), F.col("mark").alias("cb"))
+        back = written(e.join(a, "src").join(b, "dst").where("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
+        # 0 at the colour's own node spreads against the edges
+        led = _spread(back, colours.select("node", F.when(F.col("node") == F.col("mark"), 0).otherwise(1).alias("mark")), rounds)
+        own = written(colours.select("node", F.col("mark").alias("scc")).join(led.where("mark = 0").select("node"), "node"), "scc")
+        found = own if found is None else found.unionByName(own)
+        gone = own.select("node")
+        e = written(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "core")
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
+    several = found.groupBy("scc").count().where("count > 1").select("scc")
+    return found.join(several, "scc", "left_semi").select("node", "scc")
 
 
 def provenance_weight(c: Column) -> Column:

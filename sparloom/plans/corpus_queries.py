@@ -188,7 +188,7 @@ def summary(spark, d):
 def lanes(spark, d):
     """Files by lane, lanes without any included."""
     f = table(spark, d, "documents").select(P.lane(F.concat_ws("/", F.when(F.col("lang") == "de", "tests").when(F.col("lang") == "fr", "docs").otherwise("src"), F.col("doc_id").cast("string"))).alias("lane"))
-    names = spark.createDataFrame([(x,) for x in ("runtime", "tests", "docs", "ci")], "lane string")
+    names = spark.createDataFrame([(x,) for x in ("runtime", "tests", "docs", "generated", "benchmarks", "fixtures")], "lane string")
     return names.join(f.groupBy("lane").agg(F.count("*").alias("n")), "lane", "left").select("lane", F.coalesce("n", F.lit(0)).cast("long").alias("files"))
 
 
@@ -236,9 +236,9 @@ ORACLES = {
     "search_hybrid_fusion": _HYBRID, "search_context_rank": _CONTEXT, "search_ir_metrics": _IR, "text_tokens_df": _TOKENS,
     "text_excerpt": f"SELECT doc_id, {_excerpt('text')} AS excerpt FROM documents", "text_compaction": _COMPACTION, "text_dense_summary": _DENSE,
     "text_secret_scan": _SECRET_SQL, "text_duplicate_blocks": _BLOCKS,
-    "text_complexity": "SELECT doc_id, CAST(1 + len(regexp_extract_all(text, 'if|for|while|case|catch|&&|[|][|]|[?]')) AS BIGINT) AS complexity FROM documents",
+    "text_complexity": "SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\\b(?:if|for|while|case|catch)\\b|&&|[|][|]|[?]')) AS BIGINT) AS complexity FROM documents",
     "text_token_budget": "WITH e AS (SELECT source, CAST(ceil(length(text) / 4.0) AS BIGINT) AS n FROM documents) SELECT source, count(*) AS runs, CAST(sum(n) AS BIGINT) AS before_tokens, CAST(sum(least(n, 400)) AS BIGINT) AS after_tokens, CAST(sum(greatest(0, n - least(n, 400))) AS BIGINT) AS saved_tokens FROM e GROUP BY source",
     "corpus_summary": "SELECT lang AS language, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(CASE WHEN text = '' THEN 0 ELSE len(str_split(text, chr(10))) END) AS BIGINT) AS lines, min(source) AS first_root FROM documents GROUP BY lang",
-    "corpus_lanes": "WITH l AS (SELECT CASE lang WHEN 'de' THEN 'tests' WHEN 'fr' THEN 'docs' ELSE 'runtime' END AS lane FROM documents) SELECT n.lane, count(l.lane) AS files FROM (VALUES ('runtime'), ('tests'), ('docs'), ('ci')) n(lane) LEFT JOIN l ON n.lane = l.lane GROUP BY n.lane",
+    "corpus_lanes": "WITH l AS (SELECT CASE lang WHEN 'de' THEN 'tests' WHEN 'fr' THEN 'docs' ELSE 'runtime' END AS lane FROM documents) SELECT n.lane, count(l.lane) AS files FROM (VALUES ('runtime'), ('tests'), ('docs'), ('generated'), ('benchmarks'), ('fixtures')) n(lane) LEFT JOIN l ON n.lane = l.lane GROUP BY n.lane",
     "corpus_reference_edges": _REFERENCES, "corpus_budget_fill": _BUDGET,
 }

@@ -9,14 +9,16 @@ from ..functions import paths as P
 from ..operators import discovery as D
 from ..sources.tables import table
 
-# Migrations of a small schema.
+# Statements of a small schema, and a small plan of tasks.
 MIGRATIONS = [
-    (1, "CREATE TABLE tickets (id uuid, organization_id uuid, title text)"),
-    (2, "CREATE TABLE ticket_messages (id uuid, ticket_id uuid, price numeric(10,2), body text)"),
-    (3, "ALTER TABLE tickets ADD COLUMN status text"),
-    (4, "CREATE INDEX idx_ticket_messages_ticket_id ON ticket_messages (ticket_id)"),
+    (1, "CREATE TABLE berths (berth bigint, depth numeric(6,2), lit boolean)"),
+    (2, "CREATE UNIQUE INDEX berths_by_depth ON berths (depth)"),
+    (3, "ALTER TABLE berths ADD COLUMN owner text"),
+    (4, "CREATE TABLE ships (hull text, berth bigint)"),
+    (5, "ALTER TABLE ships ADD COLUMN flag char(2)"),
+    (6, "ALTER TABLE berths ADD COLUMN crane_limit numeric(8,1)"),
 ]
-TASKS = [("inspect", 0, [], []), ("edit-server", 1, ["inspect"], ["src/server.ts"]), ("edit-tests", 2, ["inspect"], ["tests/a.ts"]), ("also-edit-server", 3, ["inspect"], ["src/server.ts"])]
+TASKS = [("dredge", 0, [], ["berth/4"]), ("chart", 1, [], ["maps"]), ("moor", 2, ["dredge", "chart"], ["berth/4"]), ("paint", 3, ["dredge"], ["berth/4"]), ("inspect hull", 4, ["moor"], [])]
 BEFORE, AFTER = [("lines", 90.0), ("branches", 80.0), ("functions", 70.0)], [("lines", 88.0), ("branches", 80.0), ("statements", 60.0)]
 PROPOSALS = [("p1", 1, ["a"], ["b"]), ("p2", 2, ["b"], ["c"]), ("p3", 3, ["c"], ["b", "c"]), ("p4", 4, ["z"], [])]
 
@@ -35,7 +37,7 @@ def endpoint_groups(spark, d):
 
 
 _ENDPOINTS = r"""WITH x AS (SELECT lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) AS origin,
- array_to_string(list_transform(str_split(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', ''), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') OR (length(s) >= 16 AND regexp_matches(s, '^[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*$')) THEN '{id}' ELSE s END), '/') AS path_template,
+ array_to_string(list_transform(str_split(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', ''), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') OR (length(s) >= 18 AND regexp_matches(s, '^[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*$')) THEN '{id}' ELSE s END), '/') AS path_template,
  list_filter(list_transform(str_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: str_split(p, '=')[1]), lambda k: k <> '') AS keys FROM pages),
 k AS (SELECT origin, path_template, string_agg(DISTINCT key, ',' ORDER BY key) AS query_keys FROM (SELECT origin, path_template, unnest(keys) AS key FROM x) GROUP BY origin, path_template)
 SELECT x.origin, x.path_template, count(*) AS n, coalesce(first(query_keys), '') AS query_keys FROM x LEFT JOIN k ON x.origin = k.origin AND x.path_template = k.path_template GROUP BY x.origin, x.path_template"""
@@ -112,13 +114,13 @@ QUERIES = {
     "filter_globs": globs, "check_severity": severity, "agg_dominant": dominant, "match_greedy": greedy_match,
 }
 ORACLES = {
-    "domain_ddl_fold": "SELECT * FROM (VALUES ('tickets', 'id,organization_id,title,status', ''), ('ticket_messages', 'id,ticket_id,price,body', 'idx_ticket_messages_ticket_id')) t(name, columns, indexes)",
+    "domain_ddl_fold": "SELECT * FROM (VALUES ('berths', 'berth,depth,lit,owner,crane_limit', 'berths_by_depth'), ('ships', 'hull,berth,flag', '')) t(name, columns, indexes)",
     "domain_coverage_gaps": "SELECT 'customer without link' AS gap, c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'nation without link', n_nationkey::BIGINT FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT 'part without link', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
     "api_endpoint_groups": _ENDPOINTS,
     "page_links": "SELECT page_id, u.ord, u.href FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1) AS h FROM pages) p, LATERAL (SELECT unnest(range(1, len(h) + 1)) AS ord, unnest(h) AS href) u",
     "domain_endpoint_ownership": "WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host FROM pages), o(part, owner) AS (VALUES ('example.com', 'com'), ('example.net', 'net'), ('example.org', 'org'), ('blog.', 'blog')) SELECT page_id, first(owner ORDER BY length(part) DESC, owner DESC) AS owner FROM h LEFT JOIN o ON contains(host, part) GROUP BY page_id",
     "domain_side_effects": "SELECT page_id, contains(lower(html), '<form') AS has_form, contains(lower(html), '<script') AS has_script, CAST(len(regexp_extract_all(lower(html), '<li>')) AS BIGINT) AS n_items, contains(lower(html), 'class=\"ad\"') AS has_ad FROM pages",
-    "schedule_waves": "SELECT * FROM (VALUES ('inspect', 0::BIGINT), ('edit-server', 1), ('edit-tests', 1), ('also-edit-server', 2)) t(task, wave)",
+    "schedule_waves": "SELECT * FROM (VALUES ('dredge', 0::BIGINT), ('chart', 0), ('moor', 1), ('paint', 2), ('inspect hull', 2)) t(task, wave)",
     "check_coverage_delta": "WITH b(metric, b) AS (VALUES ('lines', 90.0::DOUBLE), ('branches', 80.0), ('functions', 70.0)), a(metric, a) AS (VALUES ('lines', 88.0::DOUBLE), ('branches', 80.0), ('statements', 60.0)) SELECT coalesce(a.metric, b.metric) AS metric, round(a - b, 2) AS delta, CASE WHEN a - b IS NULL THEN 'warn' WHEN round(a - b, 2) < -0.5 THEN 'fail' ELSE 'pass' END AS status FROM b FULL OUTER JOIN a ON a.metric = b.metric",
     "reconcile_conflicts": "SELECT * FROM (VALUES ('p1', 'p2', 'b', 'read_write'), ('p1', 'p3', 'b', 'write_write'), ('p2', 'p3', 'b', 'read_write'), ('p2', 'p3', 'c', 'write_write')) t(a, b, path, kind)",
     "plan_language_coverage": "SELECT lang, count(*) AS total, count(*) FILTER (n_chars >= 500) AS indexed, round(count(*) FILTER (n_chars >= 500) / CAST(count(*) AS DOUBLE), 4) AS ratio, CASE WHEN count(*) FILTER (n_chars >= 500) = count(*) THEN 'full' WHEN count(*) FILTER (n_chars >= 500) / CAST(count(*) AS DOUBLE) >= 0.8 THEN 'partial' ELSE 'low' END AS status FROM documents GROUP BY lang",

@@ -21,46 +21,19 @@ def _query(sql: str):
 # name: (Spark SQL, DuckDB SQL where it differs)
 _SQL: dict[str, tuple[str, str | None]] = {
     # explicit feedback and trace scoring
-    "policy_reasoning_score": (
-        # in millionths, as sums of decimals round differently
-        """SELECT event_id, CAST(30 * least(10000, CAST(round(value * 100) AS BIGINT)) + CASE WHEN user_id % 3 = 0 THEN 0 ELSE 200000 END + CASE WHEN event_type = 'view' THEN 100000 ELSE 200000 END + CASE WHEN event_type IN ('purchase', 'signup') THEN 300000 WHEN event_type = 'error' THEN 0 ELSE 150000 END - CASE WHEN value > 150 THEN 100000 ELSE 0 END AS BIGINT) AS score_millionths FROM events""", None),
-    "policy_profile_selection": (
-        """SELECT user_id, event_type AS profile, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) AS k FROM (SELECT user_id, event_type, CAST(sum(CASE WHEN value < 50 THEN 3 WHEN value < 100 THEN 2 ELSE 1 END) AS BIGINT) AS score FROM events WHERE event_type <> 'error' GROUP BY user_id, event_type) s) r WHERE k = 1""", None),
-    "policy_adaptive_routing": (
-        """SELECT mode, count(*) AS n FROM (SELECT CASE WHEN o_orderpriority LIKE '1%' AND o_totalprice > 200000 THEN 'deep' WHEN o_orderpriority LIKE '1%' OR o_totalprice > 200000 THEN 'standard' ELSE 'fast' END AS mode FROM orders) m GROUP BY mode""", None),
-    "policy_strategy_summary": (
-        """SELECT strategy, n, mean_score, success_rate, n >= 2 AND k = 1 AS best FROM (SELECT *, row_number() OVER (ORDER BY mean_score DESC, strategy) AS k FROM (SELECT o_orderpriority AS strategy, count(*) AS n, round(avg(CAST(o_orderkey % 100 AS DOUBLE)), 4) AS mean_score, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0D ELSE 0.0D END), 4) AS success_rate FROM orders GROUP BY o_orderpriority) s) r""", "D"),
     "policy_loop_health": (
         """SELECT event_type AS phase, count(*) AS runs, count(CASE WHEN value > 100 THEN 1 END) AS slow, CASE WHEN count(CASE WHEN value > 100 THEN 1 END) * 2 > count(*) THEN 'warning' ELSE 'ok' END AS health FROM events GROUP BY event_type""", None),
     # event-sourced state
-    "claims_invalidate": (
-        """WITH changed AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) SELECT p.p_partkey AS claim_id, CASE WHEN c.l_partkey IS NULL THEN 'supported' ELSE 'stale' END AS status FROM part p LEFT JOIN changed c ON p.p_partkey = c.l_partkey""", None),
-    "claims_gate": (
-        """SELECT p_brand, count(*) AS claims, count(CASE WHEN p_size > 45 THEN 1 END) AS high_risk, CASE WHEN count(CASE WHEN p_size > 45 THEN 1 END) > 20 THEN 'block' WHEN count(CASE WHEN p_size > 45 THEN 1 END) > 0 THEN 'warn' ELSE 'pass' END AS gate FROM part GROUP BY p_brand""", None),
-    "evidence_freshness": (
-        """SELECT b.item_id, d.doc_id IS NOT NULL OR b.item_id % 5 = 0 AS fresh FROM benchmark b LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars > 1000) d ON b.item_id = d.doc_id""", None),
     "task_inbox_counts": (
         """SELECT conv_id AS task_id, count(*) AS inbox_count, count(CASE WHEN role = 'user' THEN 1 END) AS pending_ack FROM conversations GROUP BY conv_id""", None),
-    "task_layers": (
-        """SELECT n.n_nationkey AS child, r.r_regionkey AS parent, CASE WHEN length(n.n_name) > length(r.r_name) THEN 'deeper' ELSE 'invalid' END AS verdict FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""", None),
     "resume_missing": (
         """SELECT o.o_orderkey FROM orders o LEFT ANTI JOIN lineitem l ON o.o_orderkey = l.l_orderkey""",
         """SELECT o.o_orderkey FROM orders o ANTI JOIN lineitem l ON o.o_orderkey = l.l_orderkey"""),
     # freshness and health
-    "index_health": (
-        """SELECT source, CASE WHEN max(n_chars) < 100 THEN 'missing' WHEN count(CASE WHEN n_chars < 200 THEN 1 END) * 2 > count(*) THEN 'stale' WHEN count(CASE WHEN n_chars < 200 THEN 1 END) > 0 THEN 'degraded' ELSE 'fresh' END AS health FROM documents GROUP BY source""", None),
     "index_fingerprint": (
         """SELECT lang, sha2(array_join(array_sort(collect_list(concat(CAST(doc_id AS STRING), ':', sha2(text, 256)))), '\\n'), 256) AS fingerprint FROM documents GROUP BY lang""",
         """SELECT lang, sha256(string_agg(e, chr(10) ORDER BY e)) AS fingerprint FROM (SELECT lang, CAST(doc_id AS VARCHAR) || ':' || sha256(text) AS e FROM documents) x GROUP BY lang"""),
-    "domain_drift": (
-        """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS drift FROM (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey <> 3) a FULL OUTER JOIN (SELECT n_nationkey AS k, CASE WHEN n_nationkey = 7 THEN 'X' ELSE n_name END AS v FROM nation WHERE n_nationkey <> 4) b ON a.k = b.k WHERE a.v IS NULL OR b.v IS NULL OR a.v <> b.v""", None),
     # checks
-    "check_test_quality": (
-        """SELECT doc_id, contains(text, 'skip') AS has_skip, NOT (contains(text, 'assert') OR contains(text, 'expect')) AS no_assertion, contains(text, '***') AS snapshot_only FROM documents WHERE lang = 'en'""", None),
-    "check_docs_sync": (
-        """SELECT source, max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) = 0 AS missing_docs FROM documents GROUP BY source""", None),
-    "check_action_risk": (
-        """SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'high' WHEN event_type IN ('purchase', 'signup') THEN 'medium' ELSE 'low' END AS risk FROM events""", None),
     "check_dead_code": (
         """SELECT p.p_partkey FROM part p LEFT ANTI JOIN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O') u ON p.p_partkey = u.l_partkey""",
         """SELECT p.p_partkey FROM part p ANTI JOIN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O') u ON p.p_partkey = u.l_partkey"""),
@@ -84,23 +57,12 @@ _SQL: dict[str, tuple[str, str | None]] = {
         """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_id FROM events"""),
     "window_body_extent": (
         """SELECT l_orderkey, l_linenumber, coalesce(lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1, 99) AS last_line FROM lineitem""", None),
-    "set_registry_gaps": (
-        """SELECT 'customer nation without supplier' AS gap, CAST(k AS BIGINT) AS k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) a UNION ALL SELECT 'supplier nation without customer', CAST(k AS BIGINT) FROM (SELECT s_nationkey AS k FROM supplier EXCEPT SELECT c_nationkey FROM customer) b""", None),
     "set_edge_dedup": (
         """SELECT l_partkey, l_suppkey, min(l_orderkey) AS first_order, count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey""", None),
     "top_per_shard_merge": (
         """SELECT shard, doc_id, n_chars FROM (SELECT source AS shard, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) s WHERE k <= 3 ORDER BY n_chars DESC, doc_id LIMIT 20""", None),
     "agg_evidence_requirements": (
         """SELECT conv_id, max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) = 1 AS has_brief, max(CASE WHEN role = 'assistant' AND length(text) > 200 THEN 1 ELSE 0 END) = 1 AS has_answer, max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) + max(CASE WHEN role = 'assistant' AND length(text) > 200 THEN 1 ELSE 0 END) = 2 AS satisfied FROM conversations GROUP BY conv_id""", None),
-    "text_search_terms": (
-        """SELECT t AS term, count(*) AS n FROM (SELECT explode(split(lower(text), '[^a-z0-9_-]+')) AS t FROM benchmark) x WHERE t <> '' GROUP BY t""",
-        """SELECT t AS term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9_-]+')) AS t FROM benchmark) x WHERE t <> '' GROUP BY t"""),
-    "text_minimality_flags": (
-        """SELECT doc_id, contains(lower(text), 'todo') AS todo, contains(lower(text), 'rights reserved') AS reserved, contains(lower(text), 'license') AS licensed FROM documents""", None),
-    "url_status_classes": (
-        """SELECT event_type, CASE WHEN value < 50 THEN '2xx' WHEN value < 100 THEN '3xx' WHEN value < 150 THEN '4xx' ELSE '5xx' END AS status_class, count(*) AS n FROM events GROUP BY 1, 2""", None),
-    "path_authority": (
-        """SELECT doc_id, CASE WHEN lang = 'en' AND source IN ('src0', 'src1') THEN 100 WHEN lang = 'en' THEN 80 WHEN source LIKE 'src1%' THEN 60 ELSE 40 END AS authority FROM documents""", None),
 }
 
 QUERIES = {k: _query(v[0]) for k, v in _SQL.items()}

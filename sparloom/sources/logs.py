@@ -14,9 +14,9 @@ def append(events: DataFrame, path: str) -> None:
 
 def replay(spark: SparkSession, path: str, schema: T.StructType, tolerate_last: bool = False) -> DataFrame:
     """All rows of the log; blank lines are skipped. A bad line is an error, but for the last line of the
-    last file with tolerate_last."""
+    file written last with tolerate_last."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("trim(value) <> ''")
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("trim(value) <> ''")
     rows = lines.select("file", "at", "value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     bad = rows.where("r._bad IS NOT NULL OR r IS NULL").select("file", "at").limit(2).collect()
     if bad:

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{spark.conf.get('spark.checkpoint.dir', own) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+from ..storage import place_for
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +18,7 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The stream's result after all data there is; each batch's result replaces the last (complete) or is
     added (append). Checkpoint and results lie in the shared folder."""
     spark = stream.sparkSession
-    place = _shared(spark)
+    place = place_for(spark, "stream")
 
     def put(batch: DataFrame, n: int) -> None:
         # a batch that is run again writes the same folder again

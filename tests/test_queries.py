@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from sparloom.functions import paths, text, urls
-from sparloom.operators import discovery, events, graph, search
+from sparloom.operators import discovery, events, graph, repo, reviews, search
 from sparloom.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -48,8 +48,8 @@ def test_stems(spark):
 
 
 def test_semantic_search(spark):
-    rows = spark.createDataFrame([("db", "Database pool connector retries failed transactions."), ("ui", "Button color layout and hover styling.")], "id string, text string")
-    assert [tuple(r) for r in search.semantic(rows, "id", "text", "database connection pool").collect()] == [("db", 0.6667)]
+    rows = spark.createDataFrame([("dock", "Cranes lift crates while ships wait."), ("mill", "Stone wheels grind the wheat.")], "id string, text string")
+    assert [tuple(r) for r in search.semantic(rows, "id", "text", "lifted crate cranes").collect()] == [("dock", 0.6667)]
     assert search.lexical(rows.select(F.col("id").alias("path"), F.lit("en").alias("language"), "text"), "  ").count() == 0
 
 
@@ -87,10 +87,10 @@ def test_as_of_and_diff(spark):
 
 
 def test_urls_and_paths(spark):
-    u = F.lit("https://EXAMPLE.test:443/v1/users/123/?z=9&a=1&a=2#ignored")
-    assert one(spark, urls.origin(u)) == "https://example.test:443" and one(spark, urls.path_template(u)) == "/v1/users/{id}" and one(spark, urls.query_keys(u)) == ["a", "z"]
+    u = F.lit("https://Harbour.example:8443/v2/berths/77/?tide=3&bow=1&bow=2#mast")
+    assert one(spark, urls.origin(u)) == "https://harbour.example:8443" and one(spark, urls.path_template(u)) == "/v2/berths/{id}" and one(spark, urls.query_keys(u)) == ["bow", "tide"]
     assert [one(spark, urls.status_class(F.lit(c))) for c in (204, 404, 99)] == ["2xx", "4xx", None]
-    assert [one(spark, paths.lane(F.lit(p))) for p in ("src/a.ts", "tests/a.ts", "docs/x.md", ".github/a.yml")] == ["runtime", "tests", "docs", "ci"]
+    assert [one(spark, paths.lane(F.lit(p))) for p in ("src/a.ts", "tests/a.ts", "docs/x.md", "dist/a.js", "perf/a.ts", "testdata/a.json")] == ["runtime", "tests", "docs", "generated", "benchmarks", "fixtures"]
     assert [one(spark, F.lit(p).rlike(paths.glob_regex("src/**/*.t?"))) for p in ("src/a/b.ts", "src/b.ts", "src/a/b.tsx")] == [True, False, False]
 
 
@@ -123,6 +123,34 @@ def test_log_replay(spark, tmp_path):
     assert sorted(r["id"] for r in logs.replay(spark, place, schema, tolerate_last=True).collect()) == [0, 1, 2, 7]
 
 
+def test_private_addresses(spark):
+    ask = lambda a: one(spark, urls.is_private_address(F.lit(a)))
+    assert all(ask(a) for a in ("0.1.2.3", "239.0.0.1", "169.254.1.1", "::", "::ffff:10.0.0.1", "fd00::1", "LOCALHOST", "metadata.google.internal"))
+    assert not any(ask(a) for a in ("1.2.3.4", "100.63.0.1", "172.32.0.1", "fdx.example", "2001:db8::1"))
+
+
+def test_normalised_paths(spark):
+    ask = lambda p: one(spark, repo.normalised(F.lit(p)))
+    assert [ask(p) for p in ("a/./b/../c", "../a", "a/../..", "a/../b", "/x//y")] == ["a/c", None, None, "b", "x/y"]
+
+
+def test_strongly_connected(spark):
+    """Two cycles that a bridge joins, a larger one whose smallest node is late, and a tail."""
+    e = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 9), (9, 12), (12, 15), (15, 9), (15, 15), (12, 7), (7, 12), (20, 1)]
+    got = {r["node"]: r["scc"] for r in graph.strongly_connected(spark.createDataFrame(e, "src long, dst long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 7: 7, 9: 7, 12: 7, 15: 7}
+
+
+def test_waves_cycle(spark):
+    with pytest.raises(ValueError):
+        discovery.waves(spark.createDataFrame([("a", 0, ["b"], []), ("b", 1, ["a"], [])], "task string, ord int, deps array<string>, writes array<string>"), 4)
+
+
+def test_mission_needs_its_start(spark):
+    with pytest.raises(ValueError):
+        reviews.mission_states(spark.createDataFrame([(1, 1, "round.started", "t", "1")], "mission long, seq long, type string, key string, value string"))
+
+
 def test_without_the_training_operators(tmp_path):
     """The entry still imports when that subpackage and the pipeline are gone."""
     import shutil
@@ -132,5 +160,5 @@ def test_without_the_training_operators(tmp_path):
 
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries())[0], any(k.startswith('op') for k in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"], cwd=tmp_path / "copy", capture_output=True, text=True, env={"PATH": "/usr/bin:/bin:/usr/local/bin"})
-    assert said.stdout.split()[1:] == ["False", "True"], said.stderr
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; s = __import__('pyspark').sql.SparkSession.builder.master('local[1]').getOrCreate(); q = e.queries(); d = '/root/testdata/sf0.001'; print(q['graph_degrees'](s, d).count() * q['repo_symbols'](s, d).count() > 0, any(k.startswith('op') for k in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"], cwd=tmp_path / "copy", capture_output=True, text=True, env={"PATH": "/usr/bin:/bin:/usr/local/bin"})
+    assert said.stdout.split()[-3:] == ["True", "False", "True"], said.stderr
