@@ -46,6 +46,8 @@ SHORT = 4 * SPAN
 FILTER_BITS, FEATURES, BITS = 2048, 128, 5
 #: Bytes of text in a run of neighbouring documents, about, and documents looked at for each bound.
 RUN_BYTES, LOOKED_AT = 8 << 20, 16
+#: Runs at most, so that what the driver sees of them has a bound; beyond, runs are longer. A run is read in turn, never held.
+MOST_RUNS = 20_000
 
 
 def _inner(offs: np.ndarray) -> np.ndarray:
@@ -232,7 +234,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranks = ranks_of(level_counts(docs, text_col))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    placed, runs = in_runs(source, -(-size // RUN_BYTES) or 1)
+    placed, runs = in_runs(source, min(MOST_RUNS, -(-size // RUN_BYTES) or 1))
     # a partition for each run, by its number
     placed = placed.repartitionById(runs, F.col("run")).sortWithinPartitions("run", "late", F.col("id").desc_nulls_last(), "key")
     kind = placed.schema["id"].dataType
