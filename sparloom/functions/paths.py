@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Lanes of repository paths, first match wins, runtime otherwise.
 LANES = (
-    ("generated", r"(^|/)(dist|build|coverage|generated|\.next|\.turbo|\.wormhole)(/|$)|[._-](generated|gen)\.[a-z0-9]+$"),
+    ("generated", r"(^|/)(dist|build|coverage|generated|\.next|\.turbo)(/|$)|[._-](generated|gen)\.[a-z0-9]+$"),
     ("benchmarks", r"(^|/)(benchmarks?|perf)(/|$)|^scripts/(run|validate)-benchmarks\.ts$"),
     ("fixtures", r"(^|/)(__fixtures__|fixtures?|testdata)(/|$)"),
     ("tests", r"(^|/)(tests?|__tests__)(/|$)|[._-](test|spec)\.[a-z0-9]+$"),

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from sparloom.functions import paths, text, urls
-from sparloom.operators import discovery, events, graph, repo, reviews, search
+from sparloom.operators import discovery, events, explore, graph, repo, reviews, search
 from sparloom.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -151,6 +151,27 @@ def test_mission_needs_its_start(spark):
         reviews.mission_states(spark.createDataFrame([(1, 1, "round.started", "t", "1")], "mission long, seq long, type string, key string, value string"))
 
 
+def test_joined_routes(spark):
+    join = lambda a, b: one(spark, explore.joined_route(F.lit(a), F.lit(b)))
+    assert [join("v1//", "x"), join("/v1/", "/"), join("v1", ""), join("/v1", "/x")] == ["/v1/x", "/v1/", "/v1", "/v1/x"]
+
+
+def test_compacted_json(spark):
+    ask = lambda c: tuple(one(spark, explore.compacted_json(F.lit(c).cast("string"))))
+    assert ask('[1, "a", [2], {"x": "WARN"}, null, 1, "z"]') == ('[1,"a",{"x":"WARN"},"z"]', 3)
+    assert ask(" [ ]") == ("[]", 0) and ask("nothing") == (None, 0) and ask(None) == (None, 0)
+
+
+def test_reach_and_sets(spark):
+    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "d")], "src string, dst string")
+    got = explore.affected(e, spark.createDataFrame([("a",), ("d",), ("x",), ("a",)], "node string"))
+    assert {tuple(r) for r in got.collect()} == {("a", 2), ("d", 0), ("x", 0)}
+    empty = F.array().cast("array<string>")
+    assert one(spark, explore.recall(empty, empty)) == 1.0 and one(spark, explore.recall(empty, F.array(F.lit("a"), F.lit("a")))) == 0.0
+    rows = spark.createDataFrame([("k", 2, "late"), ("k", 1, "early")], "key string, at int, what string")
+    assert [explore.one_of_each(rows, ["key"], "at", last).first()["what"] for last in (False, True)] == ["early", "late"]
+
+
 def test_without_the_training_operators(tmp_path):
     """The entry still imports when that subpackage and the pipeline are gone."""
     import shutil
