@@ -40,15 +40,14 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     now = written(now, "labels")
     for _ in range(rounds):
         seen = both.join(now, both["dst"] == now["node"]).groupBy("src").agg(F.min("component").alias("near"))
-        step = now.join(seen, now["node"] == seen["src"], "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
-        # follow the label of the label
-        far = step.select(F.col("node").alias("at"), F.col("component").alias("root"))
-        step = step.join(far, step["component"] == far["at"], "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "was")
-        new = written(step, "labels")
-        changed = new.where("component <> was").limit(1).count()
-        now = new.select("node", "component")
-        if not changed:
+        step = now.join(seen, now["node"] == seen["src"], "left").select("component", F.least("component", F.coalesce("near", "component")).alias("near"))
+        # a whole label goes over to the smallest one beside it, so that long paths settle in few rounds
+        moves = written(step.groupBy("component").agg(F.min("near").alias("to")), "moves")
+        if moves.where("to <> component").isEmpty():
             return now
+        far = moves.select(F.col("component").alias("at"), F.col("to").alias("further"))
+        moves = moves.join(far, moves["to"] == far["at"], "left").select("component", F.least("to", F.coalesce("further", "to")).alias("to"))
+        now = written(now.join(moves, "component").select("node", F.col("to").alias("component")), "labels")
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 

@@ -65,6 +65,8 @@ def test_components_and_cycles(spark):
     assert {r["node"]: r["component"] for r in graph.components(e).collect()} == {"src/api": "src/api", "src/db": "src/api", "docs/usage": "docs/design", "docs/design": "docs/design"}
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "src long, dst long")
     assert {r["component"] for r in graph.components(chain).collect()} == {0}
+    long = spark.range(600).selectExpr("md5(string(id)) AS src", "md5(string(id + 1)) AS dst")
+    assert graph.components(long, 12).select("component").distinct().count() == 1
     assert graph.strongly_connected(chain).count() == 0
     assert [r["hops"] for r in graph.hops(chain, spark.createDataFrame([(0,)], "node long"), 3).orderBy("hops").collect()] == [0, 1, 2, 3]
 
