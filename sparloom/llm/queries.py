@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, fingerprints, html, jaccard, licenses, lm, quality, secrets
+from . import bpe, chat, decontamination, fingerprints, html, jaccard, lexical, licenses, lm, quality, secrets
 
 QUERIES = {
     "op1_licenses": licenses.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_html": html.query,
     "op9_fingerprints": fingerprints.query,
     "op10_chat": chat.query,
+    "op11_lexical": lexical.query,
 }
-ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE, "op11_lexical": lexical.ORACLE}
