@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sparloom.llm import lexical
+from sparloom.llm import lexical, negatives
 from sparloom.llm.textcore import ALNUM_PATTERN, plain_words
 
 
@@ -88,3 +88,44 @@ def test_lexical_empty(spark, docs, no_docs):
     queries = spark.createDataFrame([(1, "the")], "item_id long, text string")
     assert lexical.search(lexical.build(no_docs), queries).count() == 0
     assert lexical.search(lexical.build(docs), queries.limit(0)).count() == 0
+
+
+def plain_negatives(rows, anchors, positives, negatives_, low, high):
+    """All of it by comparing every anchor with every row."""
+    first = lambda i: (i is not None, i)
+    rows = [(i, y, v) for i, y, v in rows if y is not None and v is not None and None not in v]
+    out = []
+    for i, y, v in {(i, y, tuple(v)) for i, y, v in anchors if y is not None and v is not None and None not in v}:
+        dot = [(sum(a * b for a, b in zip(v, w)), j, z) for j, z, w in rows]
+        by = lambda some: sorted(some, key=lambda r: (-r[0], first(r[1])))
+        for p, j, _ in by(r for r in dot if r[2] == y and (r[1] != i or i is None))[:positives]:
+            fits = by(r for r in dot if r[2] != y and low * p <= 100 * r[0] <= high * p)[:negatives_]
+            out += [(i, j, n + 1, r[1], p, r[0]) for n, r in enumerate(fits)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("scale,limit", [(60, 1000), (60, 3), (2**28, 1000)])
+def test_negatives(spark, monkeypatch, scale, limit):
+    monkeypatch.setattr(negatives, "LEAF_ROWS", 16)
+    rng = random.Random(9)
+    vector = lambda n=8: [int(rng.gauss(0, scale)) for _ in range(n)]
+    rows = [(i, i % 3, vector()) for i in range(400)]
+    rows += [(1000 + i, i % 3, [scale, scale, 0, 0, 0, 0, 0, 0]) for i in range(200)]  # one vector many times
+    rows += [(2000, None, vector()), (2001, 1, None), (2002, 1, [None, *vector(7)]), (2003, 2, vector(5)), (2004, 2, []), (None, 1, vector()), (3, 0, vector()), (5, 2, rows[5][2]), (2005, 9, vector())]
+    table = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, label int, embedding array<long>, pivot string, rank int").repartition(3)
+    some = [r for r in rows if r[0] is not None and r[0] % 50 in (0, 3, 5)]
+    anchors = table.where("vec_id % 50 IN (0, 3, 5)")
+    index = negatives.build(table)
+    for args in ((5, 10, 30, 90), (2, 3, -100, 100)):
+        got = Counter(tuple(r) for r in negatives.mine(index, anchors, positives=args[0], negatives=args[1], low=args[2], high=args[3], limit=limit).collect())
+        assert got == plain_negatives(rows, some, *args)
+
+
+def test_negatives_cases(spark):
+    names = spark.createDataFrame([(f"v{i}", i % 2, [float(i % 7), 1.0]) for i in range(50)], "vec_id string, label int, embedding array<double>")
+    got = Counter(tuple(r) for r in negatives.mine(negatives.build(names), names.where("vec_id = 'v6'")).collect())
+    assert got == plain_negatives([(f"v{i}", i % 2, [i % 7, 1]) for i in range(50)], [("v6", 0, [6, 1])], 5, 10, 30, 90)
+    assert negatives.mine(negatives.build(names.limit(0)), names).count() == 0
+    assert negatives.mine(negatives.build(names), names.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, [0.5, -0.001]), (2, [float("nan"), 0.0]), (3, [float("inf"), 0.0]), (4, [None, 0.0]), (5, None)], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in negatives.quantised(odd).collect()] == [(1, [128, -1])]
