@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, fingerprints, html, jaccard, lexical, licenses, lm, negatives, quality, secrets
+from . import bpe, chat, decontamination, fingerprints, html, jaccard, lexical, licenses, lm, negatives, packing, quality, secrets
 
 QUERIES = {
     "op1_licenses": licenses.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_fingerprints": fingerprints.query,
     "op10_chat": chat.query,
     "op11_lexical": lexical.query,
+    "op12_packing": packing.query,
     "op13_negatives": negatives.query,
 }
 ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE, "op11_lexical": lexical.ORACLE, "op13_negatives": negatives.ORACLE}

@@ -2,12 +2,14 @@
 
 import math
 import random
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from sparloom.llm import lexical, negatives
+from sparloom.llm import lexical, negatives, packing
 from sparloom.llm.textcore import ALNUM_PATTERN, plain_words
 
 
@@ -129,3 +131,66 @@ def test_negatives_cases(spark):
     assert negatives.mine(negatives.build(names), names.limit(0)).count() == 0
     odd = spark.createDataFrame([(1, [0.5, -0.001]), (2, [float("nan"), 0.0]), (3, [float("inf"), 0.0]), (4, [None, 0.0]), (5, None)], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in negatives.quantised(odd).collect()] == [(1, [128, -1])]
+
+
+def plain_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("cut,window", [(True, 1024), (False, 1024), (True, 64)])
+def test_packing(spark, corpus, docs, cut, window):
+    rows = packing.pack(docs.repartition(2), cut=cut, window=window).collect()
+    by_doc, by_window = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert r["length"] == len(r["ids"]) > 0 and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        by_doc[r["id"]].append(r)
+        by_window[r["sequence_id"]].append(r)
+    want = defaultdict(Counter)
+    for (i, _), x in zip(corpus, plain_ids([t for _, t in corpus])):
+        want[i][tuple(x)] += 1
+    assert by_doc.keys() == want.keys()
+    for i, pieces in by_doc.items():
+        tokens = Counter((r["doc_tokens"], r["start"] + k, t) for r in pieces for k, t in enumerate(r["ids"]))
+        assert tokens == Counter((len(x), k, t) for x, n in want[i].items() for _ in range(n) for k, t in enumerate(x))
+    for pieces in by_window.values():
+        pieces.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in pieces] == np.cumsum([0, *[r["length"] for r in pieces]])[:-1].tolist()
+        assert sum(r["length"] for r in pieces) <= window
+    if cut:  # each of two tasks pads less than a window
+        assert len(by_window) * window - sum(r["length"] for r in rows) < 2 * window
+    whole = packing.sequences(packing.pack(docs.repartition(2), cut=cut, window=window), window).collect()
+    assert all(len(r["ids"]) == window or r["length"].bit_count() == 1 and len(r["ids"]) == r["length"] for r in whole)
+    assert sum(r["length"] for r in whole) == sum(r["length"] for r in rows)
+
+
+def test_packing_words(spark, no_docs):
+    rng = random.Random(4)
+    texts = ["", " ", "  a  b ", "a\n b\t c  d", "it's we'll 'tis 's", "x y  z", "a <|endoftext|> b", "é ü 12 345 1234567 !!! ...", "\x1c a \x1f b", "w" * 5000 + " q"]
+    texts += ["".join(rng.choice(["a", "b", "é", " ", " ", " ", "\n", ".", "'s", "1", "　", "界", "\x85"]) for _ in range(60)) for _ in range(400)]
+    encoder = packing.Encoder(public_tokenizers.path(packing.RANK_FILE), public_tokenizers.PATTERN)
+    got = [np.frombuffer(x, "<u4").tolist() + [0] for lo in range(0, len(texts), 9) for x in encoder.encode(texts[lo : lo + 9])]
+    assert got == plain_ids(texts)
+    assert packing.pack(no_docs).count() == 0
+
+
+def test_differencing():
+    assert packing.differencing([8, 7, 6, 5, 4], 2) == [[1, 2, 4], [0, 3]] or sorted(sum([8, 7, 6, 5, 4][i] for i in g) for g in packing.differencing([8, 7, 6, 5, 4], 2)) == [14, 16]
+    rng = random.Random(2)
+    for k in (1, 2, 5, 40):
+        for n in (1, 3, 50, 200):
+            sizes = [rng.randint(1, 1000) for _ in range(n)]
+            groups = packing.differencing(sizes, k)
+            sums = [sum(sizes[i] for i in g) for g in groups]
+            assert sorted(i for g in groups for i in g) == list(range(n)) and len(groups) <= k
+            if n >= 5 * k:
+                assert max(sums) - min(sums) < 400
+            for cut in (True, False):
+                windows = packing.dealt(sizes, 1024, cut)
+                assert all(sum(z - a for _, a, z in g) <= 1024 for g in windows)
+                parts = sorted(p for g in windows for p in g)
+                assert all(a[2] == b[1] if a[0] == b[0] else (a[2], b[1]) == (sizes[a[0]], 0) for a, b in zip(parts, parts[1:]))
+                assert len(windows) == -(-sum(sizes) // 1024) or not cut
