@@ -173,8 +173,9 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
 
 
 def host_of(url: str | None) -> str:
+    """The host of a url; a null, empty or broken one is a host of its own name."""
     m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", url or "")
-    return (m[1] if m else url or "").lower()
+    return ((m and m[1]) or url or "").lower()
 
 
 def _digest(page: str) -> int:
@@ -287,9 +288,12 @@ def find(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
         return source.mapInArrow(scan, schema)
 
-    host = F.lower(F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")), F.col("url"), F.lit("")))
+    def hosted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host_of(u) for u in b.column(1).to_pylist()], pa.string())], ["id", "url", "html", "host"])
+
     salted = made.select("host", "template").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = source.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("id", "url", "html", "template")
+    joined = source.mapInArrow(hosted, f"id {kind}, url string, html string, host string").withColumn("salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("id", "url", "html", "template")
 
     def scan_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

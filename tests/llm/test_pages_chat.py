@@ -27,6 +27,19 @@ def test_pages(spark, monkeypatch, limit):
     assert html.find(df.limit(0)).count() == 0
 
 
+def test_pages_broken_urls(spark, monkeypatch):
+    """A broken url is a host of its own name, whichever way templates travel."""
+    body = "<html><body><article><p>Menu text here that repeats</p><p>Unique article number {} words</p></article></body></html>"
+    urls = ["http:///x", "http:///x", "http:///x", "http:///y", None, None, None, "", "no url", "HTTP://A.example/1", "http://a.EXAMPLE/2", "http://u@a.example/3"]
+    df = spark.createDataFrame([(k, u, body.format(k)) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    found = []
+    for limit in (1 << 25, 0):
+        monkeypatch.setattr(html, "BROADCAST_BYTES", limit)
+        found.append({r["id"]: r["text"] for r in html.find(df).collect()})
+    cut = {0, 1, 2, 4, 5, 6, 7, 9, 10, 11}  # null and empty are one name
+    assert found[0] == found[1] == {k: f"Unique article number {k} words" if k in cut else f"Menu text here that repeats\n\nUnique article number {k} words" for k in range(12)}
+
+
 def texts(spark, bodies, host="https://h.example/"):
     df = spark.createDataFrame([(k, f"{host}{k}", f"<html><body{b if b.startswith((' ', '>')) else '>' + b}</body></html>") for k, b in enumerate(bodies)], "page_id long, url string, html string")
     return [r["text"] for r in html.find(df).orderBy("id").collect()]
