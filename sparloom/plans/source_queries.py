@@ -44,16 +44,12 @@ def stream_profile(spark, d):
     return L.run_to_end(L.running_profile(L.source(spark, f"{d}/events.parquet")))
 
 
-def stream_hourly(spark, d):
-    return L.run_to_end(L.hourly(L.source(spark, f"{d}/events.parquet")))
-
-
 QUERIES = {
     "source_har_import": lambda s, d: P.har(_one(s, "har", HAR)),
     "source_openapi_import": lambda s, d: P.openapi(_one(s, "spec", SPEC)),
     "source_diff_hunks": lambda s, d: P.diff_hunks(_one(s, "diff", DIFF).withColumn("id", F.lit(1))),
     "source_diagnostics": lambda s, d: P.diagnostics(_one(s, "text", OUTPUT)),
-    "source_code_owners": owned, "source_licences": licences, "stream_profile": stream_profile, "stream_hourly": stream_hourly,
+    "source_code_owners": owned, "source_licences": licences, "stream_profile": stream_profile,
 }
 ORACLES = {
     "source_har_import": "SELECT * FROM (VALUES ('GET', 'https://harbour.example', '/berths/{id}/ships', 'tide', '2xx'), ('POST', 'https://harbour.example', '/berths/{id}/ships', 'crane,tide', '2xx'), ('GET', 'https://harbour.example', '/weather', '', '5xx'), ('GET', 'http://quay.example', '/maps', 'layer', '3xx')) t(method, origin, path_template, query_keys, status_class)",
@@ -63,5 +59,4 @@ ORACLES = {
     "source_code_owners": "SELECT DISTINCT CASE WHEN source = 'src1' THEN 'src/' ELSE 'docs/' END || lang || '/x' AS path, CASE WHEN source = 'src1' AND lang = 'en' THEN '@all,@core,@english,@team' WHEN source = 'src1' THEN '@all,@core,@team' ELSE '@all,@writers' END AS owners FROM documents",
     "source_licences": "SELECT * FROM (VALUES ('MIT', 2::BIGINT, 1::BIGINT), ('missing', 1, 1)) t(license, packages, direct)",
     "stream_profile": "SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) AS micros FROM events GROUP BY event_type",
-    "stream_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
