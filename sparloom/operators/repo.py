@@ -16,51 +16,92 @@ from ..functions import text as X
 from ..storage import stored
 
 NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
-#: (languages, kind, expression whose first group is the name); the first that fits a line counts.
+_SCRIPT = ("typescript", "javascript")
+_PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
+_ACCESS = r"(?:public|private|protected|internal)"
+# Fixed values: (languages, kind, expression whose first group is the name). Of those that give one name on one line
+# the first counts.
 SYMBOLS = (
-    (("typescript", "javascript"), "function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+{NAME}"),
-    (("typescript", "javascript"), "class", rf"^\s*(?:export\s+)?(?:abstract\s+)?class\s+{NAME}"),
-    (("typescript", "javascript"), "interface", rf"^\s*(?:export\s+)?interface\s+{NAME}"),
-    (("typescript", "javascript"), "type", rf"^\s*(?:export\s+)?type\s+{NAME}\s*="),
-    (("typescript", "javascript"), "constant", rf"^\s*(?:export\s+)?const\s+{NAME}"),
-    (("python",), "function", rf"^\s*(?:async\s+)?def\s+{NAME}"),
-    (("python",), "class", rf"^\s*class\s+{NAME}"),
-    (("rust",), "function", rf"^\s*(?:pub\s+)?fn\s+{NAME}"),
-    (("rust",), "class", rf"^\s*(?:pub\s+)?(?:struct|enum|trait)\s+{NAME}"),
+    (_SCRIPT, "function", rf"\bfunction\s+{NAME}\s*\("),
+    (_SCRIPT, "class", rf"\bclass\s+{NAME}"),
+    (_SCRIPT, "interface", rf"\binterface\s+{NAME}"),
+    (_SCRIPT, "type", rf"\btype\s+{NAME}\s*="),
+    (_SCRIPT, "function", rf"\bconst\s+{NAME}\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>"),
+    (_SCRIPT, "constant", rf"\b(?:const|let|var)\s+{NAME}\s*="),
+    (("python",), "function", rf"^(?:async\s+)?def\s+{NAME}\s*\("),
+    (("python",), "class", rf"^class\s+{NAME}"),
+    (("python",), "constant", r"^([A-Z][A-Z0-9_]*)\s*="),
+    (("rust",), "function", rf"\b{_PUB}(?:async\s+)?fn\s+{NAME}\s*\("),
+    (("rust",), "class", rf"\bstruct\s+{NAME}"),
+    (("rust",), "type", rf"\benum\s+{NAME}"),
+    (("rust",), "interface", rf"\btrait\s+{NAME}"),
+    (("rust",), "constant", rf"\b(?:const|static)\s+{NAME}\s*:"),
+    (("csharp",), "class", rf"\bclass\s+{NAME}"),
+    (("csharp",), "interface", rf"\binterface\s+{NAME}"),
+    (("csharp",), "type", rf"\b(?:record|struct|enum)\s+{NAME}"),
+    (("csharp",), "function", rf"\b{_ACCESS}\s+(?:[\w<>,\[\]?]+\s+)+{NAME}\s*\("),
     (("markdown",), "section", r"^#{1,6}\s+(.*\S)\s*$"),
 )
-#: (languages, expression whose first group is the specifier, prefix of a relative one).
-IMPORTS = (
-    (("typescript", "javascript"), r"""^\s*(?:import|export)\b[^'"]*['"]([^'"]+)['"]""", ""),
-    (("typescript", "javascript"), r"""require\(\s*['"]([^'"]+)['"]\s*\)""", ""),
-    (("python",), r"^\s*from\s+\.([A-Za-z0-9_]+)\s+import\b", "./"),
-    (("rust",), r"^\s*(?:pub\s+)?mod\s+([A-Za-z0-9_]+)\s*;", "./"),
-    (("markdown",), r"\]\(([^)#]+)\)", ""),
-)
+#: Expressions over whole texts, as imports may take several lines; the first group is the specifier.
+SCRIPT_IMPORTS = (r"""\bimport\s+(?:[^'"]+\s+from\s+)?['"]([^'"]+)['"]""", r"""\bexport\s+[^'"]+\s+from\s+['"]([^'"]+)['"]""", r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""")
+#: Names in the braces of such an import or export, and its specifier.
+BRACES = r"""\b(?:import|export)\s*(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\s+['"]([^'"]+)['"]"""
 #: What is put behind a specifier, in order, to find its file.
-ENDINGS = ("", ".ts", ".tsx", ".js", ".py", ".rs", ".md", "/index.ts", "/index.js")
+ENDINGS = ("", ".ts", ".tsx", ".js", ".py", ".rs", ".md", "/index.ts", "/index.js", "/__init__.py", "/mod.rs")
 #: Confidence of a call's target in the same file and in another.
 CALL_SAME, CALL_OTHER = 0.85, 0.75
 #: Confidence of a test that names a symbol, and of one that names a file.
 TEST_SYMBOL, TEST_FILE = 0.85, 0.75
 
 
+def _language(files: DataFrame) -> Column:
+    return F.col("language") if "language" in files.columns else P.language(F.col("path"))
+
+
 def _lines(files: DataFrame) -> DataFrame:
-    return X.lines(files.select("path", P.language(F.col("path")).alias("language"), "content"), "content").drop("content")
+    return X.lines(files.select("path", _language(files).alias("language"), "content"), "content").drop("content")
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """id (path#name:line), path, language, kind, name, line of every line that defines one (SRC-04)."""
-    found = F.array(*[F.when(F.col("language").isin(*langs), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line_text", p, 1).alias("name"))) for langs, kind, p in SYMBOLS])
-    first = F.filter(found, lambda s: s["name"] != "")
-    out = _lines(files).withColumn("s", F.get(first, F.lit(0))).where("s IS NOT NULL")
-    return out.select(F.concat("path", F.lit("#"), F.col("s.name"), F.lit(":"), F.col("line").cast("string")).alias("id"), "path", "language", "s.kind", "s.name", "line")
+    """id (path#name:line), path, language, kind, name, line of everything that a line defines (SRC-04); a name counts
+    once on a line."""
+    each = [F.when(F.col("language").isin(*langs), F.transform(F.regexp_extract_all("line_text", F.lit(p), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("nth"), x.alias("name")))).otherwise(F.array().cast("array<struct<kind:string,nth:int,name:string>>")) for i, (langs, kind, p) in enumerate(SYMBOLS)]  # noqa: B023
+    name = F.when(F.col("language") == "markdown", F.trim(F.regexp_replace("s.name", "[`*_]", ""))).otherwise(F.col("s.name"))
+    found = _lines(files).withColumn("s", F.explode(F.concat(*each))).select("path", "language", "line", "s.kind", "s.nth", name.alias("name")).where("name <> ''")
+    first = found.groupBy("path", "language", "line", "name").agg(F.min_by("kind", "nth").alias("kind"))
+    return first.select(F.concat("path", F.lit("#"), "name", F.lit(":"), F.col("line").cast("string")).alias("id"), "path", "language", "kind", "name", "line")
+
+
+def _matches(content: Column, pattern: str, groups: int = 1) -> Column:
+    """(line, g1, ...) of every match of a pattern in a whole text; line is that of its first character."""
+    whole = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    between = F.split(content, pattern, -1)
+    parts = [F.regexp_extract_all(content, F.lit(pattern), F.lit(k + 1)) for k in range(groups)]
+    rows = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("b"), whole.alias("m"), *[p.alias(f"g{k + 1}") for k, p in enumerate(parts)])
+    kind = "array<struct<line:bigint," + ",".join(f"g{k + 1}:string" for k in range(groups)) + ">>"
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+
+    def step(acc: Column, r: Column) -> Column:
+        at = acc["at"] + breaks(r["b"])
+        got = F.array(F.struct(at.cast("bigint").alias("line"), *[r[f"g{k + 1}"].alias(f"g{k + 1}") for k in range(groups)])).cast(kind)
+        return F.struct((at + breaks(r["m"])).cast("bigint").alias("at"), F.concat(acc["out"], got).alias("out"))
+
+    return F.aggregate(rows, F.struct(F.lit(1).cast("bigint").alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
 
 def import_drafts(files: DataFrame) -> DataFrame:
-    """path, line, specifier of imports, re-exports and links (SRC-05)."""
-    parts = [F.when(F.col("language").isin(*langs), F.transform(F.regexp_extract_all("line_text", F.lit(p), F.lit(1)), lambda x: F.concat(F.lit(pre), x))).otherwise(F.array().cast("array<string>")) for langs, p, pre in IMPORTS]  # noqa: B023
-    return _lines(files).select("path", "line", F.explode(F.array_distinct(F.concat(*parts))).alias("specifier"))
+    """path, line, specifier of imports, re-exports and links (SRC-05), over several lines too. Those of packages of
+    Python and of crates of Rust are given relative to the file."""
+    rows = files.select("path", _language(files).alias("language"), "content")
+    scripts = rows.where(F.col("language").isin(*_SCRIPT)).select("path", F.explode(F.concat(*[_matches(F.col("content"), p) for p in SCRIPT_IMPORTS])).alias("m")).select("path", "m.line", F.col("m.g1").alias("specifier"))
+    lines = _lines(files.select("path", _language(files).alias("language"), "content"))
+    dots, rest = F.regexp_extract("line_text", r"^\s*from\s+(\.+)", 1), F.replace(F.regexp_extract("line_text", r"^\s*from\s+\.+([A-Za-z0-9_.]*)\s+import\b", 1), F.lit("."), F.lit("/"))
+    python = lines.where("language = 'python'").where(F.col("line_text").rlike(r"^\s*from\s+\.+[A-Za-z0-9_.]*\s+import\b")).select("path", "line", F.concat(F.when(F.length(dots) > 1, F.repeat(F.lit("../"), F.length(dots) - 1)).otherwise("./"), rest).alias("specifier"))
+    mod, crate = F.regexp_extract("line_text", r"^\s*(?:pub\s+)?mod\s+([A-Za-z_]\w*)\s*;", 1), F.regexp_extract("line_text", r"^\s*use\s+crate::([A-Za-z_][\w:]*)", 1)
+    up = F.repeat(F.lit("../"), F.size(F.split("path", "/")) - 1)
+    rust = lines.where("language = 'rust'").select("path", "line", F.when(mod != "", F.concat(F.lit("./"), mod)).when(crate != "", F.concat(F.lit("./"), up, F.lit("src/"), F.replace(crate, F.lit("::"), F.lit("/")))).alias("specifier")).where("specifier IS NOT NULL")
+    links = lines.where("language = 'markdown'").select("path", "line", F.explode(F.regexp_extract_all("line_text", F.lit(r"\]\(([^)#?]+)"), F.lit(1))).alias("specifier"))
+    return scripts.unionByName(python).unionByName(rust).unionByName(links).distinct()
 
 
 def normalised(path: Column) -> Column:
@@ -104,7 +145,9 @@ def calls(files: DataFrame, found: DataFrame) -> DataFrame:
     function of that name in the same file, else of the first by path and line."""
     functions = found.where("kind = 'function'").select("id", "path", "name", "line")
     token = F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(rf"{NAME}\s*\("), F.lit(1))))
-    said = body_lines(files, found).select(F.col("id").alias("caller"), "path", "line", token.alias("name")).groupBy("caller", "path", "name").agg(F.min("line").alias("line"))
+    names = functions.select("name").distinct()
+    # tokens that name no function go before anything is shuffled, where the names are few
+    said = body_lines(files, found).select(F.col("id").alias("caller"), "path", "line", token.alias("name")).join(names, "name", "left_semi").groupBy("caller", "path", "name").agg(F.min("line").alias("line"))
     own = functions.groupBy("path", "name").agg(F.min_by("id", "line").alias("own"))
     first = functions.groupBy("name").agg(F.min_by("id", F.struct("path", "line")).alias("first"))
     out = said.join(first, "name").join(own, ["path", "name"], "left").withColumn("callee", F.coalesce("own", "first"))
@@ -112,11 +155,13 @@ def calls(files: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def references(drafts: DataFrame, files: DataFrame, found: DataFrame) -> DataFrame:
-    """src (path), dst (symbol), line: names in the braces of an import that its target defines."""
-    named = _lines(files).select("path", "line", F.explode(F.split(F.regexp_extract("line_text", r"^\s*(?:import|export)\s*\{([^}]*)\}", 1), r"\s*,\s*")).alias("name")).select("path", "line", F.trim("name").alias("name")).where("name <> ''")
-    targets = resolved_imports(drafts, files).select("path", "line", "target")
+    """src (path), dst (symbol), line: names in the braces of an import or re-export that its target defines."""
+    rows = files.select("path", _language(files).alias("language"), "content").where(F.col("language").isin(*_SCRIPT))
+    braced = rows.select("path", F.explode(_matches(F.col("content"), BRACES, 2)).alias("m")).select("path", "m.line", F.col("m.g2").alias("specifier"), F.explode(F.split("m.g1", ",")).alias("name"))
+    named = braced.select("path", "line", "specifier", F.regexp_replace(F.trim(F.regexp_replace("name", r"\s+", " ")), r"^type |(?<=.) as .*$", "").alias("name")).where("name <> ''")
+    targets = resolved_imports(drafts, files).select("path", "line", "specifier", "target")
     own = found.select(F.col("path").alias("target"), "name", "id").groupBy("target", "name").agg(F.min("id").alias("dst"))
-    return named.join(targets, ["path", "line"]).join(own, ["target", "name"]).select(F.col("path").alias("src"), "dst", "line")
+    return named.join(targets, ["path", "line", "specifier"]).join(own, ["target", "name"]).select(F.col("path").alias("src"), "dst", "line")
 
 
 def fact_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
