@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..storage import stored
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -55,10 +56,10 @@ def waves(tasks: DataFrame, rounds: int = 50) -> DataFrame:
         locked = level.select("task", "ord", "wave", F.explode_outer("writes").alias("path"))
         nth = locked.where("path IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("wave", "path").orderBy("ord")) - 1).groupBy("task").agg(F.max("k").alias("k"))
         step = level.join(need, "task").join(nth, "task", "left").select("task", "ord", "deps", "writes", F.greatest("wave", "need", F.when(F.col("k") > 0, F.col("wave") + 1).otherwise(0)).alias("new"), "wave")
-        rows = step.collect()
-        if all(r["new"] == r["wave"] for r in rows):
+        step = stored(step, "waves")
+        if step.where("new <> wave").isEmpty():
             return level.select("task", "wave")
-        level = tasks.sparkSession.createDataFrame([(r["task"], r["ord"], r["deps"], r["writes"], r["new"]) for r in rows], "task string, ord int, deps array<string>, writes array<string>, wave int")
+        level = step.select("task", "ord", "deps", "writes", F.col("new").alias("wave"))
     raise ValueError("tasks depend on one another in a cycle, or on more levels than rounds")
 
 

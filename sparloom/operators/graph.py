@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..storage import stored as written
 
 # Weights of provenance in path scores.
-PROVENANCE_WEIGHT = {"extracted": 1.0, "resolved": 0.8, "inferred": 0.6}
+PROVENANCE_WEIGHT = {"extracted": 1.0, "derived": 0.8, "inferred": 0.6}
 OTHER_PROVENANCE = 0.4
 
 

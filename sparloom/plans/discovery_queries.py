@@ -9,22 +9,6 @@ from ..functions import paths as P
 from ..operators import discovery as D
 from ..sources.tables import table
 
-# Statements of a small schema, and a small plan of tasks.
-MIGRATIONS = [
-    (1, "CREATE TABLE berths (berth bigint, depth numeric(6,2), lit boolean)"),
-    (2, "CREATE UNIQUE INDEX berths_by_depth ON berths (depth)"),
-    (3, "ALTER TABLE berths ADD COLUMN owner text"),
-    (4, "CREATE TABLE ships (hull text, berth bigint)"),
-    (5, "ALTER TABLE ships ADD COLUMN flag char(2)"),
-    (6, "ALTER TABLE berths ADD COLUMN crane_limit numeric(8,1)"),
-]
-TASKS = [("dredge", 0, [], ["berth/4"]), ("chart", 1, [], ["maps"]), ("moor", 2, ["dredge", "chart"], ["berth/4"]), ("paint", 3, ["dredge"], ["berth/4"]), ("inspect hull", 4, ["moor"], [])]
-BEFORE, AFTER = [("lines", 90.0), ("branches", 80.0), ("functions", 70.0)], [("lines", 88.0), ("branches", 80.0), ("statements", 60.0)]
-PROPOSALS = [("p1", 1, ["a"], ["b"]), ("p2", 2, ["b"], ["c"]), ("p3", 3, ["c"], ["b", "c"]), ("p4", 4, ["z"], [])]
-
-
-def ddl(spark, d):
-    return D.ddl_fold(spark.createDataFrame(MIGRATIONS, "ord int, sql string"))
 
 
 def gaps(spark, d):
@@ -57,24 +41,6 @@ def flags(spark, d):
     return table(spark, d, "pages").select("page_id", h.contains("<form").alias("has_form"), h.contains("<script").alias("has_script"), F.regexp_count(h, F.lit("<li>")).cast("long").alias("n_items"), h.contains("class=\"ad\"").alias("has_ad"))
 
 
-def waves(spark, d):
-    return D.waves(spark.createDataFrame(TASKS, "task string, ord int, deps array<string>, writes array<string>")).select("task", F.col("wave").cast("long").alias("wave"))
-
-
-def coverage(spark, d):
-    return D.coverage_delta(spark.createDataFrame(BEFORE, "metric string, value double"), spark.createDataFrame(AFTER, "metric string, value double"))
-
-
-def proposals(spark, d):
-    return D.pair_conflicts(spark.createDataFrame(PROPOSALS, "id string, ord int, reads array<string>, writes array<string>"))
-
-
-def languages(spark, d):
-    """Documents by language, those long enough to index, their share and status."""
-    n, k = F.count("*"), F.count_if(F.col("n_chars") >= 500)
-    return table(spark, d, "documents").groupBy("lang").agg(n.alias("total"), k.alias("indexed"), F.round(k / n, 4).alias("ratio"), F.when(k == n, "full").when(k / n >= 0.8, "partial").otherwise("low").alias("status"))
-
-
 def modules(spark, d):
     """Sources as modules: files, languages, and the modules that share a line with them."""
     docs = table(spark, d, "documents")
@@ -109,21 +75,16 @@ def greedy_match(spark, d):
 
 
 QUERIES = {
-    "domain_ddl_fold": ddl, "domain_coverage_gaps": gaps, "api_endpoint_groups": endpoint_groups, "page_links": lambda s, d: D.page_links(table(s, d, "pages")), "domain_endpoint_ownership": ownership,
-    "domain_side_effects": flags, "schedule_waves": waves, "check_coverage_delta": coverage, "reconcile_conflicts": proposals, "plan_language_coverage": languages, "architecture_modules": modules,
+    "domain_coverage_gaps": gaps, "api_endpoint_groups": endpoint_groups, "page_links": lambda s, d: D.page_links(table(s, d, "pages")), "domain_endpoint_ownership": ownership,
+    "domain_side_effects": flags, "architecture_modules": modules,
     "filter_globs": globs, "check_severity": severity, "agg_dominant": dominant, "match_greedy": greedy_match,
 }
 ORACLES = {
-    "domain_ddl_fold": "SELECT * FROM (VALUES ('berths', 'berth,depth,lit,owner,crane_limit', 'berths_by_depth'), ('ships', 'hull,berth,flag', '')) t(name, columns, indexes)",
     "domain_coverage_gaps": "SELECT 'customer without link' AS gap, c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'nation without link', n_nationkey::BIGINT FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT 'part without link', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
     "api_endpoint_groups": _ENDPOINTS,
     "page_links": "SELECT page_id, u.ord, u.href FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1) AS h FROM pages) p, LATERAL (SELECT unnest(range(1, len(h) + 1)) AS ord, unnest(h) AS href) u",
     "domain_endpoint_ownership": "WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host FROM pages), o(part, owner) AS (VALUES ('example.com', 'com'), ('example.net', 'net'), ('example.org', 'org'), ('blog.', 'blog')) SELECT page_id, first(owner ORDER BY length(part) DESC, owner DESC) AS owner FROM h LEFT JOIN o ON contains(host, part) GROUP BY page_id",
     "domain_side_effects": "SELECT page_id, contains(lower(html), '<form') AS has_form, contains(lower(html), '<script') AS has_script, CAST(len(regexp_extract_all(lower(html), '<li>')) AS BIGINT) AS n_items, contains(lower(html), 'class=\"ad\"') AS has_ad FROM pages",
-    "schedule_waves": "SELECT * FROM (VALUES ('dredge', 0::BIGINT), ('chart', 0), ('moor', 1), ('paint', 2), ('inspect hull', 2)) t(task, wave)",
-    "check_coverage_delta": "WITH b(metric, b) AS (VALUES ('lines', 90.0::DOUBLE), ('branches', 80.0), ('functions', 70.0)), a(metric, a) AS (VALUES ('lines', 88.0::DOUBLE), ('branches', 80.0), ('statements', 60.0)) SELECT coalesce(a.metric, b.metric) AS metric, round(a - b, 2) AS delta, CASE WHEN a - b IS NULL THEN 'warn' WHEN round(a - b, 2) < -0.5 THEN 'fail' ELSE 'pass' END AS status FROM b FULL OUTER JOIN a ON a.metric = b.metric",
-    "reconcile_conflicts": "SELECT * FROM (VALUES ('p1', 'p2', 'b', 'read_write'), ('p1', 'p3', 'b', 'write_write'), ('p2', 'p3', 'b', 'read_write'), ('p2', 'p3', 'c', 'write_write')) t(a, b, path, kind)",
-    "plan_language_coverage": "SELECT lang, count(*) AS total, count(*) FILTER (n_chars >= 500) AS indexed, round(count(*) FILTER (n_chars >= 500) / CAST(count(*) AS DOUBLE), 4) AS ratio, CASE WHEN count(*) FILTER (n_chars >= 500) = count(*) THEN 'full' WHEN count(*) FILTER (n_chars >= 500) / CAST(count(*) AS DOUBLE) >= 0.8 THEN 'partial' ELSE 'low' END AS status FROM documents GROUP BY lang",
     "architecture_modules": "WITH x AS (SELECT DISTINCT source, trim(l) AS l FROM (SELECT source, unnest(str_split(text, chr(10))) AS l FROM documents) WHERE length(trim(l)) >= 20), p AS (SELECT a.source, count(DISTINCT b.source) AS n FROM x a JOIN x b ON a.l = b.l WHERE a.source <> b.source GROUP BY a.source) SELECT d.source, count(*) AS files, count(DISTINCT lang) AS languages, CAST(sum(n_chars) AS BIGINT) AS chars, coalesce(first(p.n), 0) AS n_neighbours FROM documents d LEFT JOIN p ON d.source = p.source GROUP BY d.source",
     "filter_globs": "WITH f AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents) SELECT doc_id, regexp_matches(path, '^src[^/]/.*/[^/]*1\\.txt$') AS by_glob, path = 'src1/en' OR starts_with(path, 'src1/en/') AS by_prefix FROM f WHERE regexp_matches(path, '^src[^/]/.*/[^/]*1\\.txt$') OR starts_with(path, 'src1/en/')",
     "check_severity": "WITH e AS (SELECT user_id, CASE WHEN event_type = 'error' AND value > 100 THEN 'high' WHEN event_type = 'error' THEN 'medium' WHEN value > 200 THEN 'low' END AS s FROM events), g AS (SELECT user_id, count(*) FILTER (s = 'high') AS high, count(*) FILTER (s = 'medium') AS medium, count(*) FILTER (s = 'low') AS low FROM e GROUP BY user_id) SELECT *, CASE WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' WHEN low > 0 THEN 'low' ELSE 'none' END AS highest FROM g",

@@ -128,18 +128,6 @@ def downstream(spark, d):
 _DOWN = f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), r AS (SELECT 'customer:' || c_custkey AS node, 0 AS hops FROM customer WHERE c_custkey <= 10 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON r.node = e.src WHERE hops < 3)
 SELECT node, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY node HAVING min(hops) > 0"""
 
-# A small digraph with two cycles, a self loop and tails.
-DIGRAPH = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("g", "g"), ("h", "a"), ("f", "i")]
-
-
-def scc(spark, d):
-    return G.strongly_connected(spark.createDataFrame(DIGRAPH, "src string, dst string"))
-
-
-_SCC = f"""WITH RECURSIVE e(src, dst) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in DIGRAPH)}), r AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src WHERE e.src <> e.dst)
-SELECT a.src AS node, least(a.src, min(a.dst)) AS scc FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src"""
-
-
 def relation_page(spark, d):
     """The second page of edges into one nation, and out of it."""
     return G.page(G.between(edges(spark, d), "both", src=["nation:1"]), ["src", "dst", "kind"], 10, 25)
@@ -170,48 +158,10 @@ t AS (SELECT e.src AS node, 'through part' AS reason, confidence * 0.5 AS confid
 SELECT node, round(max(confidence), 4) AS confidence, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT * FROM t) GROUP BY node"""
 
 
-def reachability(spark, d):
-    """Each part: manual, reachable from a busy order, referenced at all, or a candidate to remove."""
-    li = table(spark, d, "lineitem")
-    busy = table(spark, d, "orders").where("o_orderpriority LIKE '1%'").select("o_orderkey")
-    flag = li.join(busy.withColumn("b", F.lit(True)), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("l_partkey").agg(F.bool_or(F.coalesce("b", F.lit(False))).alias("reachable"))
-    p = table(spark, d, "part").join(flag, F.col("p_partkey") == F.col("l_partkey"), "left")
-    kind = F.when(F.col("p_size") == 50, "manual").when(F.col("reachable"), "reachable").when(F.col("l_partkey").isNotNull(), "inbound").otherwise("candidate_remove_pending_review")
-    conf = F.when(F.col("p_size") == 50, 0.95).when(F.col("reachable"), 0.88).when(F.col("l_partkey").isNotNull(), 0.82).otherwise(0.78)
-    return p.select("p_partkey", kind.alias("status"), conf.alias("confidence"))
-
-
-_REACH = """WITH f AS (SELECT l_partkey, bool_or(o_orderpriority LIKE '1%') AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey)
-SELECT p_partkey, CASE WHEN p_size = 50 THEN 'manual' WHEN r THEN 'reachable' WHEN l_partkey IS NOT NULL THEN 'inbound' ELSE 'candidate_remove_pending_review' END AS status,
-CASE WHEN p_size = 50 THEN 0.95 WHEN r THEN 0.88 WHEN l_partkey IS NOT NULL THEN 0.82 ELSE 0.78 END::DOUBLE AS confidence FROM part LEFT JOIN f ON p_partkey = l_partkey"""
-
-# Changed line ranges and symbol lines.
-HUNKS = [("src/a.ts", 1, 3), ("src/a.ts", 40, 0), ("src/b.ts", 10, 5)]
-SYMBOLS = [("loadA", "src/a.ts", 2), ("saveA", "src/a.ts", 4), ("zero", "src/a.ts", 40), ("loadB", "src/b.ts", 14), ("late", "src/b.ts", 15), ("other", "src/c.ts", 7)]
-FILES = ["src/a.ts", "src/b.ts", "src/c.ts"]
-
-
-def interval_hunks(spark, d):
-    """Symbols on changed lines; all symbols of changed files without hunks."""
-    h = spark.createDataFrame(HUNKS, "file string, start int, n int")
-    s = spark.createDataFrame(SYMBOLS, "name string, path string, line int")
-    f = spark.createDataFrame([(x,) for x in FILES], "path string")
-    inside = s.join(h, (F.col("path") == F.col("file")) & F.col("line").between(F.col("start"), F.col("start") + F.greatest(F.lit(1), F.col("n")) - 1)).select("name", "path", "line")
-    rest = s.join(f.join(h, F.col("path") == F.col("file"), "left_anti"), "path").select("name", "path", "line")
-    return inside.unionByName(rest).distinct()
-
-
-def _values(rows):
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
-
-
-_HUNKS = f"""WITH h(file, start, n) AS (VALUES {_values(HUNKS)}), s(name, path, line) AS (VALUES {_values(SYMBOLS)}), f(path) AS (VALUES {_values(FILES)})
-SELECT DISTINCT name, path, line FROM s WHERE EXISTS (SELECT 1 FROM h WHERE h.file = s.path AND s.line BETWEEN h.start AND h.start + greatest(1, h.n) - 1) OR (path IN (SELECT path FROM f) AND path NOT IN (SELECT file FROM h))"""
-
 QUERIES = {
     "graph_degrees": lambda s, d: G.degrees(edges(s, d)), "graph_hubs_bridges": lambda s, d: G.hubs_and_bridges(edges(s, d)), "graph_report": report, "graph_orphans": orphans,
     "graph_components": component_table, "graph_community_records": community_records, "graph_surprising": surprising, "graph_bfs_path": bfs_path, "graph_downstream3": downstream,
-    "graph_scc": scc, "relation_query_page": relation_page, "relation_path_score": path_score, "impact_blast_radius": blast_radius, "impact_reachability": reachability, "impact_interval_hunks": interval_hunks,
+    "relation_query_page": relation_page, "relation_path_score": path_score, "impact_blast_radius": blast_radius,
 }
 ORACLES = {
     "graph_degrees": f"WITH {EDGES}, {DEGREES} SELECT * FROM deg",
@@ -219,8 +169,8 @@ ORACLES = {
     "graph_report": f"""WITH {EDGES}, t AS (SELECT kind, src, count(*) AS n FROM edges GROUP BY kind, src QUALIFY row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, src) = 1)
 SELECT e.kind, count(*) AS n_edges, count(*) FILTER (provenance = 'extracted') AS n_extracted, count(*) FILTER (provenance = 'inferred') AS n_inferred, count(*) FILTER (provenance = 'ambiguous') AS n_ambiguous, round(avg(confidence), 4) AS mean_confidence, first(t.src) AS top_src, first(t.n) AS top_out FROM edges e JOIN t ON e.kind = t.kind GROUP BY e.kind""",
     "graph_orphans": "SELECT 'customer' AS kind, c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)",
-    "graph_components": _COMPONENTS, "graph_community_records": _RECORDS, "graph_surprising": _SURPRISING, "graph_bfs_path": _BFS, "graph_downstream3": _DOWN, "graph_scc": _SCC,
+    "graph_components": _COMPONENTS, "graph_community_records": _RECORDS, "graph_surprising": _SURPRISING, "graph_bfs_path": _BFS, "graph_downstream3": _DOWN,
     "relation_query_page": _PAGE,
-    "relation_path_score": f"WITH {EDGES}, e AS (SELECT *, CASE provenance WHEN 'extracted' THEN 1.0 WHEN 'resolved' THEN 0.8 WHEN 'inferred' THEN 0.6 ELSE 0.4 END::DOUBLE AS w FROM edges WHERE kind IN ('located_in', 'part_of')) SELECT a.src, b.dst, round((a.w + b.w) / 2 / 2, 4) AS score FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 'customer:%'",
-    "impact_blast_radius": _BLAST, "impact_reachability": _REACH, "impact_interval_hunks": _HUNKS,
+    "relation_path_score": f"WITH {EDGES}, e AS (SELECT *, CASE provenance WHEN 'extracted' THEN 1.0 WHEN 'derived' THEN 0.8 WHEN 'inferred' THEN 0.6 ELSE 0.4 END::DOUBLE AS w FROM edges WHERE kind IN ('located_in', 'part_of')) SELECT a.src, b.dst, round((a.w + b.w) / 2 / 2, 4) AS score FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 'customer:%'",
+    "impact_blast_radius": _BLAST,
 }

@@ -36,10 +36,17 @@ def changed(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).where(_CHANGED).select("path")
 
 
+_graphs: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f = stored(files(spark, d), "files")
-    nodes, edges = R.fact_graph(f)
-    return f, nodes, stored(edges, "facts")
+    """Files, nodes and edges, drawn and written once for an application and folder of tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _graphs:
+        f = stored(files(spark, d), "files")
+        nodes, edges = R.fact_graph(f)
+        _graphs[key] = (f, nodes, stored(edges, "facts"))
+    return _graphs[key]
 
 
 def graph_edges(spark, d):

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..sources import parsers as P
 from ..sources.tables import table
 from ..streaming import logs as L
 
-# Small inputs of each source.
-HAR = json.dumps({"log": {"entries": [
-    {"request": {"method": m, "url": u}, "response": {"status": c}} for m, u, c in (
-        ("GET", "https://Harbour.example/berths/8841/ships?tide=low", 200), ("post", "https://harbour.example/berths/17/ships?crane=2&tide=high", 201),
-        ("GET", "https://harbour.example/weather", 503), ("PUT", "blob:nothing", 200), ("GET", "http://quay.example/maps/?layer=depth&layer=wind", 302),
-    )
-]}})
-SPEC = json.dumps({"paths": {
-    "/berths": {"get": {"operationId": "allBerths", "parameters": [{"name": "tide", "in": "query"}, {"name": "trace", "in": "header"}]}},
-    "/berths/{berth}/ships": {"post": {"operationId": "moor", "parameters": [{"name": "berth", "in": "path"}, {"name": "crane", "in": "query"}, {"name": "bow", "in": "query"}]}, "delete": {"operationId": "castOff"}},
-}})
-DIFF = "--- a/src/a.ts\n+++ b/src/a.ts\n@@ -1,3 +1,3 @@\n-x\n+y\n@@ -40 +41,2 @@\n+++ b/src/b.ts\n@@ -5,0 +6 @@\n"
-OUTPUT = "src/a.ts(3,7): error TS2345: no\nok line\n FAIL tests/a.test.ts\nsrc/b.ts:10:2: unused\n"
+# Rules of owners.
 OWNERS = "# comment\n/docs/ @writers\nsrc @core @team\nsrc/en @english\n* @all"
-LOCK = '{"packages":{"":{"version":"1"},"node_modules/a":{"version":"1.0.0","license":"MIT"},"node_modules/a/node_modules/b":{"version":"2.0.0","license":"MIT"},"node_modules/c":{"version":"1"}}}'
 
 
 def _one(spark, col, value):
@@ -36,27 +21,14 @@ def owned(spark, d):
     return P.owners(_one(spark, "text", OWNERS), paths)
 
 
-def licences(spark, d):
-    return P.licences(_one(spark, "lock", LOCK), spark.createDataFrame([("a",), ("c",)], "name string"))
-
-
 def stream_profile(spark, d):
     return L.run_to_end(L.running_profile(L.source(spark, f"{d}/events.parquet")))
 
 
 QUERIES = {
-    "source_har_import": lambda s, d: P.har(_one(s, "har", HAR)),
-    "source_openapi_import": lambda s, d: P.openapi(_one(s, "spec", SPEC)),
-    "source_diff_hunks": lambda s, d: P.diff_hunks(_one(s, "diff", DIFF).withColumn("id", F.lit(1))),
-    "source_diagnostics": lambda s, d: P.diagnostics(_one(s, "text", OUTPUT)),
-    "source_code_owners": owned, "source_licences": licences, "stream_profile": stream_profile,
+    "source_code_owners": owned, "stream_profile": stream_profile,
 }
 ORACLES = {
-    "source_har_import": "SELECT * FROM (VALUES ('GET', 'https://harbour.example', '/berths/{id}/ships', 'tide', '2xx'), ('POST', 'https://harbour.example', '/berths/{id}/ships', 'crane,tide', '2xx'), ('GET', 'https://harbour.example', '/weather', '', '5xx'), ('GET', 'http://quay.example', '/maps', 'layer', '3xx')) t(method, origin, path_template, query_keys, status_class)",
-    "source_openapi_import": "SELECT * FROM (VALUES ('/berths', 'GET', 'allBerths', 'tide'), ('/berths/{berth}/ships', 'POST', 'moor', 'bow,crane'), ('/berths/{berth}/ships', 'DELETE', 'castOff', '')) t(path, method, operation_id, query_keys)",
-    "source_diff_hunks": "SELECT * FROM (VALUES (1, 'src/a.ts', 1, 3, 1, 3), (1, 'src/a.ts', 40, 1, 41, 2), (1, 'src/b.ts', 5, 0, 6, 1)) t(id, file, old_start, old_lines, new_start, new_lines)",
-    "source_diagnostics": "SELECT * FROM (VALUES (1::BIGINT, 'src/a.ts', 3, 'TS2345'), (3, 'tests/a.test.ts', NULL, 'FAIL'), (4, 'src/b.ts', 10, 'message')) t(\"at\", file, line, code)",
     "source_code_owners": "SELECT DISTINCT CASE WHEN source = 'src1' THEN 'src/' ELSE 'docs/' END || lang || '/x' AS path, CASE WHEN source = 'src1' AND lang = 'en' THEN '@all,@core,@english,@team' WHEN source = 'src1' THEN '@all,@core,@team' ELSE '@all,@writers' END AS owners FROM documents",
-    "source_licences": "SELECT * FROM (VALUES ('MIT', 2::BIGINT, 1::BIGINT), ('missing', 1, 1)) t(license, packages, direct)",
     "stream_profile": "SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) AS micros FROM events GROUP BY event_type",
 }

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 
-def har(captures: DataFrame, col: str = "har", limit: int = 100) -> DataFrame:
+def har(captures: DataFrame, col: str = "har") -> DataFrame:
     """Observations of captured traffic in JSON: method, origin, path template, query keys, status class.
     Entries of other schemes than http are dropped."""
     kind = "struct<log:struct<entries:array<struct<request:struct<method:string,url:string>,response:struct<status:int>>>>>"
-    e = captures.select(F.explode(F.slice(F.from_json(col, kind)["log"]["entries"], 1, limit)).alias("e"))
+    e = captures.select(F.explode(F.from_json(col, kind)["log"]["entries"]).alias("e"))
     url = F.col("e.request.url")
     return e.where(url.rlike("^https?://")).select(F.upper("e.request.method").alias("method"), U.origin(url).alias("origin"), U.path_template(url).alias("path_template"), F.array_join(U.query_keys(url), ",").alias("query_keys"), U.status_class(F.col("e.response.status")).alias("status_class"))
 
@@ -48,9 +48,13 @@ def diagnostics(output: DataFrame, col: str = "text") -> DataFrame:
 def owners(rules: DataFrame, files: DataFrame, col: str = "text") -> DataFrame:
     """The owners of each path by prefix rules in lines of pattern and owners; all rules that match count."""
     line = rules.select(F.explode(F.split(col, "\n", -1)).alias("l")).select(F.trim(F.regexp_replace("l", "#.*$", "")).alias("l")).where("l <> ''")
-    rule = line.select(F.regexp_replace(F.element_at(F.split("l", r"\s+"), 1), r"^/|/?\**$", "").alias("prefix"), F.expr("slice(split(l, '\\\\s+'), 2, 100)").alias("who"))
-    hit = files.join(F.broadcast(rule), (F.col("prefix") == "") | (F.col("path") == F.col("prefix")) | F.col("path").startswith(F.concat(F.col("prefix"), F.lit("/"))), "left")
-    return hit.groupBy("path").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("who")))), ",").alias("owners"))
+    words = F.split("l", r"\s+")
+    rule = line.select(F.regexp_replace(F.element_at(words, 1), r"^/|/?\**$", "").alias("at"), F.explode_outer(F.slice(words, 2, F.size(words))).alias("who")).where("who IS NOT NULL")
+    # a path is joined by each folder above it, itself and none, so that rules are met by equality
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    hit = files.select("path", F.explode(above).alias("at")).join(rule, "at", "left")
+    return hit.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("who")), ",").alias("owners"))
 
 
 def licences(locks: DataFrame, direct: DataFrame, col: str = "lock") -> DataFrame:
