@@ -19,6 +19,13 @@ LANGUAGES = {
     "mdx": "markdown", "mjs": "javascript", "props": "xml", "ps1": "powershell", "py": "python", "rs": "rust", "sh": "shell", "sln": "dotnet-solution", "sql": "sql",
     "toml": "toml", "ts": "typescript", "tsx": "typescript", "txt": "text", "xml": "xml", "yaml": "yaml", "yml": "yaml",
 }
+# File names of tests, by language.
+CHANGED_TEST = r"\.(test|spec)\.[cm]?[jt]sx?$|(_test\.go|test\.java|test\.py)$"
+# What of a path makes it a surface that others use.
+PUBLIC_SURFACE = (
+    r"(^|/)(routes?|api|controllers?)/", r"openapi|swagger", r"(^|/)migrations?/", r"(^|/)schema/", r"(^|/)package(-lock)?\.json$", r"(^|/)(pnpm-lock\.yaml|yarn\.lock|bun\.lockb?|cargo\.toml|cargo\.lock)$",
+    r"(^|/)src/(?:.*/)?index\.[cm]?[jt]sx?$", r"\.(config|conf)\.[cm]?[jt]s$",
+)
 # Endings of environment files that are templates.
 ENV_TEMPLATES = ("example", "sample", "template", "dist", "default", "defaults")
 
@@ -44,7 +51,7 @@ def is_test(path: Column) -> Column:
 
 def is_changed_test(path: Column) -> Column:
     """A test as the review of changed tests has it (FLT-11)."""
-    return path.contains("__tests__/") | path.startswith("tests/") | F.lower(path).rlike(r"\.(test|spec)\.[cm]?[jt]sx?$|(_test\.go|test\.java|test\.py)$")
+    return path.contains("__tests__/") | path.startswith("tests/") | F.lower(path).rlike(CHANGED_TEST)
 
 
 def is_docs(path: Column) -> Column:
@@ -53,10 +60,7 @@ def is_docs(path: Column) -> Column:
 
 def is_public_surface(path: Column) -> Column:
     """Routes, descriptions, migrations, manifests, entry and configuration files."""
-    return F.lower(path).rlike(
-        r"(^|/)(routes?|api|controllers?)/|openapi|swagger|(^|/)migrations?/|(^|/)schema/|(^|/)package(-lock)?\.json$"
-        r"|(^|/)(pnpm-lock\.yaml|yarn\.lock|bun\.lockb?|cargo\.toml|cargo\.lock)$|(^|/)src/(?:.*/)?index\.[cm]?[jt]sx?$|\.(config|conf)\.[cm]?[jt]s$"
-    )
+    return F.lower(path).rlike("|".join(PUBLIC_SURFACE))
 
 
 def env_file(path: Column) -> Column:

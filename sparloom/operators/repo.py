@@ -48,6 +48,10 @@ SCRIPT_IMPORTS = (r"""\bimport\s+(?:[^'"]+\s+from\s+)?['"]([^'"]+)['"]""", r"""\
 BRACES = r"""\b(?:import|export)\s*(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\s+['"]([^'"]+)['"]"""
 #: What is put behind a specifier, in order, to find its file.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".py", ".rs", ".md", "/index.ts", "/index.js", "/__init__.py", "/mod.rs")
+# Words of tests that check something, that compare with a snapshot, and that check otherwise.
+ASSERTIONS = ("expect", "assert", "toBe", "toEqual", "toContain", "toThrow", "resolves", "rejects")
+SNAPSHOTS = ("toMatchSnapshot", "toMatchInlineSnapshot")
+OTHER_CHECKS = ("toBe", "toEqual", "toContain", "toThrow", "resolves", "rejects", "assert")
 #: Confidence of a call's target in the same file and in another.
 CALL_SAME, CALL_OTHER = 0.85, 0.75
 #: Confidence of a test that names a symbol, and of one that names a file.
@@ -260,8 +264,7 @@ def parser_coverage(files: DataFrame, found: DataFrame) -> DataFrame:
 def test_findings(files: DataFrame) -> DataFrame:
     """path, finding of test files: skipped, without assertion, with snapshots only (CHK-03)."""
     c = F.col("content")
-    assertion = c.rlike(r"\b(expect|assert|toBe|toEqual|toContain|toThrow|resolves|rejects)\b")
-    snapshot = c.rlike(r"\b(toMatchSnapshot|toMatchInlineSnapshot)\b")
-    other = c.rlike(r"\b(toBe|toEqual|toContain|toThrow|resolves|rejects|assert)\b")
+    word = lambda *names: c.rlike(rf"\b({'|'.join(names)})\b")
+    assertion, snapshot, other = word(*ASSERTIONS), word(*SNAPSHOTS), word(*OTHER_CHECKS)
     kinds = F.array(F.when(c.rlike(r"\b(?:it|test|describe)\.skip\s*\("), "skipped_test"), F.when(~assertion, "assertion_free_test"), F.when(snapshot & ~other, "snapshot_only_test"))
     return files.where(P.is_changed_test(F.col("path"))).select("path", F.explode(F.array_compact(kinds)).alias("finding"))
