@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import repo as R
+from ..sources import versions
 from ..sources.tables import table
 from ..storage import stored
 
@@ -40,15 +41,21 @@ _graphs: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, nodes and edges, drawn and written once for an application and folder of tables."""
+    """Files, nodes and edges, drawn and written once for an application and folder of tables, and again where what was
+    written is gone."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _graphs:
+    if key not in _graphs or not all(_there(spark, df) for df in _graphs[key]):
         f = stored(files(spark, d), "files")
         nodes, edges = R.fact_graph(f)
-        _graphs[key] = (f, nodes, stored(edges, "facts"))
+        _graphs[key] = (f, stored(nodes, "nodes"), stored(edges, "facts"))
     return _graphs[key]
 
 
+def _there(spark: SparkSession, df: DataFrame) -> bool:
+    fs, path = versions._files(spark, df.inputFiles()[0])
+    return all(fs.exists(path(f)) for f in df.inputFiles())
+
+
 def graph_edges(spark, d):
     return _graph(spark, d)[2].withColumn("line", F.col("line").cast("long"))
 
