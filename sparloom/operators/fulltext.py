@@ -5,7 +5,8 @@ only, makes candidates by their equality, and ranks these by what they contain.
 that contain a token anywhere. Tables are written to a new folder and swapped in. Survey rows: JN-01, SRC-09, SRC-10,
 SCH-01, SCH-02, FLT-03.
 
-A token of many files is written by several tasks, as postings are dealt out by token and file. How many buckets
+Rows are rebalanced by lane and bucket before they are written, so that a large lane, and a token of many files, is split
+among tasks by its size. How many buckets
 there are follows the text's size and changes no result.
 """
 
@@ -27,8 +28,6 @@ from .search import query_tokens
 EXTRACTOR = "1"
 #: Bytes of text for each bucket of postings, and the fewest and most buckets.
 BUCKET_BYTES, FEWEST, MOST = 256 << 20, 8, 4096
-#: Tasks that write one bucket.
-SPREAD = 4
 WORD_END = r"[^\p{L}\p{N}]"
 
 
@@ -72,8 +71,8 @@ def build(files: DataFrame, found: DataFrame, place: str, built_at: str = "", bu
     spark = files.sparkSession
 
     def write(folder: str) -> None:
-        prepared(files, found).repartition("lane", F.pmod(F.xxhash64("path"), F.lit(SPREAD))).write.partitionBy("lane").parquet(f"{folder}/files")
-        symbol_rows(found).repartition("lane", F.pmod(F.xxhash64("path"), F.lit(SPREAD))).write.partitionBy("lane").parquet(f"{folder}/symbols")
+        prepared(files, found).hint("rebalance", "lane").write.partitionBy("lane").parquet(f"{folder}/files")
+        symbol_rows(found).hint("rebalance", "lane").write.partitionBy("lane").parquet(f"{folder}/symbols")
         rows, symbols = spark.read.parquet(f"{folder}/files"), spark.read.parquet(f"{folder}/symbols")
         n, size, print_ = rows.agg(F.count("*"), F.coalesce(F.sum("byte_length"), F.lit(0)), fingerprint(rows)).first()
         many = buckets or min(MOST, max(FEWEST, 1 << math.ceil(math.log2(max(1, size / BUCKET_BYTES)))))
@@ -83,10 +82,10 @@ def build(files: DataFrame, found: DataFrame, place: str, built_at: str = "", bu
             both = rows.select(F.lit("file").alias("part"), F.col("path").alias("key"), "lane", F.explode(_words(text)).alias("token"))
             both = both.unionByName(symbols.select(F.lit("symbol").alias("part"), F.col("id").alias("key"), "lane", F.explode(_words(named)).alias("token")))
             dealt = both.withColumn("bucket", F.pmod(F.crc32("token"), F.lit(many)).cast("int"))
-            dealt = dealt.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token")
+            dealt = dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
             dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
             counts = spark.read.parquet(f"{folder}/postings").groupBy("bucket", "token", "part").agg(F.count("*").alias("n"))
-            counts.repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/frequencies")
+            counts.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/frequencies")
         facts = {"builtAt": built_at, "extractorVersion": EXTRACTOR, "fingerprint": print_, "fileCount": n, "byteLength": size, "symbolCount": symbols.count(), "buckets": many, "ftsAvailable": str(full_text).lower()}
         spark.createDataFrame([(k, str(v)) for k, v in facts.items()], "key string, value string").coalesce(1).write.parquet(f"{folder}/metadata")
 

@@ -20,8 +20,6 @@ from .repo import file_of
 
 #: Lanes in the order that decides between equally frequent ones.
 LANES = ("runtime", "tests", "fixtures", "benchmarks", "docs", "generated")
-#: Tasks that write one shard.
-SPREAD = 4
 _KEY = ["shard", "refresh"]
 
 
@@ -55,9 +53,9 @@ def refresh(files: DataFrame, found: DataFrame, edges: DataFrame, place: str) ->
         both.withColumn("step", step).withColumn("refresh", F.when(step == "kept", F.col("refresh")).otherwise(F.lit(stamp))).drop("now", "was").write.parquet(f"{folder}/steps")
         steps = spark.read.parquet(f"{folder}/steps")
         due = steps.where("step IN ('added', 'rewritten')").select("shard")
-        for name, df, key in (("files", rows, "path"), ("symbols", symbols, "id"), ("edges", links, "src")):
+        for name, df in (("files", rows), ("symbols", symbols), ("edges", links)):
             some = df.join(due, "shard", "left_semi").withColumn("refresh", F.lit(stamp))
-            some.repartition("shard", F.pmod(F.xxhash64(key), F.lit(SPREAD))).write.partitionBy(*_KEY[::-1]).mode("append").parquet(f"{place}/{name}")
+            some.hint("rebalance", "shard").write.partitionBy(*_KEY[::-1]).mode("append").parquet(f"{place}/{name}")
         steps.where("step <> 'removed'").drop("step").coalesce(1).write.parquet(f"{folder}/manifest")
 
     folder = V.publish(spark, place, write)
