@@ -1,6 +1,7 @@
 """Cases in which work would grow faster than its input."""
 
-from sparloom.operators import graph
+from sparloom.operators import graph, repo
+from sparloom.plans import repo_queries
 
 
 def test_components_of_a_rising_chain(spark):
@@ -8,3 +9,16 @@ def test_components_of_a_rising_chain(spark):
     chain = spark.range(1000).selectExpr("id AS src", "id + 1 AS dst")
     labelled = graph.components(chain, 4)
     assert [tuple(r) for r in labelled.groupBy("component").count().collect()] == [(0, 1001)]
+
+
+def test_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(repo_queries, "FILES_A_TASK", 50, raising=False)
+    spark.range(1, 401).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    f = repo_queries.files(spark, str(tmp_path))
+    assert f.rdd.getNumPartitions() == 8 and f.count() == 400
+
+
+def test_first_kind_of_a_name_on_a_line(spark):
+    rows = [("a.ts", "const f = (x) => x; type f = 1; class C {}"), ("b.md", "# A `b`"), ("c.rs", "pub struct S; fn g() {}"), ("d.txt", "class X")]
+    found = repo.symbols(spark.createDataFrame(rows, "path string, content string"))
+    assert {(r["path"], r["kind"], r["name"]) for r in found.collect()} == {("a.ts", "type", "f"), ("a.ts", "class", "C"), ("b.md", "section", "A b"), ("c.rs", "class", "S"), ("c.rs", "function", "g")}
