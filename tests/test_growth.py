@@ -1,6 +1,6 @@
 """Cases in which work would grow faster than its input."""
 
-from sparloom.operators import graph, repo
+from sparloom.operators import graph, relations, repo
 from sparloom.plans import repo_queries
 
 
@@ -22,3 +22,16 @@ def test_first_kind_of_a_name_on_a_line(spark):
     rows = [("a.ts", "const f = (x) => x; type f = 1; class C {}"), ("b.md", "# A `b`"), ("c.rs", "pub struct S; fn g() {}"), ("d.txt", "class X")]
     found = repo.symbols(spark.createDataFrame(rows, "path string, content string"))
     assert {(r["path"], r["kind"], r["name"]) for r in found.collect()} == {("a.ts", "type", "f"), ("a.ts", "class", "C"), ("b.md", "section", "A b"), ("c.rs", "class", "S"), ("c.rs", "function", "g")}
+
+
+def test_scored_paths_stop_where_no_further_level_counts(spark, monkeypatch):
+    real, written = relations.stored, []
+    monkeypatch.setattr(relations, "stored", lambda df, name: written.append(name) or real(df, name))
+    rows = [("s", "g1", "extracted"), ("s", "g2", "unknown"), ("s", "h", "extracted"), ("h", "g3", "extracted"), ("g3", "g4", "extracted")]
+    edges = spark.createDataFrame(rows, "src string, dst string, provenance string").selectExpr("*", "'imports' AS kind", "1.0D AS confidence")
+    node = lambda *names: spark.createDataFrame([(n,) for n in names], "node string")
+    ask = lambda limit: [(r["goal"], r["hops"], r["score"]) for r in relations.paths(edges, node("s"), node("g1", "g2", "g3", "g4"), 3, "outbound", limit=limit).collect()]
+    assert ask(1) == [("g1", 1, 1.0)] and written.count("front") == 2
+    # 0.4 at one hop is less than two hops can score
+    assert ask(2) == [("g1", 1, 1.0), ("g3", 2, 0.5)]
+    assert ask(9) == [("g1", 1, 1.0), ("g3", 2, 0.5), ("g2", 1, 0.4), ("g4", 3, 0.3333)]
