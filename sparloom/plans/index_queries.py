@@ -25,7 +25,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 def _built(spark: SparkSession, d: str, full_text: bool = True) -> tuple[str, DataFrame]:
     f, place = stored(files(spark, d), "files"), place_for(spark, "fulltext")
-    T.build(f, R.symbols(f), place, full_text=full_text)
+    T.build(f, stored(R.symbols(f), "symbols"), place, full_text=full_text)
     return place, f
 
 
@@ -66,9 +66,10 @@ def _sources(spark: SparkSession, d: str, later: bool) -> tuple[DataFrame, DataF
         f = f.where("path NOT LIKE 'lib/%'").withColumn("content", F.when(edited, F.concat("content", F.lit("\n// edited"))).otherwise(F.col("content")))
     else:
         f = f.where("path NOT LIKE 'docs/%'")
+    # all three are read many times
     f = stored(f, "sources")
-    _, edges = R.fact_graph(f)
-    return f, R.symbols(f), edges
+    found = stored(R.symbols(f), "symbols")
+    return f, found, stored(R.fact_graph(f, found)[1], "edges")
 
 
 def _sharded(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
@@ -93,7 +94,7 @@ def ladder(spark, d):
     """The same question answered by each way in turn; refused while a fresh index is asked for and there is none."""
     f, found, edges = _sources(spark, d, True)
     index, shards, none = place_for(spark, "fulltext"), place_for(spark, "shards"), place_for(spark, "none")
-    prepared = (T.prepared(f, found), T.symbol_rows(found))
+    prepared = (stored(T.prepared(f, found), "prepared"), T.symbol_rows(found))
     ask = lambda *a, **k: stored(H.retrieve(spark, ASKED_SOURCE, *a, limit=20, **k), "answer")
     out = [ask(index, shards, prepared, require_fresh=True, now=f), ask(index, shards, prepared)]
     H.refresh(f, found, edges, shards)
