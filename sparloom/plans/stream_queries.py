@@ -18,22 +18,21 @@ IDLE_SECONDS = 6 * 3600
 PARTS = ("seq <= 5", "seq BETWEEN 6 AND 20", "seq > 20")
 
 
-def _days(spark: SparkSession, d: str, place: str, lo: int, hi: int) -> None:
-    """Append the events of ten days at a time, oldest first."""
+def _days(spark: SparkSession, d: str, place: str, k: int) -> None:
+    """Append the events of the k-th ten days."""
     events = table(spark, d, "events")
     first = events.agg(F.min("ts").cast("date")).first()[0]
     nth = F.least(F.lit(2), F.floor(F.date_diff(F.col("ts").cast("date"), F.lit(first)) / 10))
-    for k in range(lo, hi):
-        events.where(nth == k).coalesce(1).write.mode("append").parquet(place)
+    events.where(nth == k).write.mode("append").parquet(place)
 
 
 def _restarted(spark: SparkSession, d: str, make, mode: str, keys=()) -> DataFrame:
-    """Ten days of events run to their end, then, from the checkpoint, the rest."""
+    """Ten days of events run to their end as one batch, oldest first, each time from the checkpoint."""
     source, place = place_for(spark, "days"), place_for(spark, "stream")
-    _days(spark, d, source, 0, 1)
-    L.run_to_end(make(L.source(spark, source, 1)), mode, keys, place)
-    _days(spark, d, source, 1, 3)
-    return L.run_to_end(make(L.source(spark, source, 1)), mode, keys, place)
+    for k in range(3):
+        _days(spark, d, source, k)
+        out = L.run_to_end(make(L.source(spark, source)), mode, keys, place)
+    return out
 
 
 def mission_fold(spark, d):

@@ -1,7 +1,7 @@
 """Cases in which work would grow faster than its input."""
 
 from sparloom.operators import graph, relations, repo
-from sparloom.plans import repo_queries
+from sparloom.plans import repo_queries, stream_queries
 
 
 def test_components_of_a_rising_chain(spark):
@@ -35,3 +35,15 @@ def test_scored_paths_stop_where_no_further_level_counts(spark, monkeypatch):
     # 0.4 at one hop is less than two hops can score
     assert ask(2) == [("g1", 1, 1.0), ("g3", 2, 0.5)]
     assert ask(9) == [("g1", 1, 1.0), ("g3", 2, 0.5), ("g2", 1, 0.4), ("g4", 3, 0.3333)]
+
+
+def test_days_are_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id AS event_id", "timestamp_micros(id * 1000000) AS ts")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        stream_queries._days(spark, str(tmp_path), f"{tmp_path}/days", 0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    days = spark.read.parquet(f"{tmp_path}/days")
+    assert len(days.inputFiles()) > 1 and days.count() == 4000
