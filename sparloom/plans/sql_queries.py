@@ -3,6 +3,7 @@ agree the oracle is the same text."""
 
 from __future__ import annotations
 
+import math
 import re
 
 from ..sources.tables import table
@@ -65,5 +66,17 @@ _SQL: dict[str, tuple[str, str | None]] = {
         """SELECT conv_id, max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) = 1 AS has_brief, max(CASE WHEN role = 'assistant' AND length(text) > 200 THEN 1 ELSE 0 END) = 1 AS has_answer, max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) + max(CASE WHEN role = 'assistant' AND length(text) > 200 THEN 1 ELSE 0 END) = 2 AS satisfied FROM conversations GROUP BY conv_id""", None),
 }
 
-QUERIES = {k: _query(v[0]) for k, v in _SQL.items()}
+#: Rows of ``lineitem`` that one task pairs within their orders; a task sorts some four pairs a row.
+ROWS_A_TASK = 262_144
+
+
+def nearest(spark, d):
+    """The pairs of an order's lines are made where the order's lines lie, dealt over tasks by their number."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    tasks = math.ceil(rows.count() / ROWS_A_TASK)
+    text = re.sub(r"\b(FROM|JOIN) lineitem\b", r"\1 {lineitem}", _SQL["window_nearest"][0])
+    return spark.sql(text, lineitem=rows if tasks < 2 else rows.repartition(tasks, "l_orderkey"))
+
+
+QUERIES = {k: _query(v[0]) for k, v in _SQL.items()} | {"window_nearest": nearest}
 ORACLES = {k: re.sub(r"(\d\.\d+)D\b", r"\1::DOUBLE", v[0]) if v[1] == "D" else v[1] or v[0] for k, v in _SQL.items()}

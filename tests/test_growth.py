@@ -1,7 +1,7 @@
 """Cases in which work would grow faster than its input."""
 
 from sparloom.operators import graph, relations, repo
-from sparloom.plans import repo_queries, stream_queries
+from sparloom.plans import repo_queries, sql_queries, stream_queries
 
 
 def test_components_of_a_rising_chain(spark):
@@ -47,3 +47,9 @@ def test_days_are_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     days = spark.read.parquet(f"{tmp_path}/days")
     assert len(days.inputFiles()) > 1 and days.count() == 4000
+
+
+def test_pairs_of_lines_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(sql_queries, "ROWS_A_TASK", 500, raising=False)
+    near = sql_queries.QUERIES["window_nearest"](spark, "/root/testdata/sf0.001")
+    assert near.rdd.getNumPartitions() >= 10
