@@ -53,3 +53,18 @@ def test_pairs_of_lines_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(sql_queries, "ROWS_A_TASK", 500, raising=False)
     near = sql_queries.QUERIES["window_nearest"](spark, "/root/testdata/sf0.001")
     assert near.rdd.getNumPartitions() >= 10
+
+
+def test_symbols_leave_no_task(spark):
+    f = spark.createDataFrame([("a.ts", "function f() {}")], "path string, content string")
+    assert "Exchange" not in repo.symbols(f)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_complexity_shuffles_no_text(spark):
+    text = "export function f(a) {\n  if (a && b) { g(); }\n  return 1;\n}\nclass C {\n  if (a) {}\n}\nfunction g() { return a ? 1 : 2; } function h() {}\n  while (a) {}"
+    f = spark.createDataFrame([("a.ts", text)], "path string, content string")
+    found = repo.symbols(f)
+    got = repo.function_complexity(f, found.where("name <> 'h'"), 2)
+    assert {r["id"]: r["complexity"] for r in got.collect()} == {"a.ts#f:1": 3, "a.ts#g:8": 3}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Sort " in x and "line_text" in x or "Window" in x and "line_text" in x]
