@@ -68,3 +68,9 @@ def test_complexity_shuffles_no_text(spark):
     assert {r["id"]: r["complexity"] for r in got.collect()} == {"a.ts#f:1": 3, "a.ts#g:8": 3}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Sort " in x and "line_text" in x or "Window" in x and "line_text" in x]
+
+
+def test_bodies_are_dealt_over_tasks(spark):
+    rows, found = spark.createDataFrame([("a.ts", 2)], "path string, line long"), spark.createDataFrame([("a.ts#f:1", "a.ts", "function", 1)], "id string, path string, kind string, line long")
+    inside = repo.owned(rows, found, 9)
+    assert inside.rdd.getNumPartitions() == 9 and [r["id"] for r in inside.collect()] == ["a.ts#f:1"]
