@@ -74,3 +74,18 @@ def test_bodies_are_dealt_over_tasks(spark):
     rows, found = spark.createDataFrame([("a.ts", 2)], "path string, line long"), spark.createDataFrame([("a.ts#f:1", "a.ts", "function", 1)], "id string, path string, kind string, line long")
     inside = repo.owned(rows, found, 9)
     assert inside.rdd.getNumPartitions() == 9 and [r["id"] for r in inside.collect()] == ["a.ts#f:1"]
+
+
+def test_large_rounds_broadcast_nothing(spark, monkeypatch):
+    plans, real = [], graph.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(graph, "written", seen)
+    monkeypatch.setattr(graph, "MERGED_EDGES", 0, raising=False)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (7, 1)], "src long, dst long")
+    out = graph.strongly_connected(edges)
+    assert {r["node"]: r["scc"] for r in out.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert not [p for p in plans if "Broadcast" in p]
